@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.shared import components, cut, stored
-from loomtext.llm.textbatch import Texts, mix, slices, string_array
+from loomtext.llm.textbatch import Texts, mix, segments, slices, string_array
 
 #: Coordinates of a signature, and on how many of them a pair must agree.
 K, T = 32, 17
@@ -169,33 +169,6 @@ def across(lists: DataFrame, groups: DataFrame, signs: DataFrame, most: int | No
     return rows.select("token", "i", "j", "node", "grp", "own", "signature").mapInArrow(work, "a long, b long").distinct()
 
 
-def segments(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys, from batches that are ordered by them."""
-    held: list[pa.RecordBatch] = []
-    before = None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(n, bool)
-        for c in cols:
-            new[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in cols)
-        starts = [0, *np.flatnonzero(new).tolist(), n]
-        if held and before != first:
-            yield pa.Table.from_batches(held)
-            held = []
-        for x, y in zip(starts, starts[1:], strict=False):
-            if x:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(x, y - x))
-        before = tuple(c[-1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (it is that one).
 

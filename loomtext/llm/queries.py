@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import bpe, fingerprint, minhash
+from loomtext.llm import bpe, fingerprint, minhash, pivots
 from loomtext.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.linked(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -29,6 +33,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_fingerprint": op2_fingerprint,
+    "op4_pivots": op4_pivots,
     "op8_bpe": op8_bpe,
     "op10_minhash": op10_minhash,
 }

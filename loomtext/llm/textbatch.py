@@ -121,5 +121,32 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             at = to
 
 
+def segments(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, from batches that are ordered by them."""
+    held: list[pa.RecordBatch] = []
+    before = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(n, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        starts = [0, *np.flatnonzero(new).tolist(), n]
+        if held and before != first:
+            yield pa.Table.from_batches(held)
+            held = []
+        for x, y in zip(starts, starts[1:], strict=False):
+            if x:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+        before = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def string_array(values: list) -> pa.Array:
     return pa.array(values, pa.string())
