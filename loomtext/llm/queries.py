@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import bpe, fingerprint, language, minhash, pivots, urlfilter, warc
+from loomtext.llm import bpe, fingerprint, language, minhash, pivots, quality, toxicity, urlfilter, warc
 from loomtext.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return bpe.vocabulary_text(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.classify(docs, language.learn(docs))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -55,10 +63,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_fingerprint": op2_fingerprint,
     "op4_pivots": op4_pivots,
     "op5_urls": op5_urls,
     "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -12,6 +12,9 @@ import pyarrow as pa
 #: White space of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: All but ASCII letters and the bytes of letters beyond ASCII.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -43,6 +46,8 @@ class Texts:
     offsets: np.ndarray
     #: Whether A-Z hash as a-z.
     fold: bool = True
+    #: Which bytes end a word.
+    gaps: np.ndarray = field(default_factory=lambda: SPACE)
 
     @classmethod
     def of(cls, column: pa.Array) -> Texts:
@@ -77,7 +82,7 @@ class Texts:
     @cached_property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each word begins and ends, and of each text the number of its first word (then the count of all)."""
-        full = ~SPACE[self.buf]
+        full = ~self.gaps[self.buf]
         begins, ends = full.copy(), full.copy()
         begins[1:] &= ~full[:-1]
         ends[:-1] &= ~full[1:]
