@@ -193,14 +193,16 @@ def _vocabulary(shared) -> Vocabulary:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, proof: bool = False) -> DataFrame:
     """Adds `ids` (array<int>) of each whole text: what the tokenizers library gives without adding special tokens.
 
     A null text counts as empty (no ids); a text that holds the literal of an added token gets that token's id. Only the
     columns in `keep` (all but the text, if None) go along; rows may repeat and nothing depends on their order.
+    With `proof` there is also decoded_sha256, of the UTF-8 of what the ids decode to.
     `vocabulary` is the JSON itself (about a megabyte, whatever the input), which Spark broadcasts.
     """
-    keep = [c for c in docs.columns if c not in (text, "ids")] if keep is None else keep
+    added = ["ids", "decoded_sha256"][: 1 + proof]
+    keep = [c for c in docs.columns if c not in (text, *added)] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +211,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
             texts.fold = False
             flat, bounds = v.encode(texts)
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [ids], [*keep, "ids"])
+            more = [string_array([hashlib.sha256(x.encode()).hexdigest() for x in v.decode(flat, bounds)])] if proof else []
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, *more], [*keep, *added])
 
     plain = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), *("ids array<int>", "decoded_sha256 string")[: 1 + proof]])
     return plain.mapInArrow(work, schema)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import bpe, fingerprint, language, minhash, pivots, quality, toxicity, urlfilter, warc
+from loomtext.llm import bpe, fingerprint, language, minhash, mixing, pivots, quality, toxicity, urlfilter, warc
 from loomtext.llm.shared import table
 
 
@@ -23,6 +24,19 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+#: What op3 and the pipeline mix to: sources alike, half of the tokens English, plain texts preferred.
+MIX = mixing.Targets(
+    source={f"src{k}": 0.05 for k in range(20)},
+    lang={"en": 0.5, "fr": 0.2, "de": 0.15, "es": 0.15},
+    topic={"plain": 0.7, "markup": 0.1, "contact": 0.1, "legal": 0.1},
+)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.sampled(table(spark, sf_dir, "documents"), MIX)
+    return rows.select("doc_id", "c_source", "c_lang", "c_topic", "tokens", F.round("chance", 6).alias("chance"), "taken")
+
+
 def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.linked(table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -65,6 +79,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprint": op2_fingerprint,
+    "op3_mixing": op3_mixing,
     "op4_pivots": op4_pivots,
     "op5_urls": op5_urls,
     "op6_language": op6_language,
@@ -77,6 +92,7 @@ QUERIES = {
 _URL_RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.oracle(MIX) + " SELECT doc_id, c_source, c_lang, c_topic, tokens, round(chance, 6) AS chance, draw < chance AS taken FROM mixed",
     "op5_urls": f"""
         WITH rules(v, h, p) AS (VALUES {_URL_RULES_SQL}),
         parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
