@@ -69,12 +69,13 @@ def word_hash(word: Column) -> Column:
 def simhash(c: Column) -> Column:
     """64 bits; a bit is set where at least half of the words (by white space, each as often as it stands) have it set. A blank text gives 0."""
     hashes = F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), word_hash)
-    bit = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + 2 * F.getbit(h, F.lit(i)).cast("int") - 1) >= 0
-    bits = [F.when(bit(i), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return F.when(F.size(hashes) > 0, out).otherwise(F.lit(0).cast("bigint"))
+
+    def voted(h: Column) -> Column:
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(h, F.lit(0), lambda s, x: s + 2 * F.getbit(x, i).cast("int") - 1))
+        # shiftleft of 1 by the bit's place; the sum of distinct powers is their OR
+        return F.when(F.size(h) > 0, F.aggregate(bits, F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("v")), lambda s, n: F.struct((s["i"] + 1).alias("i"), F.when(n >= 0, s["v"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), s["i"]))).otherwise(s["v"]).alias("v")))["v"]).otherwise(F.lit(0).cast("bigint"))
+
+    return F.transform(F.array(hashes), voted)[0]  # the array binds the hashes once
 
 
 def hamming_similarity(a: Column, b: Column) -> Column:

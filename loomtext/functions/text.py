@@ -147,10 +147,10 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
-def html_title_and_body(html: Column) -> tuple[Column, Column]:
-    """Text of the first <b>, and all text without it; no title gives null for both."""
+def html_title_and_body(html: Column, tag: str = "b") -> tuple[Column, Column]:
+    """Text of the first element of this kind, and all text without it; no title gives null for both."""
     plain = lambda c: trimmed(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>", " "), r"\s+", " "))
-    title = plain(F.regexp_extract(html, r"(?is)<b(?:\s[^>]*)?>(.*?)</b>", 1))
+    title = plain(F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1))
     has = F.length(title) > 0
     return F.when(has, title), F.when(has, trimmed(F.replace(plain(html), title, F.lit(""))))
 

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: Keys up to this many are matched by a broadcast nested-loop join; more by seeds.
 BROADCAST_KEYS = 2_000
+#: Characters of a text that its runs are taken from at a time.
+BLOCK = 256
 
 
 def keys_of(df: DataFrame, column: str, least: int, most: int | None = None) -> DataFrame:
@@ -22,8 +24,10 @@ def containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str, seed
     A text contributes its distinct runs of `seed` characters, a key its first ones: an equi-join, then verified. No text
     meets a key that it doesn't share a seed with, so both sides may grow.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - seed + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(seed))))
+    # by blocks, as taking a substring costs as many steps as there are characters before it
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(BLOCK)), lambda i: F.substring(F.col(text), i, F.lit(BLOCK + seed - 1)))
+    runs = lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - seed + 1, F.lit(1))), lambda i: F.substring(b, i, F.lit(seed)))
+    grams = F.array_distinct(F.flatten(F.transform(blocks, runs)))
     key_side = keys.select("key", F.left("key", F.lit(seed)).alias("seed"))
     seeds = key_side.select("seed").distinct()
     hits = texts.where(F.length(text) >= seed).select(F.col(text_id).alias("__id"), F.explode(grams).alias("seed")).join(seeds, "seed", "left_semi")
