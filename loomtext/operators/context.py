@@ -40,10 +40,11 @@ def attached(docs: DataFrame, scores: DataFrame, group: list[str], index: str) -
 def query_first(docs: DataFrame, by: str, group: str, content: str, k: int) -> DataFrame:
     """The best document of each group, in the groups' order, then the others by score until k; equal contents count once.
 
-    The first ones are all kept, even beyond k. docs: by, group, rank, content, score (null counts as 0).
+    The best is the one of the smallest rank: the reranker's order is trusted. The first ones are all kept, even beyond k.
+    docs: by, group, rank, content, score (null counts as 0).
     """
     score = F.coalesce("score", F.lit(0.0))
-    inner = Window.partitionBy(by, group).orderBy(F.desc(score), "rank")
+    inner = Window.partitionBy(by, group).orderBy("rank")
     rows = docs.withColumn("__phase", F.when(F.row_number().over(inner) == 1, 0).otherwise(1))
     order = [F.col("__phase"), F.when(F.col("__phase") == 0, F.col(group)), F.when(F.col("__phase") == 1, -score), F.col(group), F.col("rank")]
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(by, content).orderBy(*order))).where("__n = 1")

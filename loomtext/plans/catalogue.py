@@ -432,7 +432,7 @@ def _groups(spark, d) -> DataFrame:
 _GROUPS_SQL = "g AS (SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INTEGER) AS rank, 'c' || (event_id % 40) AS content, round(value, 3) AS score FROM events WHERE user_id < 200)"
 
 
-@query(f"""WITH {_GROUPS_SQL}, p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY coalesce(score, 0) DESC, rank) = 1 THEN 0 ELSE 1 END AS phase FROM g),
+@query(f"""WITH {_GROUPS_SQL}, p AS (SELECT *, CASE WHEN rank = 1 THEN 0 ELSE 1 END AS phase FROM g),
     o AS (SELECT *, CASE WHEN phase = 0 THEN event_type END AS o1, CASE WHEN phase = 1 THEN -coalesce(score, 0) END AS o2 FROM p),
     u AS (SELECT *, row_number() OVER (PARTITION BY user_id, content ORDER BY phase, o1, o2, event_type, rank) AS n FROM o),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY phase, o1, o2, event_type, rank) AS INTEGER) AS position FROM u WHERE n = 1)
