@@ -1,22 +1,24 @@
 """Near-duplicates by an inverted join on MinHash coordinates.
 
 Every text has a signature of K minima, and each (coordinate, value) is a posting. A pair of Jaccard likeness 0.85 agrees
-on 27 of 32 coordinates on average; one that agrees on fewer than T = 17 is left (odds of about 1 in 10^5 at 0.85 exactly,
-less above). With postings in one global order, rarest first, two texts that share T of K postings share one of the first
+on 27 of 32 coordinates on average; one that agrees on fewer than T is left, where T follows from the likeness asked for such
+that a pair of just that likeness is left once in a million. With postings in one global order, rarest first, two texts that share T of K postings share one of the first
 K - T + 1 of each (the prefix), and a text with fewer than T postings that any other text has is skipped altogether. So
 only prefixes make lists, frequent postings are hardly ever in one, and most texts drop out.
 
 What is asked for are connected groups, so no list is expanded into all of its pairs:
   1. texts with equal sets of shingles are one node;
   2. each list links its members to its smallest one (as many pairs as postings);
-  3. lists whose members are now in several groups compare members of different groups only, in tiles of bounded size,
-     first the few likeliest partners of each text, then more, at last all of them.
+  3. lists whose members are now in several groups compare members of different groups only, in tiles of bounded size.
+     Wide signatures of the texts in question, of one byte a coordinate, spare the sets of pairs that aren't alike
+     enough. The others are confirmed tile by tile, likeliest first, and pairs that are joined by then are skipped.
 Every pair that is kept agreed on T coordinates and was confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +26,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import components, cut, stored
+from loomtext.llm.shared import components, stored
 from loomtext.llm.textbatch import Texts, mix, segments, slices, string_array
 
-#: Coordinates of a signature, and on how many of them a pair must agree.
-K, T = 32, 17
+#: Coordinates of a signature, and how rarely a pair that is just alike enough may fall short on a signature.
+K, MISS = 32, 1e-6
 #: Members of a tile's side; members of a block that a leader's set is sent to.
-TILE, BLOCK = 1024, 512
-#: How many partners of each text the rounds of step 3 take, likeliest first; at last all.
-ROUNDS = (4, 64, None)
+TILE, BLOCK = 512, 512
+#: Coordinates of the wide signature, of a byte each, that a pair is held against before its sets are compared, and how many
+#: of them come first.
+WIDE, NARROW = 512, 64
+NO_TOKEN = np.iinfo(np.int64).max
 U = np.uint64
 _rng = np.random.default_rng(20240101)
-XORS = _rng.integers(0, 2**64, 64, dtype=U)
-TIMES = _rng.integers(0, 2**64, 64, dtype=U) | U(1)
+XORS = _rng.integers(0, 2**64, WIDE + K, dtype=U)
+TIMES = _rng.integers(0, 2**64, WIDE + K, dtype=U) | U(1)
+
+
+def must_agree(n: int, percent: int) -> int:
+    """On how many of n coordinates a pair of this likeness agrees, but for odds of MISS."""
+    p, below, t = percent / 100, 0.0, 0
+    while t < n and (below := below + comb(n, t) * p**t * (1 - p) ** (n - t)) <= MISS:
+        t += 1
+    return max(t, 1)
 
 
 def shingles(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +103,21 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest string, signature array<long>")
 
 
+def wide(texts: DataFrame, words: int) -> DataFrame:
+    """node, wide: of WIDE further coordinates of each text's set, eight bits of their minima."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in slices(batches):
+            h, bounds = shingles(t, words)
+            out = np.zeros((len(t), WIDE), np.uint8)
+            has = np.flatnonzero(np.diff(bounds))
+            for k in range(WIDE if len(has) else 0):
+                out[has, k] = (np.minimum.reduceat((h ^ XORS[K + k]) * TIMES[K + k], bounds[has]) >> U(20)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in out], pa.binary())], ["node", "wide"])
+
+    return texts.select("node", "text").mapInArrow(work, "node long, wide binary")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets of shingles are as alike as asked for.
 
@@ -120,12 +147,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return rows.select("a", "block", "b", "lead", "text").mapInArrow(work, "a long, b long")
 
 
-def across(lists: DataFrame, groups: DataFrame, signs: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) of one list but different groups that agree on T coordinates; of each text the `most` likeliest ones.
+def across(lists: DataFrame, groups: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Per tile (token, i, j): pairs of its list that are in different groups and agree on enough coordinates, as arrays a and b, likeliest first.
 
     A list in one group only needs nothing. In others, members of the largest group meet members of other groups, and
-    these meet each other, never members of one group. A tile has TILE members of each of two blocks of its list.
+    these meet each other, never members of one group. A tile has TILE members of each of two blocks of its list. A pair
+    that is in several lists is reported by the one of the smallest token only. signs: node, tokens, wide.
     """
+    narrow, all_wide = must_agree(NARROW, percent), must_agree(WIDE, percent)
     rows = lists.join(groups.withColumnRenamed("component", "grp"), "node")
     per = rows.groupBy("token", "grp").agg(F.count("*").alias("n"))
     per = per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "grp")).alias("top")).where("groups > 1")
@@ -138,35 +167,92 @@ def across(lists: DataFrame, groups: DataFrame, signs: DataFrame, most: int | No
     partners = F.when(F.col("own") < F.col("mains"), F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
     rows = rows.select("token", "node", "grp", "own", F.explode(partners).alias("other")).select("token", "node", "grp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.join(signs, "node").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "own")
+    longest = K + 1
 
-    def tile(node: np.ndarray, grp: np.ndarray, own: np.ndarray, i: int, j: int, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def alike_pairs(col: dict[str, np.ndarray], sign: np.ndarray, tokens: np.ndarray, token: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        own, grp = col["own"], col["grp"]
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
         agree = np.zeros((len(left), len(right)), np.uint8)
-        for k in range(K):
+        for k in range(NARROW):
             agree += sign[left, k][:, None] == sign[right, k][None, :]
-        agree[grp[left][:, None] == grp[right][None, :]] = 0
-        hit = agree >= T
-        if most and len(right) > most:
-            # of each text on either side its likeliest partners
-            for x, h in ((agree, hit), (agree.T, hit.T)):
-                if x.shape[1] > most:
-                    far = np.ones_like(h)
-                    np.put_along_axis(far, np.argpartition(-x.astype(np.int16), most - 1, axis=1)[:, :most], False, axis=1)
-                    h[far] = False if h is hit.T else h[far] & False
-        a, b = np.nonzero(hit)
-        a, b = node[left[a]], node[right[b]]
-        return np.minimum(a, b), np.maximum(a, b)
+        a, b = np.nonzero((agree >= narrow) & (grp[left][:, None] != grp[right][None, :]))
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        a, b = left[a], right[b]
+        alike = np.zeros(len(a), np.int64)
+        for k in range(0, len(a), 4096):
+            part = slice(k, k + 4096)
+            alike[part] = (sign[a[part]] == sign[b[part]]).sum(1)
+        a, b, alike = a[alike >= all_wide], b[alike >= all_wide], alike[alike >= all_wide]
+        here = np.zeros(len(a), bool)
+        for k in range(0, len(a), 4096):
+            x, y = tokens[a[k : k + 4096]], tokens[b[k : k + 4096]]
+            common = (x[:, :, None] == y[:, None, :]).any(2) & (x != NO_TOKEN)
+            here[k : k + 4096] = np.where(common, x, NO_TOKEN).min(1) == token
+        order = np.argsort(-alike[here], kind="stable")
+        return col["node"][a[here][order]], col["node"][b[here][order]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in segments(batches, ("token", "i", "j")):
-            sign = rows.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, K)
+            sign = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
+            lists = rows.column("tokens").combine_chunks()
+            tokens, size = np.full((rows.num_rows, longest), NO_TOKEN), lists.value_lengths().to_numpy()
+            tokens[np.arange(longest)[None, :] < size[:, None]] = lists.flatten().to_numpy()
             col = {c: rows.column(c).to_numpy() for c in ("node", "grp", "own")}
-            i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-            a, b = tile(col["node"], col["grp"], col["own"], i, j, sign)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            key = [rows.column(c)[0].as_py() for c in ("token", "i", "j")]
+            a, b = alike_pairs(col, sign, tokens, *key)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([a.tolist()], pa.list_(pa.int64())), pa.array([b.tolist()], pa.list_(pa.int64()))], ["token", "i", "j", "a", "b"])
+
+    return rows.select("token", "i", "j", "node", "grp", "own", "tokens", "wide").mapInArrow(work, "token long, i int, j int, a array<long>, b array<long>")
+
+
+def confirmed_tiles(found: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs of each tile, as many as join what they join: a text goes to a tile once, however many pairs it is in."""
+    members = found.select("token", "i", "j", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")).join(texts, "node")
+    rows = found.withColumn("node", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string"))
+    none = F.lit(None).cast("array<long>")
+    rows = rows.unionByName(members.withColumn("a", none).withColumn("b", none)).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", F.asc_nulls_first("node"))
+
+    def joined(a: list, b: list, own: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in zip(a, b, strict=True):
+            if top(x) != top(y):
+                s, t = own[x], own[y]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    root[top(x)] = top(y)
+                    yield x, y
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, a, b = None, [], []
+        own: dict[int, np.ndarray] = {}
+
+        def answer() -> pa.RecordBatch:
+            links = list(joined(a, b, own))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for part, t in slices(batches):
+            columns = (part.column(c).to_pylist() for c in ("token", "i", "j", "node", "a", "b"))
+            for token, i, j, node, x, y, shingled in zip(*columns, sets(t, words), strict=True):
+                if node is None:
+                    if key is not None:
+                        yield answer()
+                    key, a, b = (token, i, j), x, y
+                    own.clear()
+                elif key == (token, i, j):
+                    own[node] = shingled
+        if key is not None:
+            yield answer()
 
-    return rows.select("token", "i", "j", "node", "grp", "own", "signature").mapInArrow(work, "a long, b long").distinct()
+    return rows.select("token", "i", "j", "node", "a", "b", "text").mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -177,30 +263,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     has an empty set and no links. Rows of one doc_id count as copies of one document if their texts are equal; where they
     differ, each row has its own set and doc_id stands for the first. Null ids are left out of all groups (component null).
     """
+    t = must_agree(K, percent)
     found = stored(signatures(docs, words))
     classes = found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
     signs = found.join(classes, (found["digest"] == classes["digest"]) & (found["doc_id"] == classes["node"]), "left_semi").select(F.col("doc_id").alias("node"), "signature").dropDuplicates(["node"])
     tokens = signs.select("node", F.posexplode("signature").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= T)
-    lists = cut(ranked.select("node", F.explode(F.slice("shared", F.lit(1), F.size("shared") - (T - 1))["token"]).alias("token")))
-    nodes = lists.select("node").distinct()
-    signs = cut(signs.join(nodes, "node"))
-    texts = stored(docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= t)
+    prefixes = stored(ranked.select("node", F.slice("shared", F.lit(1), F.size("shared") - (t - 1))["token"].alias("tokens")))
+    lists = prefixes.select("node", F.explode("tokens").alias("token"))
+    texts = stored(docs.select(F.col("doc_id").alias("node"), "text").join(prefixes, "node", "left_semi").dropDuplicates(["node"]))
     least = lists.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = lists.join(least, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    signs = stored(signs.join(prefixes.select("node"), "node"))
     sides = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
     agree = F.expr("size(filter(zip_with(x, y, (p, q) -> p = q), e -> e))")
-    links = cut(confirmed(sides.where(agree >= T).select("a", "b"), texts, words, percent))
-    tried: DataFrame | None = None
-    for most in ROUNDS:
-        groups = nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        pairs = across(lists, groups, signs, most)
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        if not pairs.limit(1).count() and (tried is None or most is None):
-            break
-        links = cut(links.unionByName(confirmed(pairs, texts, words, percent)))
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
+    links = stored(confirmed(sides.where(agree >= t).select("a", "b"), texts, words, percent))
+    groups = prefixes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    tiles = stored(across(lists, groups, stored(wide(texts, words).join(prefixes, "node")), percent))
+    links = links.unionByName(stored(confirmed_tiles(tiles, texts, words, percent)))
     groups = components(links).withColumnRenamed("node", "rep")
     reps = classes.join(groups, classes["node"] == groups["rep"], "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
