@@ -132,12 +132,22 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     least_gain = float(np.log(max(per.count(), 3))) - 1
     chosen = per.where((bad >= SUPPORT) & (bad >= PRECISION * n)).withColumn("gain", gain).where(F.col("gain") > least_gain).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
     codes = np.array(sorted(r["term"] for r in chosen), np.int64)
-    sample = rows.select("label", "terms", "upper", "exclaim", "symbol").toArrow().combine_chunks()
+
+    def chosen_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            hit = np.isin(flat, codes)
+            bounds = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
+            terms = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.searchsorted(codes, flat[hit]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([terms if c == "terms" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    # the driver gets only the places of chosen terms
+    columns = rows.select("label", "terms", "upper", "exclaim", "symbol")
+    sample = columns.mapInArrow(chosen_only, "label int, terms array<int>, upper double, exclaim double, symbol double").toArrow().combine_chunks()
     lists = sample.column("terms").combine_chunks() if isinstance(sample.column("terms"), pa.ChunkedArray) else sample.column("terms")
     row = np.repeat(np.arange(sample.num_rows), lists.value_lengths().to_numpy())
-    flat = lists.flatten().to_numpy()
-    known = np.isin(flat, codes)
-    row, term = row[known], np.searchsorted(codes, flat[known])
+    term = lists.flatten().to_numpy()
     shares = np.stack([sample.column(c).to_numpy() for c in ("upper", "exclaim", "symbol")], 1)
     votes = cast_votes(row, term, codes % 16, shares, sample.num_rows)
     posterior = label_model(votes, sample.column("label").to_numpy())
