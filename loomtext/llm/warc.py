@@ -44,9 +44,10 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> No
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("html"))
     headers = stored(rows.select("page_id", F.sha2(F.encode("html", "utf-8"), 256).alias("payload_digest"), F.octet_length("html").cast("long").alias("payload_bytes")))
     total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
-    rows = rows.repartition(max(1, -(-total // ARCHIVE)), "page_id").withColumn("payload_digest", F.sha2(F.encode("html", "utf-8"), 256))
-    # one entry per id, so that the join needs no other dealing than by page_id
-    again = resolved(headers).groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("payload_digest", "refers_to"))).alias("firsts"))
+    # both sides are dealt alike, by page_id to as many parts as there are archives, so that payloads are shuffled once
+    archives = max(1, -(-total // ARCHIVE))
+    rows = rows.repartition(archives, "page_id").withColumn("payload_digest", F.sha2(F.encode("html", "utf-8"), 256))
+    again = resolved(headers).repartition(archives, "page_id").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("payload_digest", "refers_to"))).alias("firsts"))
     rows = rows.join(again, "page_id", "left").withColumn("refers_to", F.try_element_at("firsts", "payload_digest"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     record = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(">"))
