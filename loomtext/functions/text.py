@@ -116,6 +116,17 @@ def null_tokens(c: Column) -> Column:
     return F.when(trimmed(c).isin(*NULL_TOKENS), None).otherwise(trimmed(c))
 
 
+def mapped(c: Column, values: Mapping[str, str]) -> Column:
+    """The value that stands for this one; others stay."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), c), c)
+
+
+def input_length(passage: Column, question: Column, choices: Column) -> Column:
+    """Characters of passage, question and all choices; missing ones count as empty."""
+    some = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return some(passage) + some(question) + F.coalesce(F.aggregate(choices, F.lit(0), lambda s, x: s + some(x)), F.lit(0))
+
+
 def any_of(c: Column, words: Sequence[str]) -> Column:
     """Whether the text contains one of these."""
     return F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.functions.text import trimmed
+from loomtext.functions.text import in_domains, trimmed
 
 #: Subjects that a plan may name; the first is the default.
 SUBJECTS = ("general", "한국사", "정치와 법")
@@ -32,6 +32,19 @@ def web_score(score: Column, relevance: Column) -> Column:
     return F.coalesce(F.nullif(score, F.lit(0.0)), relevance)
 
 
+def web_results(df: DataFrame, by: str, item: str, url: str, domains: list[str], k: int) -> DataFrame:
+    """The k best of each query (`rank`), and of these the ones in the domains: cut first, then filtered."""
+    w = Window.partitionBy(by).orderBy(F.desc("score"), item)
+    return df.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & in_domains(F.col(url), domains))
+
+
+def constrained_answer(c: Column, n: int, items: int = 2, least: int = 10) -> Column:
+    """The answer of a JSON object {reasoning, answer}: null unless reasoning has so many texts of so many characters and the answer is from 1 to n."""
+    found = F.from_json(c, "reasoning array<string>, answer int")
+    ok = (F.size(found["reasoning"]) >= items) & F.forall(found["reasoning"], lambda x: F.length(x) >= least) & found["answer"].between(1, n)
+    return F.when(ok, found["answer"])
+
+
 def attached(docs: DataFrame, scores: DataFrame, group: list[str], index: str) -> DataFrame:
     """Scores by place in their group: docs that got none have 0, scores out of range fall away."""
     return docs.join(scores.select(*group, index, "score"), [*group, index], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

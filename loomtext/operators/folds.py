@@ -122,6 +122,12 @@ def leaking_groups(df: DataFrame, group: str, fold: str) -> DataFrame:
     return df.groupBy(group).agg(F.sort_array(F.collect_set(fold)).alias("folds"), F.count_distinct(fold).alias("fold_count"), F.count("*").alias("sample_count")).where("fold_count > 1")
 
 
+def cv_splits(df: DataFrame, fold: str, n_folds: int) -> DataFrame:
+    """Each row once for each fold k (`split`): part `eval` where it is in fold k, else `train`; rows without a fold always train."""
+    rows = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    return rows.withColumn("part", F.when(F.col(fold) == F.col("split"), "eval").otherwise("train"))
+
+
 def split(df: DataFrame, fold: str, eval_fold: int) -> tuple[DataFrame, DataFrame]:
     """Training and evaluation rows; rows without a fold train."""
     if fold not in df.columns:

@@ -57,6 +57,14 @@ def length_bins(df: DataFrame, length: str, ok: Column, width: int = 100) -> Dat
     return per.select(F.concat_ws("~", "lo", F.col("lo") + width).alias("bin"), "lo", "n", "mean_length", "n_correct", F.round(F.col("n_correct") / F.col("n") * 100, 6).alias("rate"))
 
 
+def histogram(df: DataFrame, column: str, status: str, bins: int = 20) -> DataFrame:
+    """(status, bin, n): equal bins from the smallest to the largest value, which is in the last one; empty ones don't occur."""
+    ends = df.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
+    at = F.floor((F.col(column) - F.col("__lo")) * bins / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)))
+    rows = df.crossJoin(F.broadcast(ends)).select(F.col(status).alias("status"), F.least(F.lit(bins - 1), at).cast("int").alias("bin"))
+    return rows.groupBy("status", "bin").agg(F.count("*").alias("n"))
+
+
 def compare(first: Column, second: Column) -> Column:
     """Which of two models is right."""
     return F.when(first & second, "both").when(first, "only_1").when(second, "only_2").otherwise("neither")

@@ -21,6 +21,11 @@ _ASK = "{passage}\n\n{question}\n{plus}{choices}\n\nAnswer with one of {range}."
 TEMPLATES = {
     "v1": Template("You answer multiple-choice questions.", _ASK),
     "v2": Template("You answer multiple-choice questions. Choose one of {range}.", _ASK),
+    "v3": Template("You answer multiple-choice questions. Rely on the passage only. Choose one of {range}.", _ASK),
+    "v4": Template("You answer multiple-choice questions. Rule out wrong choices, then choose one of {range}.", _ASK),
+    "v5": Template("You answer multiple-choice questions. Find the sentence that decides, then choose one of {range}.", _ASK),
+    "v6": Template("You answer multiple-choice questions with a number of {range} and nothing else.", _ASK),
+    "v9": Template("You answer multiple-choice questions. Prefer the passage to the references. Choose one of {range}.", "{context}\n" + _ASK, True),
     "v7": Template("You answer multiple-choice questions from the passage and the references.", "{context}\n" + _ASK, True),
     "v10": Template("Think step by step, then end with `Answer: n`, n one of {range}.", "{context}\n" + _ASK, True),
 }

@@ -19,6 +19,12 @@ PARENT_DOC = "doc_id string, subject string, topic string, parent_text string, t
 CHUNK_DOC = "chunk_id string, doc_id string, subject string, topic string, chunk_idx int, chunk_text string, chunk_vector array<float>, start_char int, end_char int, version string, created_at timestamp"
 
 
+def only_if_absent(e: AnalysisException) -> None:
+    """Raises anything but the error that a path doesn't exist."""
+    if e.getCondition() != "PATH_NOT_FOUND":
+        raise e
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """RFC quoting; cells may span lines."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -29,7 +35,8 @@ def csv_or_empty(spark: SparkSession, path: str, schema: str, index: str = "_c0"
     plain = StructType.fromDDL(schema)
     try:
         return csv(spark, path, f"`{index}` string, {schema}").drop(index)
-    except AnalysisException:
+    except AnalysisException as e:
+        only_if_absent(e)
         return spark.createDataFrame([], plain)
 
 
@@ -46,7 +53,8 @@ def jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blank and malformed lines are skipped; a missing file is an empty table."""
     try:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        only_if_absent(e)
         return spark.createDataFrame([], StructType.fromDDL(schema))
 
 
@@ -77,7 +85,8 @@ def listed(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str
     """Sorted names of the files that fit; none if there is no such folder."""
     try:
         rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path").collect()
-    except AnalysisException:
+    except AnalysisException as e:
+        only_if_absent(e)
         return []
     return sorted(r["path"].rsplit("/", 1)[-1] for r in rows)
 
@@ -115,7 +124,9 @@ def numbered_rows(df: DataFrame, order: Sequence[str], out: str = "index") -> Da
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """White space at the ends of cells stays."""
+    writer = (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
