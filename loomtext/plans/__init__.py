@@ -1,0 +1 @@
+from loomtext.plans import catalogue, catalogue_more  # noqa: F401  both register their queries
