@@ -108,7 +108,7 @@ def joined_drafts(drafts: Column) -> Column:
 
 def tokens(c: Column, keep: str = "0-9a-z가-힣") -> Column:
     """Lower-case runs of the kept characters. Stands in for a morphological analyser."""
-    return F.filter(F.split(F.lower(c), f"[^{keep}]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(c), F.lit(f"[{keep}]+"), F.lit(0))
 
 
 def null_tokens(c: Column) -> Column:

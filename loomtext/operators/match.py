@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 #: Keys up to this many are matched by a broadcast nested-loop join; more by seeds.
 BROADCAST_KEYS = 2_000
 #: Characters of a text that its runs are taken from at a time.
-BLOCK = 256
+BLOCK = 64
 
 
 def keys_of(df: DataFrame, column: str, least: int, most: int | None = None) -> DataFrame:
@@ -21,17 +21,18 @@ def keys_of(df: DataFrame, column: str, least: int, most: int | None = None) ->
 def containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str, seed: int) -> DataFrame:
     """(text_id, key) for each key that the text contains; exact. Every key has at least `seed` characters.
 
-    A text contributes its distinct runs of `seed` characters, a key its first ones: an equi-join, then verified. No text
+    A text contributes its runs of `seed` characters, a key its first ones: an equi-join, then verified. No text
     meets a key that it doesn't share a seed with, so both sides may grow.
     """
-    # by blocks, as taking a substring costs as many steps as there are characters before it
+    # by blocks, as taking a substring costs as many steps as there are characters before it; runs are made row by row, never as arrays
     blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(BLOCK)), lambda i: F.substring(F.col(text), i, F.lit(BLOCK + seed - 1)))
-    runs = lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - seed + 1, F.lit(1))), lambda i: F.substring(b, i, F.lit(seed)))
-    grams = F.array_distinct(F.flatten(F.transform(blocks, runs)))
+    rows = texts.where(F.length(text) >= seed).select(F.col(text_id).alias("__id"), F.explode(blocks).alias("block")).where(F.length("block") >= seed)
+    rows = rows.select("__id", "block", F.explode(F.sequence(F.lit(1), F.length("block") - seed + 1)).alias("at"))
+    grams = rows.select("__id", F.substring(F.col("block"), F.col("at"), F.lit(seed)).alias("seed"))
     key_side = keys.select("key", F.left("key", F.lit(seed)).alias("seed"))
     seeds = key_side.select("seed").distinct()
-    hits = texts.where(F.length(text) >= seed).select(F.col(text_id).alias("__id"), F.explode(grams).alias("seed")).join(seeds, "seed", "left_semi")
-    pairs = hits.join(key_side, "seed").select("__id", "key")
+    hits = grams.join(seeds, "seed", "left_semi")
+    pairs = hits.join(key_side, "seed").select("__id", "key").distinct()
     out = pairs.join(texts.select(F.col(text_id).alias("__id"), F.col(text).alias("__text")), "__id").where(F.col("__text").contains(F.col("key")))
     return out.select(F.col("__id").alias(text_id), "key").distinct()
 
