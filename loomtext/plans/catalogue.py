@@ -115,12 +115,12 @@ def provenance_majority(spark, d):
     return match.majority(found, "key", "source", "doc_id")
 
 
-@query(f"""WITH {_NORM_SQL}, lk AS (SELECT left(norm, 40) AS key, min(source) AS label FROM docs WHERE length(norm) >= 40 AND doc_id % 3 = 0 GROUP BY 1),
+@query(f"""WITH {_NORM_SQL}, lk AS (SELECT left(norm, 40) AS key, min(source) AS label FROM docs WHERE length(norm) >= 40 GROUP BY 1),
     q AS (SELECT doc_id, left(norm, 40) AS head, substr(norm, greatest(0, length(norm) // 2 - 20) + 1, 40) AS mid, right(norm, 40) AS tail FROM docs)
     SELECT doc_id, coalesce(a.label, b.label, c.label) AS label FROM q LEFT JOIN lk a ON head = a.key LEFT JOIN lk b ON mid = b.key LEFT JOIN lk c ON tail = c.key""")
 def provenance_coalesced(spark, d):
     docs = _docs(spark, d, "source")
-    lookup = docs.where((F.length("norm") >= 40) & (F.col("doc_id") % 3 == 0)).groupBy(F.left("norm", F.lit(40)).alias("key")).agg(F.min("source").alias("label"))
+    lookup = docs.where(F.length("norm") >= 40).groupBy(F.left("norm", F.lit(40)).alias("key")).agg(F.min("source").alias("label"))
     head, mid, tail = text.anchors(F.col("norm"), 40)
     rows = docs.select("doc_id", head.alias("head"), mid.alias("mid"), tail.alias("tail"))
     return match.coalesced_lookup(rows, lookup, ["head", "mid", "tail"], "label", "found").select("doc_id", F.col("found").alias("label"))
@@ -424,12 +424,12 @@ def two_stage_retrieval(spark, d):
 
 def _groups(spark, d) -> DataFrame:
     """Ranked documents: of each user, groups by event type, contents that repeat."""
-    e = t(spark, d, "events").where("user_id < 200")
+    e = t(spark, d, "events")
     w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     return e.select("user_id", "event_type", F.row_number().over(w).alias("rank"), F.concat(F.lit("c"), F.col("event_id") % 40).alias("content"), F.round("value", 3).alias("score"))
 
 
-_GROUPS_SQL = "g AS (SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INTEGER) AS rank, 'c' || (event_id % 40) AS content, round(value, 3) AS score FROM events WHERE user_id < 200)"
+_GROUPS_SQL = "g AS (SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INTEGER) AS rank, 'c' || (event_id % 40) AS content, round(value, 3) AS score FROM events)"
 
 
 @query(f"""WITH {_GROUPS_SQL}, p AS (SELECT *, CASE WHEN rank = 1 THEN 0 ELSE 1 END AS phase FROM g),
@@ -511,7 +511,7 @@ def numbered_prompt(spark, d):
 
 @query()
 def prompt_messages(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.left("text", F.lit(400)).alias("passage"), F.col("lang").alias("question"), _choices().alias("ch"))
+    rows = t(spark, d, "documents").select("doc_id", F.col("text").alias("passage"), F.col("lang").alias("question"), _choices().alias("ch"))
     return rows.select("doc_id", prompts.messages("v10", F.col("passage"), F.col("question"), F.col("ch"), context=F.col("question")).alias("messages"))
 
 
