@@ -2,8 +2,10 @@
 
 Every vector is described by its nearest reference points (pivots), nearest first. Two vectors are compared if their
 first PREFIX pivots have two or more in common: postings are kept for each pair of pivots, so a list holds vectors that
-share two already, and a pair is verified in the list of the smallest pair that it shares, once. Links are cosines of
-0.9 and more, in double precision.
+share two already, and a pair is verified in the list of the smallest pair that it shares, once. A list returns how many
+links each vector has in it and how they hang together, never the pairs. Links are cosines of 0.9 and more, in double
+precision. Pivots lie more than the link's angle apart: were they closer, a loose group (members linked, but farther than
+half that angle from each other) would hold many, and which of them are nearest to a member would be close to chance.
 
 Dense groups don't go through lists. Angles obey the triangle inequality, so vectors within half the link's angle of one
 pivot (its home class) are all linked with each other, whatever their number: they are counted, not paired. Between a
@@ -33,13 +35,14 @@ TILE = 1024
 SLACK = 1e-9
 
 
-def unit(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """The vectors that can be compared, of length 1, their rows, and their dimension (the most usual one of the batch)."""
+def unit(batch_column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The vectors that can be compared, of length 1, their rows, and their dimension (as given, or the most usual one of the batch)."""
     column = batch_column.cast(pa.list_(pa.float64()))
     sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
     flat = column.flatten().to_numpy(zero_copy_only=False)  # null components come as NaN
     begins = np.cumsum(sizes) - sizes
-    dim = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
+    if dim is None:
+        dim = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
     rows = np.flatnonzero(sizes == dim) if dim else np.zeros(0, int)
     x = flat[begins[rows][:, None] + np.arange(dim)[None, :]] if len(rows) else np.zeros((0, dim))
     with np.errstate(over="ignore", invalid="ignore"):
@@ -84,8 +87,8 @@ def describe(vectors: DataFrame, pivots: np.ndarray, half: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, rows, dim = unit(part.column("embedding"))
-                if dim != p.shape[1] or not len(rows):
+                x, rows, _ = unit(part.column("embedding"), p.shape[1])
+                if not len(rows):
                     continue
                 c = x @ p.T
                 near = np.argpartition(-c, k - 1, axis=1)[:, :k]
@@ -105,18 +108,46 @@ def describe(vectors: DataFrame, pivots: np.ndarray, half: float) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(work, "vec_id long, vector binary, prefix array<int>, home int, far double")
 
 
-def posted(lone: DataFrame, dim: int, least: float) -> DataFrame:
-    """Linked pairs (a, b) among vectors without a home: those in a common list of two pivots, verified."""
-    pairs = [(i, j) for i, j in combinations(range(PREFIX), 2)]
+def hanging(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of 0..n-1 that each can reach by the links (a, b), which are in order of a and hold both directions."""
+    root = np.arange(n)
+    if not len(a):
+        return root
+    begins = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    node = a[begins]
+    while True:
+        low = root.copy()
+        low[node] = np.minimum(root[node], np.minimum.reduceat(root[b], begins))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def posted(lone: DataFrame, dim: int, k: int, least: float) -> DataFrame:
+    """Links among vectors without a home, those in a common list of two of their k pivots, verified: (vec_id, other, n): its links in a tile, and a vector that all it hangs together with there have in common."""
+    pairs = list(combinations(range(k), 2)) or [(0, 0)]
     keys = F.array(*(F.least(F.get("prefix", i), F.get("prefix", j)) * PIVOTS + F.greatest(F.get("prefix", i), F.get("prefix", j)) for i, j in pairs))
-    rows = lone.select("vec_id", "vector", F.array_sort("prefix").alias("own"), F.explode(F.array_compact(keys)).alias("key"))
+    rows = lone.select("vec_id", "vector", F.array_sort("prefix").alias("own"), F.explode(keys).alias("key"))
     long = rows.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("blocks"))
     rows = rows.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "vector", "own").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
+    def linked_here(x: np.ndarray, own: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, key: int) -> np.ndarray:
+        """Which of the left link with which of the right, and have no two smaller pivots in common: only one list reports a pair."""
+        hit = (x[left] @ x[right].T >= least) & (ids[left][:, None] != ids[right][None, :])
+        first, second = divmod(key, PIVOTS)
+        earlier = (own < second) & (own != first)
+        names, at = np.unique(own[earlier], return_inverse=True)
+        if len(names) and hit.any():
+            marks = np.zeros((len(ids), len(names)), np.float32)
+            marks[np.nonzero(earlier)[0], at] = 1
+            hit &= marks[left] @ marks[right].T == 0
+        return hit
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list] = ([], [])
+        out: tuple[list, list, list] = ([], [], [])
         held = 0
         for s in segments(batches, ("key", "i", "j")):
             if s.num_rows < 2:
@@ -126,27 +157,26 @@ def posted(lone: DataFrame, dim: int, least: float) -> DataFrame:
             i, j = s.column("i")[0].as_py(), s.column("j")[0].as_py()
             left = np.flatnonzero(block == i)
             right = left if i == j else np.flatnonzero(block == j)
-            a, b = np.nonzero(x[left] @ x[right].T >= least)
+            a, b = np.nonzero(linked_here(x, own, ids, left, right, s.column("key")[0].as_py()))
             a, b = left[a], right[b]
-            keep = ids[a] < ids[b] if i == j else ids[a] != ids[b]
-            a, b = a[keep], b[keep]
             if not len(a):
                 continue
-            # of the pivots that both have, the two smallest: only that list reports the pair
-            common = np.where((own[a][:, :, None] == own[b][:, None, :]).any(2), own[a], PIVOTS)
-            common.sort(axis=1)
-            here = common[:, 0] * PIVOTS + common[:, 1] == s.column("key")[0].as_py()
-            a, b = ids[a[here]], ids[b[here]]
-            out[0].append(np.minimum(a, b))
-            out[1].append(np.maximum(a, b))
-            held += len(a)
+            if i != j:
+                a, b = np.concatenate([a, b]), np.concatenate([b, a])
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+            n = np.bincount(a, minlength=len(ids))
+            row = np.flatnonzero(n)
+            for o, v in zip(out, (ids[row], ids[hanging(a, b, len(ids))[row]], n[row]), strict=True):
+                o.append(v)
+            held += len(row)
             if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["a", "b"])
-                out, held = ([], []), 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["vec_id", "other", "n"])
+                out, held = ([], [], []), 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["vec_id", "other", "n"])
 
-    return rows.mapInArrow(work, "a long, b long")
+    return rows.mapInArrow(work, "vec_id long, other long, n long")
 
 
 def settled(lone: DataFrame, pivots: np.ndarray, homes: list, full: float) -> DataFrame:
@@ -211,7 +241,7 @@ def linked(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     if not len(x):
         return alone
     full = float(np.arccos(least))
-    pivots = choose(x, full / 2)
+    pivots = choose(x, full)
     found = stored(describe(vectors.where("vec_id IS NOT NULL"), pivots, full / 2))
     lone, housed = found.where("home < 0"), found.where("home >= 0")
     homes = [r.asDict() for r in housed.groupBy("home").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.min("vec_id").alias("head")).orderBy("home").collect()]
@@ -233,14 +263,14 @@ def linked(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     lefts = lefts.unionByName(housed.join(both, F.col("home") == F.col("s")).select(pair, "vec_id", "vector"))
     rights = rights.unionByName(housed.join(both, F.col("home") == F.col("t")).select(pair, "vec_id", "vector"))
     tiles = cut(compared(lefts, rights, {}, dim, least))
-    pairs = cut(posted(lone, dim, least))
+    lists = cut(posted(lone, dim, min(PREFIX, len(pivots)), least))
     whole = spark.createDataFrame([(h["home"], sum(t["n"] if s is h else s["n"] for s, t in between if h in (s, t)) + h["n"] - 1) for h in homes], "home int, n long")
     surely = near.where("n IS NOT NULL")
     counts = (
         housed.join(whole, "home").select("vec_id", "n")
         .unionByName(surely.select("vec_id", "n"))
         .unionByName(tiles.select("vec_id", "n"))
-        .unionByName(pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).select("vec_id", F.lit(1).cast("long").alias("n")))
+        .unionByName(lists.select("vec_id", "n"))
     )
     # what a class gets from vectors that link with all of it
     back = surely.groupBy("home").agg(F.count("*").alias("n"))
@@ -249,7 +279,7 @@ def linked(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         housed.join(heads, "home").select(F.col("vec_id").alias("a"), F.col("head").alias("b"))
         .unionByName(surely.select("vec_id", "home").join(heads, "home").select(F.col("vec_id").alias("a"), F.col("head").alias("b")))
         .unionByName(tiles.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-        .unionByName(pairs)
+        .unionByName(lists.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
         .unionByName(spark.createDataFrame([(s["head"], t["head"]) for s, t in between], "a long, b long"))
     )
     groups = components(edges).select(F.col("node").alias("vec_id"), "component")

@@ -148,6 +148,39 @@ def test_linked_vectors(spark):
     assert pivots.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_a_loose_group_of_vectors_is_found(spark):
+    rng = np.random.default_rng(4)
+    n, dim, members = 3000, 64, 1000
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = x[:members] - x[0] * (x[:members] @ x[0])[:, None]
+    away[0] = x[1] - x[0] * (x[1] @ x[0])
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    x[:members] = np.sqrt(0.92) * x[0] + np.sqrt(0.08) * away  # cosines with each other of about 0.92
+    c = x @ x.T
+    assert 0.91 < c[:members, :members].mean() < 0.93
+    want = (c >= 0.9).sum(1) - 1
+    got = {r.vec_id: r for r in pivots.linked(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+    assert {got[i].component_id for i in range(members)} == {0}
+
+
+def test_vectors_near_one_pivot_only(spark):
+    rng = np.random.default_rng(5)
+    x = np.eye(16)[0] + rng.normal(size=(300, 16)) * 0.085
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x[x @ x[0] > 0.91]  # one pivot, and most are farther than half the angle from it
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in pivots.linked(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_a_vector_of_the_usual_dimension_counts_in_any_batch(spark):
+    mixed = spark.createDataFrame([(100, [1.0, 0.5, 0.2]), *((i, [1.0, 1.0]) for i in range(101, 105))], "vec_id long, embedding array<double>").coalesce(1)
+    assert [r.vec_id for r in pivots.describe(mixed, np.eye(3), 0.2).collect()] == [100]
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.com", "http://a.com/", "https://x.example.com/en/1?q", "https://www.example.com/en/1", "https://a.www.example.com/en/", "http://a.net/es/x#y", "http://net/fr/", "http://x.net/de/", "ftp://notexample.com/en/", "http://a.com:80/", "http://a.com?x=/es/", "weird://"]
     rows = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(5, urls[5], "x", "y")], "page_id long, url string, rule string, host string")
