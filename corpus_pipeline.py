@@ -7,6 +7,7 @@ one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, minhash, mixing, quality, toxicity
 from loomtext.llm.queries import MIX, vocabulary
@@ -25,11 +26,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): that with the smallest doc_id. Rows without doc_id stay; a row that repeats another goes."""
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"]) if docs.where("doc_id IS NULL").isEmpty() else docs.dropDuplicates()
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates (five words, 0.8): that with the smallest doc_id. Rows without doc_id stay; a row that repeats another in all columns goes. Texts that share a doc_id are documents of their own."""
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = minhash.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = docs.dropDuplicates().withColumn("__row", F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    gone = minhash.near_duplicates(rows, words=5, percent=80, row="__row").where("NOT kept").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def sets(texts: Texts, words: int) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest of the set (null if empty), signature (array<long>)."""
+    """Per row: doc_id, hash (both as they come), n_shingles, digest of the set (null if empty), signature (array<long>), row (as it comes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -93,14 +93,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("hash"),
                     pa.array(n),
                     string_array([xxhash.xxh3_128_hexdigest(x.tobytes()) if len(x) else None for x in found]),
                     pa.FixedSizeListArray.from_arrays(pa.array(signs.ravel().view(np.int64)), K).cast(pa.list_(pa.int64())),
+                    part.column("row"),
                 ],
-                ["doc_id", "n_shingles", "digest", "signature"],
+                ["doc_id", "hash", "n_shingles", "digest", "signature", "row"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest string, signature array<long>")
+    return docs.select("doc_id", "text", "hash", "row").mapInArrow(work, "doc_id long, hash string, n_shingles long, digest string, signature array<long>, row string")
 
 
 def wide(texts: DataFrame, words: int) -> DataFrame:
@@ -255,24 +257,30 @@ def confirmed_tiles(found: DataFrame, texts: DataFrame, words: int, percent: int
     return rows.select("token", "i", "j", "node", "a", "b", "text").mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (it is that one).
 
+    The node of the links is the set, not the id, so texts that share an id are told apart. Given a column `row` of strings
+    that differ from row to row, it is returned too, and one row of a group is kept even where several have its smallest doc_id.
+
     Words are runs of other than ASCII white space, A-Z as a-z; a text's set is its distinct runs of `words` words, the
     whole text as one where it has fewer. Links: 100 * intersection >= percent * union. A text without words, or null,
     has an empty set and no links. Rows of one doc_id count as copies of one document if their texts are equal; where they
-    differ, each row has its own set and doc_id stands for the first. Null ids are left out of all groups (component null).
+    differ, each row has its own set, and of sets that are linked the one of the smallest digest is kept. Null ids are left out of all groups (component null).
     """
     t = must_agree(K, percent)
+    docs = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("hash"), (F.col(row) if row else F.lit(None)).cast("string").alias("row"))
     found = stored(signatures(docs, words))
-    classes = found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    signs = found.join(classes, (found["digest"] == classes["digest"]) & (found["doc_id"] == classes["node"]), "left_semi").select(F.col("doc_id").alias("node"), "signature").dropDuplicates(["node"])
+    classes = found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "hash", "row")).alias("first"))
+    classes = stored(classes.select("digest", "first.*", F.monotonically_increasing_id().alias("node")))  # numbered once, as they are stored
+    signs = found.select("digest", "doc_id", "hash", "signature").join(classes.drop("row"), ["digest", "doc_id", "hash"]).select("node", "signature").dropDuplicates(["node"])
     tokens = signs.select("node", F.posexplode("signature").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= t)
     prefixes = stored(ranked.select("node", F.slice("shared", F.lit(1), F.size("shared") - (t - 1))["token"].alias("tokens")))
     lists = prefixes.select("node", F.explode("tokens").alias("token"))
-    texts = stored(docs.select(F.col("doc_id").alias("node"), "text").join(prefixes, "node", "left_semi").dropDuplicates(["node"]))
+    wanted = classes.join(prefixes, "node", "left_semi").select("doc_id", "hash", "node")
+    texts = stored(docs.select("doc_id", "hash", "text").join(wanted, ["doc_id", "hash"]).select("node", "text").dropDuplicates(["node"]))
     least = lists.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = lists.join(least, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     signs = stored(signs.join(prefixes.select("node"), "node"))
@@ -282,7 +290,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     groups = prefixes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     tiles = stored(across(lists, groups, stored(wide(texts, words).join(prefixes, "node")), percent))
     links = links.unionByName(stored(confirmed_tiles(tiles, texts, words, percent)))
-    groups = components(links).withColumnRenamed("node", "rep")
-    reps = classes.join(groups, classes["node"] == groups["rep"], "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    groups = classes.join(components(links), "node").select("node", "component", F.struct("doc_id", "digest").alias("own"))
+    heads = groups.groupBy("component").agg(F.min("own").alias("head"))
+    groups = groups.join(heads, "component").select("node", "head")
+    reps = classes.join(groups, "node", "left").select("digest", F.coalesce("head.doc_id", "doc_id").alias("component_id"), F.coalesce(F.col("head.digest") == F.col("digest"), F.lit(True)).alias("leads"), F.col("row").alias("lead"))
+    out = found.select("doc_id", "n_shingles", "digest", "row").join(reps, "digest", "left")
+    first = (F.col("component_id") == F.col("doc_id")) & F.col("leads") & F.coalesce(F.col("row") == F.col("lead"), F.lit(True))
+    kept = F.coalesce(F.col("doc_id").isNull() | first, F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), kept, *([F.col("row").alias(row)] if row else []))

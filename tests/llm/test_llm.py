@@ -130,6 +130,22 @@ def test_near_duplicates_equal_brute_force(spark, words, percent):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("null_id", [False, True])
+def test_texts_that_share_an_id_are_told_apart(spark, null_id):
+    import corpus_pipeline
+
+    words = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcd"]
+    texts = [(5, words[0]), (5, words[1]), (3, words[1] + " more"), (7, words[2]), (7, words[2]), (8, words[3]), (8, words[3] + " more")]
+    rows = docs_of(spark, texts)
+    if null_id:
+        rows = rows.unionByName(docs_of(spark, [(9, words[0])]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.one_of_each(spark, rows, "").collect())
+    assert [x for x in got if x[0] in (3, 5, 7)] == [(3, words[1] + " more"), (5, words[0]), (7, words[2])]
+    assert len([x for x in got if x[0] == 8]) == 1
+    assert [x for x in got if not x[0]] == [(0, words[0])] * null_id
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows).where("doc_id < 7").collect()} == {(5, 5, True), (5, 3, False), (3, 3, True)}
+
+
 def test_linked_vectors(spark):
     rng = np.random.default_rng(2)
     heads = rng.normal(size=(60, 24))
