@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomtext.functions.arrays import moved
@@ -61,44 +62,71 @@ def quota(df: DataFrame, key: str, first: int, eval_fold: int, n_folds: int, see
     return df.withColumn("fold", F.when(i < first, eval_fold).when(turn == eval_fold, F.pmod(turn + 1, F.lit(n_folds))).otherwise(turn).cast("int"))
 
 
+def _numbered(groups: DataFrame, group: str, same: str, seed: str) -> DataFrame:
+    """`__at`: 0-based place of each group among those with the same value of `same`, in a shuffled order: its ranges are counted, and numbered within."""
+    rows = groups.withColumn("__o", shuffled(seed, group)[0])
+    rows = rows.withColumn("__part", F.conv(F.left("__o", F.lit(3)), 16, 10).cast("int"))  # 16 ** 3 ranges, in the order of the hashes
+    ends = rows.groupBy(same, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(same).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col(same).alias("__same"), F.col("__part").alias("__range"), F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = rows.withColumn("__within", F.row_number().over(Window.partitionBy(same, "__part").orderBy("__o", group)))
+    rows = rows.join(ends, F.col(same).eqNullSafe(F.col("__same")) & (F.col("__part") == F.col("__range")))
+    return rows.select(group, same, (F.col("__before") + F.col("__within") - 1).alias("__at"))
+
+
+def _dealt(vectors: list[tuple[list[int], int]], n_folds: int) -> list[list[int]]:
+    """Of each (counts of labels, groups that have them), in turn, how many groups go to each fold: each where label shares stay most even; of thousands of like groups, a thousandth of the rest at a time."""
+    width = len(vectors[0][0]) if vectors else 0
+    total = [sum(v[k] * n for v, n in vectors) for k in range(width)]
+    have = [[0] * width for _ in range(n_folds)]
+    out = []
+    for v, n in vectors:
+        given = [0] * n_folds
+        while n:
+            step = max(1, n // 1000)
+
+            def unevenness(f: int, v=v, step=step) -> tuple[float, int]:
+                spread = 0.0
+                for k in range(width):
+                    shares = [(have[i][k] + (step * v[k] if i == f else 0)) / total[k] for i in range(n_folds)]
+                    m = sum(shares) / n_folds
+                    spread += (sum((s - m) ** 2 for s in shares) / n_folds) ** 0.5
+                return round(spread / width, 12), sum(have[f])
+
+            best = min(range(n_folds), key=unevenness)
+            have[best] = [a + step * b for a, b in zip(have[best], v, strict=True)]
+            given[best] += step
+            n -= step
+        out.append(given)
+    return out
+
+
 def stratified_group_folds(df: DataFrame, group: str, label: str, n_folds: int, seed: str) -> DataFrame:
     """(group, fold): each group, those with the most uneven labels first, goes where label shares stay most even.
 
-    The choice is sequential by nature. Groups with the same counts of labels are alike, so the loop on the driver runs
-    over groups' label counts, one small row a group; it refuses more than a million groups.
+    The choice is sequential by nature, but groups with the same counts of labels are alike: only the distinct counts, and
+    how many groups have them, come to the driver, which decides how many of these go to each fold. Which ones do follows
+    from a shuffled order that is numbered on the cluster.
     """
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    rows = counts.groupBy(group).agg(F.collect_list(F.struct(label, "n")).alias("c")).withColumn("o", shuffled(seed, group)[0]).limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("too many groups for a sequential assignment")
-    labels = sorted({x[0] for r in rows for x in r["c"]}, key=str)
+    groups = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("__c"))
+    rows = groups.groupBy("__c").agg(F.count("*").alias("groups")).collect()
+    labels = sorted({x["label"] for r in rows for x in r["__c"]}, key=str)
     at = {v: k for k, v in enumerate(labels)}
-    total = [sum(x[1] for r in rows for x in r["c"] if at[x[0]] == k) for k in range(len(labels))]
     vectors = []
-    for r in sorted(rows, key=lambda r: (r["o"], str(r[group]))):
+    for r in rows:
         v = [0] * len(labels)
-        for x in r["c"]:
-            v[at[x[0]]] = x[1]
+        for x in r["__c"]:
+            v[at[x["label"]]] = x["n"]
         mean = sum(v) / len(v)
-        vectors.append((r[group], v, sum((x - mean) ** 2 for x in v)))
-    vectors.sort(key=lambda x: -x[2])
-    have = [[0] * len(labels) for _ in range(n_folds)]
-    out = []
-    for g, v, _ in vectors:
-
-        def unevenness(f: int, v=v) -> tuple[float, int]:
-            spread = 0.0
-            for k in range(len(labels)):
-                shares = [(have[i][k] + (v[k] if i == f else 0)) / total[k] for i in range(n_folds)]
-                m = sum(shares) / n_folds
-                spread += (sum((s - m) ** 2 for s in shares) / n_folds) ** 0.5
-            return round(spread / len(labels), 12), sum(have[f])
-
-        best = min(range(n_folds), key=unevenness)
-        have[best] = [a + b for a, b in zip(have[best], v, strict=True)]
-        out.append((g, best))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(out, f"`{group}` {kind}, fold int")
+        vectors.append((sum((x - mean) ** 2 for x in v), v, r))
+    vectors.sort(key=lambda x: (-x[0], x[1]))
+    given = _dealt([(v, r["groups"]) for _, v, r in vectors], n_folds)
+    ends = [(r["__c"], [sum(g[: f + 1]) for f in range(n_folds)]) for (_, _, r), g in zip(vectors, given, strict=True)]
+    schema = T.StructType([T.StructField("__c", groups.schema["__c"].dataType), T.StructField("__ends", T.ArrayType(T.LongType()))])
+    to = df.sparkSession.createDataFrame(ends, schema).withColumnRenamed("__c", "__to")
+    placed = _numbered(groups, group, "__c", seed).join(F.broadcast(to), F.col("__c").eqNullSafe(F.col("__to")))
+    return placed.select(group, F.size(F.filter("__ends", lambda e: e <= F.col("__at"))).cast("int").alias("fold"))
 
 
 def least_loaded(df: DataFrame, group: str, fold: str, target: Column, n_folds: int) -> DataFrame:

@@ -89,6 +89,22 @@ def test_group_folds_keep_groups(spark):
     assert moved.count() == 60
 
 
+def test_stratified_groups_stay_on_the_cluster(spark, monkeypatch):
+    rows = spark.range(20_000).select((F.col("id") / 2).cast("long").alias("g"), F.when(F.col("id") % 10 < 2, None).otherwise(F.col("id") % 3).alias("l"))
+    most = []
+    frame, whole = type(rows), type(rows).collect
+    monkeypatch.setattr(frame, "collect", lambda self: (most.append(len(r := whole(self))), r)[1])
+    assigned = folds.stratified_group_folds(rows, "g", "l", 5, "s")
+    monkeypatch.undo()
+    assert max(most) < 20  # distinct counts of labels, not 10,000 groups
+    got = {r.g: r.fold for r in assigned.collect()}
+    assert len(got) == assigned.count() == 10_000 and set(got.values()) == set(range(5))
+    assert got == {r.g: r.fold for r in folds.stratified_group_folds(rows.repartition(7), "g", "l", 5, "s").collect()}
+    for r in rows.join(assigned, "g").groupBy("l").pivot("fold", list(range(5))).count().collect():
+        n = [r[str(k)] for k in range(5)]
+        assert max(n) - min(n) <= 4
+
+
 def test_split_needs_a_fold(spark):
     with pytest.raises(ValueError):
         folds.split(spark.range(1), "fold", 1)
