@@ -23,8 +23,8 @@ from loomtext.llm.textbatch import Texts, slices, string_array
 
 #: Fixed value: the pattern that the byte-level pre-tokeniser splits by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct fragments that a worker remembers; then it begins anew.
-MEMO = 800_000
+#: Bytes of fragments and their ids that a worker remembers, about; then it begins anew. Longer fragments are not remembered.
+MEMO, LONG = 64 << 20, 256
 NONE = np.iinfo(np.int32).max
 
 
@@ -75,6 +75,7 @@ class Vocabulary:
         self.cut = (~self.inside & (left > 0x20) & (left < 0x7F) & ((right < 0x80) | (right >= 0xC0)) & (right != 0x27)).ravel()
         self.words = regex.compile(PATTERN)
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def slot(keys: np.ndarray, k: int) -> np.ndarray:
@@ -121,16 +122,22 @@ class Vocabulary:
             ids, word = ids[keep], word[keep]
         return out
 
-    def learn(self, fragments: list[bytes]) -> None:
-        """Encodes these fragments into the memo."""
+    def learn(self, fragments: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each of these fragments; the short ones go into the memo."""
         parts: list[list[bytes]] = []
         for f in fragments:
             x = f.decode("utf-8", "replace")
             parts.append([f] if (x[1:] if x[0] == " " else x).isalpha() else [w.encode() for w in self.words.findall(x)])
         new = list({w: None for p in parts for w in p})
         known = dict(zip(new, self.merge(new), strict=True))
-        for f, p in zip(fragments, parts, strict=True):
-            self.memo[f] = known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p))
+        ids = {f: known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for f, p in zip(fragments, parts, strict=True)}
+        short = {f: i for f, i in ids.items() if len(f) <= LONG}
+        size = sum(len(f) + len(i) + 200 for f, i in short.items())  # 200: what two objects and an entry take besides
+        if self.held + size > MEMO:
+            self.memo, self.held = {}, 0
+        self.memo |= short
+        self.held += size
+        return ids
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin (then where the last one's end)."""
@@ -141,7 +148,7 @@ class Vocabulary:
         begins = np.zeros(len(buf) + 1, bool)
         begins[1:-1] = self.cut[buf[:-1].astype(np.uint16) * np.uint16(256) + buf[1:]]
         bounds = set(offsets.tolist())
-        for token, i in self.added.items():
+        for token in self.added:
             at = data.find(token)
             while at >= 0:
                 if bounds.isdisjoint(range(at + 1, at + len(token))):
@@ -151,15 +158,13 @@ class Vocabulary:
                 at = data.find(token, at + 1)
         begins[offsets] = True
         begins = np.flatnonzero(begins)
-        _, one, which = np.unique(texts.hashes(begins[:-1], begins[1:]), return_index=True, return_inverse=True)
+        one, which = distinct(texts, begins)
         fragments = [data[x:y] for x, y in zip(begins[one].tolist(), begins[one + 1].tolist(), strict=True)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        for token, i in self.added.items():
-            self.memo[token] = np.array([i], "<u4").tobytes()
-        if new := [f for f in fragments if f not in self.memo]:
-            self.learn(new)
-        packed = list(map(self.memo.__getitem__, fragments))
+        memo = self.memo
+        own = {token: np.array([i], "<u4").tobytes() for token, i in self.added.items()}
+        if new := [f for f in fragments if f not in memo and f not in own]:
+            own |= self.learn(new)
+        packed = [own[f] if f in own else memo[f] for f in fragments]
         ids, sizes = gather(np.frombuffer(b"".join(packed), "<u4"), np.array([len(x) // 4 for x in packed]), which)
         return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begins, offsets)]
 
@@ -180,17 +185,38 @@ def gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.n
     return flat[np.repeat(begins[which] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())], taken
 
 
-_loaded: dict[int, Vocabulary] = {}
+def distinct(texts: Texts, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fragments between `begins` that stand for all that are equal to them, and of each fragment the number of the one that does.
+
+    Hashes find them, bytes decide: put in place of the fragments they stand for, they must give the buffer itself, and a
+    fragment where they don't stands for itself.
+    """
+    _, one, which = np.unique(texts.hashes(begins[:-1], begins[1:]), return_index=True, return_inverse=True)
+    sizes = np.diff(begins)
+    equal = sizes[one][which] == sizes
+    if equal.all():
+        again = np.repeat(begins[one][which] - begins[:-1], sizes) + np.arange(len(texts.buf))
+        wrong = np.flatnonzero(texts.buf[again] != texts.buf)
+        equal[np.searchsorted(begins, wrong, "right") - 1] = False
+    if not equal.all():  # two fragments share a hash: all are told apart by their bytes
+        data = texts.buf.tobytes()
+        first: dict[bytes, int] = {}
+        named = [first.setdefault(data[x:y], len(first)) for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+        which = np.array(named)
+        one = np.unique(which, return_index=True)[1]
+    return one, which
+
+
+_loaded: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(shared) -> Vocabulary:
     """One vocabulary a worker process."""
     text = shared.value
-    key = hash(text)
-    if key not in _loaded:
+    if text not in _loaded:
         _loaded.clear()
-        _loaded[key] = Vocabulary(text)
-    return _loaded[key]
+        _loaded[text] = Vocabulary(text)
+    return _loaded[text]
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, proof: bool = False) -> DataFrame:

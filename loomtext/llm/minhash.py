@@ -41,6 +41,8 @@ U = np.uint64
 _rng = np.random.default_rng(20240101)
 XORS = _rng.integers(0, 2**64, WIDE + K, dtype=U)
 TIMES = _rng.integers(0, 2**64, WIDE + K, dtype=U) | U(1)
+#: What a word's hash is multiplied by at each place of a shingle, so that the order of words counts.
+PLACES = _rng.integers(0, 2**64, 64, dtype=U) | U(1)
 
 
 def must_agree(n: int, percent: int) -> int:
@@ -56,13 +58,12 @@ def shingles(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     h, counts = texts.word_hashes, np.diff(texts.words[2])
     out = np.zeros(len(h), U)
     for k in range(words):
-        out[: len(h) - k] += h[k:] * U((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        out[: len(h) - k] += h[k:] * PLACES[k]
     last = texts.words[2][1:]
     keep = np.arange(len(h)) + words <= np.repeat(last, counts)
     for i in np.flatnonzero((counts > 0) & (counts < words)).tolist():
         a, b = texts.words[2][i], texts.words[2][i + 1]
-        out[a] = sum(int(x) * ((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k, x in enumerate(h[a:b])) % 2**64 + 0 if b > a else 0
-        out[a] ^= U(b - a)
+        out[a] = (h[a:b] * PLACES[: b - a]).sum() ^ U(b - a)
         keep[a] = True
     return mix(out[keep]), np.concatenate([[0], np.cumsum(keep)])[texts.words[2]]
 

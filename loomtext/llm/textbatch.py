@@ -8,6 +8,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: White space of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
@@ -17,19 +18,9 @@ NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), BASE if kind == "up" else INVERSE, np.uint64)
-        have[0] = 1
-        _powers[kind] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+_tails = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans of more bytes than this are hashed one by one.
+LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,15 +89,25 @@ class Texts:
         return np.repeat(np.arange(len(self)), np.diff(self.words[2]))
 
     @cached_property
-    def running(self) -> np.ndarray:
-        """Sums of (byte + 1) * base ** position up to each place."""
-        out = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(((LOWER[self.buf] if self.fold else self.buf).astype(np.uint64) + np.uint64(1)) * _power("up", len(self.buf)), out=out[1:])
-        return out
+    def eights(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes as they hash, and the eight of them from each place on as one number."""
+        padded = np.zeros(len(self.buf) + 8, np.uint8)
+        padded[: len(self.buf)] = LOWER[self.buf] if self.fold else self.buf
+        return padded, np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
 
     def hashes(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the bytes between; equal bytes have equal hashes wherever they stand."""
-        return mix((self.running[ends] - self.running[begins]) * _power("down", len(self.buf) + 1)[begins] + (ends - begins).astype(np.uint64))
+        """64-bit hashes of the bytes between; equal bytes have equal hashes wherever they stand. Eight bytes a step, mixed between steps."""
+        padded, eight = self.eights
+        size = (ends - begins).astype(np.int64)
+        out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(padded[begins[k] : ends[k]])
+        left, done = np.flatnonzero(size <= LONG), 0
+        while len(left):
+            rest = size[left] - done
+            out[left] = mix(out[left] ^ (eight[begins[left] + done] & _tails[np.clip(rest, 0, 8)]))
+            left, done = left[rest > 8], done + 8
+        return out
 
     @cached_property
     def word_hashes(self) -> np.ndarray:

@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, fingerprint, language, minhash, mixing, pivots, quality, toxicity, urlfilter, warc
 from loomtext.llm.queries import MIX, URL_RULES, vocabulary
 from loomtext.llm.shared import components, crc_held_out
+from loomtext.llm.textbatch import Texts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, component long"
 
@@ -41,12 +43,42 @@ def test_components(spark):
     assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def thue_morse(n):
+    """Two strings of 2 ** n letters that sums of powers modulo 2 ** 64 can't tell apart from n = 10 or so on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return [a, b]
+
+
+def test_hashes_tell_words_apart():
+    words = [w for n in (10, 11, 12) for w in thue_morse(n)] + [f"{'ab' * k}c" for k in range(300)] + ["a\0", "a", "a\0\0"]
+    t = Texts.of(pa.array([" ".join(words), " ".join(reversed(words))]))
+    h = t.word_hashes
+    assert len(set(h.tolist())) == len(words) and (h[: len(words)] == h[len(words) :][::-1]).all()
+    x = minhash.sets(Texts.of(pa.array(["x y y y x", "y x y x y"])), 5)
+    assert x[0][0] != x[1][0]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_fragments_are_told_apart_by_bytes(monkeypatch, shared):
+    if shared:
+        monkeypatch.setattr(Texts, "hashes", lambda self, begins, ends: np.zeros(len(begins), np.uint64))
+    t = Texts.of(pa.array(["one", "two", "", "one", "three", "two"]))
+    begins = np.unique(t.offsets)
+    one, which = bpe.distinct(t, begins)
+    data = t.buf.tobytes()
+    parts = [data[x:y] for x, y in zip(begins, begins[1:])]
+    assert len(one) == 3 and [parts[one[k]] for k in which] == parts
+
+
 def test_bpe_matches_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [None, "", " ", "a", "don't DON'T a''s 's 're!'s", "x  y\n\n\nA  b\t\tc　é'll", "<|endoftext|>a  <|endoftext|>\n\n b<|endoftext", "<|<|endoftext|>|>", "日本語 テキスト 😀", "aaaaaaaaaa" * 50, "word " * 30_000, "#$%^&*()_+12345 67a8"]
+    texts += [x for n in (10, 11, 12) for x in thue_morse(n)] + ["漢字仮名交じり文" * 4000, "x" * 9000]
     rng = random.Random(5)
     texts += ["".join(rng.choice(" \n'abcsdtÉß1.!<|>é　 ") for _ in range(rng.randint(1, 60))) for _ in range(200)]
     rows = docs_of(spark, list(enumerate(texts)) + [(3, "a")])
@@ -121,6 +153,7 @@ def test_near_duplicates_equal_brute_force(spark, words, percent):
             base[rng.randrange(150)] = f"w{rng.randint(0, 400)}"
         texts.append((i, " ".join(base)))
     texts += [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(80))) for i in range(200, 230)]
+    texts += list(enumerate([*thue_morse(10), "a b " * 40, "b a " * 40 + "b", "x y y y x", "y x y x y"], 300))
     rows = docs_of(spark, texts + [(3, "One")])
     got = minhash.near_duplicates(rows, words, percent).collect()
     assert len(got) == len(texts) + 1
