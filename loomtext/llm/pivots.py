@@ -10,57 +10,60 @@ half that angle from each other) would hold many, and which of them are nearest
 Dense groups don't go through lists. Angles obey the triangle inequality, so vectors within half the link's angle of one
 pivot (its home class) are all linked with each other, whatever their number: they are counted, not paired. Between a
 class and anything else the same inequality settles most cases from the distances to pivots alone; the few undecided
-ones are compared in tiles that return counts. Pivots come from a sample of the vectors, and so a group that holds more than
-a few thousandths of all rows has one of its own.
+ones are compared in tiles that return counts. Pivots come from a sample of the vectors, those with the most neighbours
+in it first, so a dense group that is as large as a few sampled rows stand for has one of its own. Their number grows with
+the square root of the number of vectors, so that lists stay short.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.shared import components, cut, stored
 from loomtext.llm.textbatch import segments
 
-#: Rows that pivots are chosen from (a bounded sample), pivots, and how many of them describe a vector.
-SAMPLE, PIVOTS, PREFIX = 2048, 512, 6
+#: Least and most pivots (about four times the square root of the number of vectors between), rows that are sampled for each
+#: of them (so the sample is bounded by 16,384 rows), and how many pivots describe a vector.
+FEWEST, PIVOTS, SAMPLED, PREFIX = 512, 4096, 4, 6
 #: Vectors on a side of a tile.
 TILE = 1024
-#: What rounding may move an angle by.
-SLACK = 1e-9
+#: What rounding may move an angle by: near 1, an error of 1e-16 in a cosine is one of 1.5e-8 in its angle.
+SLACK = 1e-7
 
 
-def unit(batch_column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """The vectors that can be compared, of length 1, their rows, and their dimension (as given, or the most usual one of the batch)."""
+def unit(batch_column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of this dimension that can be compared, of length 1, and their rows."""
     column = batch_column.cast(pa.list_(pa.float64()))
     sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
     flat = column.flatten().to_numpy(zero_copy_only=False)  # null components come as NaN
     begins = np.cumsum(sizes) - sizes
-    if dim is None:
-        dim = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
     rows = np.flatnonzero(sizes == dim) if dim else np.zeros(0, int)
     x = flat[begins[rows][:, None] + np.arange(dim)[None, :]] if len(rows) else np.zeros((0, dim))
     with np.errstate(over="ignore", invalid="ignore"):
         most = np.abs(x).max(axis=1, initial=0)
         good = np.isfinite(most) & np.isfinite(x).all(axis=1) & (most > 0)
         x, rows = x[good] / most[good][:, None], rows[good]
-        return x / np.linalg.norm(x, axis=1)[:, None], rows, dim
+        return x / np.linalg.norm(x, axis=1)[:, None], rows
 
 
-def choose(sample: np.ndarray, apart: float) -> np.ndarray:
-    """The first PIVOTS rows of the sample of which none is within the angle `apart` of another."""
-    out = np.zeros((0, sample.shape[1]))
-    for v in sample:
-        if len(out) == PIVOTS:
+def choose(sample: np.ndarray, apart: float, most: int) -> np.ndarray:
+    """At most so many rows of the sample, of which none is within the angle `apart` of another; those with the most neighbours within half of it come first."""
+    near = np.concatenate([(sample[k : k + 1024] @ sample.T >= np.cos(apart / 2)).sum(1) for k in range(0, len(sample), 1024)]) if len(sample) else np.zeros(0)
+    out, n = np.zeros((min(most, len(sample)), sample.shape[1])), 0
+    for v in sample[np.argsort(-near, kind="stable")]:
+        if n == len(out):
             break
-        if not len(out) or (out @ v).max() < np.cos(apart):
-            out = np.vstack([out, v])
-    return out
+        if not n or (out[:n] @ v).max() < np.cos(apart):
+            out[n] = v
+            n += 1
+    return out[:n]
 
 
 def angle(cosine: np.ndarray) -> np.ndarray:
@@ -78,7 +81,7 @@ def unpacked(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def describe(vectors: DataFrame, pivots: np.ndarray, half: float) -> DataFrame:
-    """vec_id, vector (binary, of length 1), prefix (nearest pivots, nearest first), home (the nearest one, if within `half`; else -1), far (angle to it)."""
+    """node, vector (binary, of length 1), prefix (nearest pivots, nearest first), home (the nearest one, if within `half`; else -1), far (angle to it)."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +90,7 @@ def describe(vectors: DataFrame, pivots: np.ndarray, half: float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x, rows, _ = unit(part.column("embedding"), p.shape[1])
+                x, rows = unit(part.column("embedding"), p.shape[1])
                 if not len(rows):
                     continue
                 c = x @ p.T
@@ -96,16 +99,16 @@ def describe(vectors: DataFrame, pivots: np.ndarray, half: float) -> DataFrame:
                 far = angle(np.take_along_axis(c, near[:, :1], 1)[:, 0])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("vec_id").take(pa.array(rows)),
+                        part.column("node").take(pa.array(rows)),
                         packed(x),
                         pa.FixedSizeListArray.from_arrays(pa.array(near.ravel().astype(np.int32)), k).cast(pa.list_(pa.int32())),
                         pa.array(np.where(far <= half - SLACK, near[:, 0], -1).astype(np.int32)),
                         pa.array(far),
                     ],
-                    ["vec_id", "vector", "prefix", "home", "far"],
+                    ["node", "vector", "prefix", "home", "far"],
                 )
 
-    return vectors.select("vec_id", "embedding").mapInArrow(work, "vec_id long, vector binary, prefix array<int>, home int, far double")
+    return vectors.select("node", "embedding").mapInArrow(work, "node long, vector binary, prefix array<int>, home int, far double")
 
 
 def hanging(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -125,14 +128,14 @@ def hanging(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def posted(lone: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    """Links among vectors without a home, those in a common list of two of their k pivots, verified: (vec_id, other, n): its links in a tile, and a vector that all it hangs together with there have in common."""
+    """Links among vectors without a home, those in a common list of two of their k pivots, verified: (node, other, n): its links in a tile, and a vector that all it hangs together with there have in common."""
     pairs = list(combinations(range(k), 2)) or [(0, 0)]
     keys = F.array(*(F.least(F.get("prefix", i), F.get("prefix", j)) * PIVOTS + F.greatest(F.get("prefix", i), F.get("prefix", j)) for i, j in pairs))
-    rows = lone.select("vec_id", "vector", F.array_sort("prefix").alias("own"), F.explode(keys).alias("key"))
+    rows = lone.select("node", "vector", F.array_sort("prefix").alias("own"), F.explode(keys).alias("key"))
     long = rows.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("blocks"))
     rows = rows.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "vector", "own").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "vector", "own").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def linked_here(x: np.ndarray, own: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, key: int) -> np.ndarray:
         """Which of the left link with which of the right, and have no two smaller pivots in common: only one list reports a pair."""
@@ -152,7 +155,7 @@ def posted(lone: DataFrame, dim: int, k: int, least: float) -> DataFrame:
         for s in segments(batches, ("key", "i", "j")):
             if s.num_rows < 2:
                 continue
-            x, ids, block = unpacked(s.column("vector"), dim), s.column("vec_id").to_numpy(), s.column("block").to_numpy()
+            x, ids, block = unpacked(s.column("vector"), dim), s.column("node").to_numpy(), s.column("block").to_numpy()
             own = s.column("own").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             i, j = s.column("i")[0].as_py(), s.column("j")[0].as_py()
             left = np.flatnonzero(block == i)
@@ -171,48 +174,48 @@ def posted(lone: DataFrame, dim: int, k: int, least: float) -> DataFrame:
                 o.append(v)
             held += len(row)
             if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["vec_id", "other", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["node", "other", "n"])
                 out, held = ([], [], []), 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["vec_id", "other", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["node", "other", "n"])
 
-    return rows.mapInArrow(work, "vec_id long, other long, n long")
+    return rows.mapInArrow(work, "node long, other long, n long")
 
 
-def settled(lone: DataFrame, pivots: np.ndarray, homes: list, full: float) -> DataFrame:
-    """Of each vector without a home and each class near it: (vec_id, home, n): n = the class size if it links with all of it, null if that is open."""
-    p = pivots[[h["home"] for h in homes]] if homes else pivots[:0]
-    shared = lone.sparkSession.sparkContext.broadcast((p, np.array([h["home"] for h in homes], np.int32), np.array([h["far"] for h in homes]), np.array([h["n"] for h in homes], np.int64)))
+def settled(lone: DataFrame, pivots: np.ndarray, homes: dict[str, np.ndarray], full: float) -> DataFrame:
+    """Of each vector without a home and each class near it: (node, home, n): n = the class size if it links with all of it, null if that is open."""
+    shared = lone.sparkSession.sparkContext.broadcast((pivots[homes["home"]], homes))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, home, far, n = shared.value
+        p, homes = shared.value
+        far = homes["far"]
         for batch in batches:
-            if not batch.num_rows or not len(p):
-                continue
-            ids = batch.column("vec_id").to_numpy()
-            to = angle(np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<f8").reshape(len(ids), -1) @ p.T)
-            row, k = np.nonzero(to - far <= full + SLACK)
-            all_of_it = (to[row, k] + far[k]) <= full - SLACK
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(home[k]), pa.array(n[k], mask=~all_of_it)], ["vec_id", "home", "n"])
+            for at in range(0, batch.num_rows if len(p) else 0, 4096):
+                part = batch.slice(at, 4096)
+                ids = part.column("node").to_numpy()
+                to = angle(np.frombuffer(b"".join(part.column("vector").to_pylist()), "<f8").reshape(len(ids), -1) @ p.T)
+                row, k = np.nonzero(to - far <= full + SLACK)
+                all_of_it = (to[row, k] + far[k]) <= full - SLACK
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(homes["home"][k].astype(np.int32)), pa.array(homes["n"][k], mask=~all_of_it)], ["node", "home", "n"])
 
-    return lone.select("vec_id", "vector").mapInArrow(work, "vec_id long, home int, n long")
+    return lone.select("node", "vector").mapInArrow(work, "node long, home int, n long")
 
 
-def compared(left: DataFrame, right: DataFrame, sizes: dict[int, int], dim: int, least: float) -> DataFrame:
-    """Between rows (pair, vec_id, vector) of the left and the right: (vec_id, other, n): its links on the other side, and one of them. Tiles of TILE by TILE."""
+def compared(left: DataFrame, right: DataFrame, dim: int, least: float) -> DataFrame:
+    """Between rows (pair, node, vector) of the left and the right: (node, other, n): its links on the other side, and one of them. Tiles of TILE by TILE."""
 
     def blocks(df: DataFrame, side: int) -> DataFrame:
         n = df.groupBy("pair").agg(F.ceil(F.count("*") / TILE).cast("int").alias(f"blocks{side}"))
         return n
 
     n = blocks(left, 0).join(blocks(right, 1), "pair")
-    a = left.join(n, "pair").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("blocks0")).cast("int")).select("pair", "i", F.explode(F.sequence(F.lit(0), F.col("blocks1") - 1)).alias("j"), F.lit(0).alias("side"), "vec_id", "vector")
-    b = right.join(n, "pair").withColumn("j", F.pmod(F.xxhash64("vec_id"), F.col("blocks1")).cast("int")).select("pair", F.explode(F.sequence(F.lit(0), F.col("blocks0") - 1)).alias("i"), "j", F.lit(1).alias("side"), "vec_id", "vector")
+    a = left.join(n, "pair").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks0")).cast("int")).select("pair", "i", F.explode(F.sequence(F.lit(0), F.col("blocks1") - 1)).alias("j"), F.lit(0).alias("side"), "node", "vector")
+    b = right.join(n, "pair").withColumn("j", F.pmod(F.xxhash64("node"), F.col("blocks1")).cast("int")).select("pair", F.explode(F.sequence(F.lit(0), F.col("blocks0") - 1)).alias("i"), "j", F.lit(1).alias("side"), "node", "vector")
     rows = a.unionByName(b).repartition("pair", "i", "j").sortWithinPartitions("pair", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in segments(batches, ("pair", "i", "j")):
-            x, ids, side = unpacked(s.column("vector"), dim), s.column("vec_id").to_numpy(), s.column("side").to_numpy()
+            x, ids, side = unpacked(s.column("vector"), dim), s.column("node").to_numpy(), s.column("side").to_numpy()
             one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(one) or not len(two):
                 continue
@@ -220,69 +223,109 @@ def compared(left: DataFrame, right: DataFrame, sizes: dict[int, int], dim: int,
             for mine, theirs, h in ((one, two, hit), (two, one, hit.T)):
                 n = h.sum(1)
                 row = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[mine[row]]), pa.array(ids[theirs[h[row].argmax(1)]]), pa.array(n[row].astype(np.int64))], ["vec_id", "other", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[mine[row]]), pa.array(ids[theirs[h[row].argmax(1)]]), pa.array(n[row].astype(np.int64))], ["node", "other", "n"])
 
-    return rows.mapInArrow(work, "vec_id long, other long, n long")
+    return rows.mapInArrow(work, "node long, other long, n long")
 
 
-def linked(vectors: DataFrame, least: float = 0.9) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id (smallest vec_id reachable by links, itself included), kept (it is that one).
+def in_one_tile(vectors: DataFrame, least: float) -> DataFrame:
+    """Links among the vectors of each dimension, of which there are TILE at most: (node, other, n) as posted() has it."""
+    rows = vectors.repartition("dim").sortWithinPartitions("dim")
 
-    Vectors that are null, empty or zero, hold null or non-finite components, or have another dimension than the sample's
-    usual one link with nothing. Each row counts as a vector; rows that repeat a vec_id with the same vector are links of
-    it, and share its component. Labels and other columns play no part. Rows without vec_id are returned without links.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in segments(batches, ("dim",)):
+            s = s.combine_chunks()
+            x, row = unit(s.column("embedding").combine_chunks(), s.column("dim")[0].as_py())
+            ids = s.column("node").to_numpy()[row]
+            a, b = np.nonzero((x @ x.T >= least) & ~np.eye(len(x), dtype=bool))
+            n = np.bincount(a, minlength=len(ids))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[hanging(a, b, len(ids))[some]]), pa.array(n[some])], ["node", "other", "n"])
+
+    return rows.select("dim", "node", "embedding").mapInArrow(work, "node long, other long, n long")
+
+
+def indexed(vectors: DataFrame, dim: int, count: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links among the vectors (node, embedding), all of one dimension: (node, n), parts of each one's number of links, and edges (a, b) that hang together what links do."""
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "embedding")
-    sample = vectors.where("vec_id IS NOT NULL AND size(embedding) > 0").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
-    rows = [r["embedding"] for r in sample.collect()]
-    x, _, dim = unit(pa.array(rows, pa.list_(pa.float64()))) if rows else (np.zeros((0, 1)), None, 0)
-    alone = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not len(x):
-        return alone
+    most = min(PIVOTS, max(FEWEST, 1 << math.ceil(math.log2(4 * math.sqrt(count)))))
+    sample = vectors.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(SAMPLED * most).select("embedding").toArrow().column(0).combine_chunks()
     full = float(np.arccos(least))
-    pivots = choose(x, full)
-    found = stored(describe(vectors.where("vec_id IS NOT NULL"), pivots, full / 2))
+    pivots = choose(unit(sample, dim)[0], full, most)
+    if not len(pivots):
+        return spark.createDataFrame([], "node long, n long"), spark.createDataFrame([], "a long, b long")
+    found = stored(describe(vectors, pivots, full / 2))
     lone, housed = found.where("home < 0"), found.where("home >= 0")
-    homes = [r.asDict() for r in housed.groupBy("home").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.min("vec_id").alias("head")).orderBy("home").collect()]
-    heads = spark.createDataFrame([(h["home"], h["n"], h["head"]) for h in homes], "home int, n long, head long")
+    classes = housed.groupBy("home").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.min("node").alias("head")).orderBy("home").toArrow()  # a row a pivot at most
+    homes = {c: classes.column(c).to_numpy() for c in ("home", "n", "far", "head")}
     # pairs of classes: all linked, or open
-    between, open_pairs = [], []
-    for s, t in combinations(homes, 2):
-        apart = float(angle(pivots[s["home"]] @ pivots[t["home"]]))
-        if apart + s["far"] + t["far"] <= full - SLACK:
-            between.append((s, t))
-        elif apart - s["far"] - t["far"] <= full + SLACK:
-            open_pairs.append((s["home"], t["home"]))
-    near = cut(settled(lone, pivots, homes, full))
-    opened = near.where("n IS NULL").select("vec_id", F.col("home").alias("at"))
-    lefts = opened.join(lone.select("vec_id", "vector"), "vec_id").select((F.col("at") * PIVOTS + F.col("at")).alias("pair"), "vec_id", "vector")
-    rights = housed.join(opened.select("at").distinct(), F.col("home") == F.col("at")).select((F.col("at") * PIVOTS + F.col("at")).alias("pair"), "vec_id", "vector")
-    both = spark.createDataFrame(open_pairs, "s int, t int")
+    far, p = homes["far"], pivots[homes["home"]]
+    apart = angle(p @ p.T)
+    near = np.triu(apart - far[:, None] - far[None, :] <= full + SLACK, 1)
+    surely = near & (apart + far[:, None] + far[None, :] <= full - SLACK)
+    s, t = np.nonzero(near & ~surely)
+    both = frame(spark, "s int, t int", homes["home"][s], homes["home"][t])
+    own = homes["n"] - 1 + (surely | surely.T) @ homes["n"]
+    heads = frame(spark, "home int, whole long, head long", homes["home"], own, homes["head"])
+    near_one = cut(settled(lone, pivots, homes, full))
+    opened = near_one.where("n IS NULL").select("node", F.col("home").alias("at"))
+    alone = (F.col("at") * PIVOTS + F.col("at")).alias("pair")
+    lefts = opened.join(lone.select("node", "vector"), "node").select(alone, "node", "vector")
+    rights = housed.join(opened.select("at").distinct(), F.col("home") == F.col("at")).select(alone, "node", "vector")
     pair = (F.col("s") * PIVOTS + F.col("t")).alias("pair")
-    lefts = lefts.unionByName(housed.join(both, F.col("home") == F.col("s")).select(pair, "vec_id", "vector"))
-    rights = rights.unionByName(housed.join(both, F.col("home") == F.col("t")).select(pair, "vec_id", "vector"))
-    tiles = cut(compared(lefts, rights, {}, dim, least))
+    lefts = lefts.unionByName(housed.join(both, F.col("home") == F.col("s")).select(pair, "node", "vector"))
+    rights = rights.unionByName(housed.join(both, F.col("home") == F.col("t")).select(pair, "node", "vector"))
+    tiles = cut(compared(lefts, rights, dim, least))
     lists = cut(posted(lone, dim, min(PREFIX, len(pivots)), least))
-    whole = spark.createDataFrame([(h["home"], sum(t["n"] if s is h else s["n"] for s, t in between if h in (s, t)) + h["n"] - 1) for h in homes], "home int, n long")
-    surely = near.where("n IS NOT NULL")
+    whole = near_one.where("n IS NOT NULL")
+    back = whole.groupBy("home").agg(F.count("*").alias("n"))  # what a class gets from vectors that link with all of it
     counts = (
-        housed.join(whole, "home").select("vec_id", "n")
-        .unionByName(surely.select("vec_id", "n"))
-        .unionByName(tiles.select("vec_id", "n"))
-        .unionByName(lists.select("vec_id", "n"))
+        housed.join(heads, "home").select("node", F.col("whole").alias("n"))
+        .unionByName(whole.select("node", "n"))
+        .unionByName(tiles.select("node", "n"))
+        .unionByName(lists.select("node", "n"))
+        .unionByName(housed.join(back, "home").select("node", "n"))
     )
-    # what a class gets from vectors that link with all of it
-    back = surely.groupBy("home").agg(F.count("*").alias("n"))
-    counts = counts.unionByName(housed.join(back, "home").select("vec_id", "n")).groupBy("vec_id").agg(F.sum("n").alias("n"))
+    a, b = np.nonzero(surely)
     edges = (
-        housed.join(heads, "home").select(F.col("vec_id").alias("a"), F.col("head").alias("b"))
-        .unionByName(surely.select("vec_id", "home").join(heads, "home").select(F.col("vec_id").alias("a"), F.col("head").alias("b")))
-        .unionByName(tiles.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-        .unionByName(lists.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-        .unionByName(spark.createDataFrame([(s["head"], t["head"]) for s, t in between], "a long, b long"))
+        housed.select("node", "home").unionByName(whole.select("node", "home")).join(heads, "home").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        .unionByName(tiles.unionByName(lists).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        .unionByName(frame(spark, "a long, b long", homes["head"][a], homes["head"][b]))
     )
-    groups = components(edges).select(F.col("node").alias("vec_id"), "component")
-    out = vectors.select("vec_id").join(counts, "vec_id", "left").join(groups, "vec_id", "left")
-    component = F.coalesce("component", "vec_id").alias("component_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component, F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return counts, edges
+
+
+def frame(spark: SparkSession, schema: str, *columns: np.ndarray) -> DataFrame:
+    """A small table of numbers."""
+    return spark.createDataFrame(list(zip(*(c.tolist() for c in columns), strict=True)), schema)
+
+
+def linked(vectors: DataFrame, least: float = 0.9) -> DataFrame:
+    """Per row: vec_id, n_links, component_id (smallest vec_id reachable by links, itself included), kept (it is that one).
+
+    A vector is a vec_id with an embedding: rows that repeat both are one vector, count once, and all get its result; rows that
+    share a vec_id only are different vectors, which may link. Vectors link with others of their dimension only. Null, empty or zero
+    ones, and those with null or non-finite components, link with nothing; rows without vec_id are returned without links.
+    Labels and other columns play no part. The usual dimension and every other one of more than TILE vectors have an
+    index each; the others fit into a tile each.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select("vec_id", "embedding", F.xxhash64("embedding").alias("same"))
+    usable = rows.where("vec_id IS NOT NULL AND size(embedding) > 0").groupBy("vec_id", "same").agg(F.first("embedding").alias("embedding"))
+    nodes = stored(usable.select("vec_id", "same", "embedding", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("node")))  # numbered once, as they are stored
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim")
+    large = [(r["dim"], r["n"]) for r in sizes.limit(1).unionByName(sizes.where(F.col("n") > TILE)).distinct().collect()]
+    counts, edges = spark.createDataFrame([], "node long, n long"), spark.createDataFrame([], "a long, b long")
+    for dim, n in large:
+        more = indexed(nodes.where(F.col("dim") == dim), dim, n, least)
+        counts, edges = counts.unionByName(more[0]), edges.unionByName(more[1])
+    rest = cut(in_one_tile(nodes.where(~F.col("dim").isin([d for d, _ in large])), least))
+    counts, edges = counts.unionByName(rest.select("node", "n")), edges.unionByName(rest.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    names = nodes.select("node", "vec_id", "same")
+    groups = components(edges).join(names, "node")
+    groups = groups.join(groups.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component").select("node", "component_id")
+    counts = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
+    of_node = names.join(counts, "node", "left").join(groups, "node", "left").drop("node")
+    component = F.coalesce("component_id", "vec_id").alias("component_id")
+    out = rows.select("vec_id", "same").join(of_node, ["vec_id", "same"], "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component, F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -225,9 +225,48 @@ def test_vectors_near_one_pivot_only(spark):
     assert [got[i] for i in range(len(x))] == want.tolist()
 
 
-def test_a_vector_of_the_usual_dimension_counts_in_any_batch(spark):
-    mixed = spark.createDataFrame([(100, [1.0, 0.5, 0.2]), *((i, [1.0, 1.0]) for i in range(101, 105))], "vec_id long, embedding array<double>").coalesce(1)
-    assert [r.vec_id for r in pivots.describe(mixed, np.eye(3), 0.2).collect()] == [100]
+def brute_links(rows, least=0.9):
+    """(vec_id, embedding) -> (n_links, component): rows that repeat both are one vector."""
+    nodes = sorted({(i, tuple(v)) for i, v in rows}, key=lambda r: (r[0], len(r[1]), r[1]))
+    root = list(range(len(nodes)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    n = [0] * len(nodes)
+    for a, (_, x) in enumerate(nodes):
+        for b, (_, y) in enumerate(nodes[:a]):
+            if len(x) == len(y) and np.dot(x, y) >= least * np.linalg.norm(x) * np.linalg.norm(y):
+                n[a] += 1
+                n[b] += 1
+                lo, hi = sorted((top(a), top(b)))
+                root[hi] = lo
+    return {node: (n[k], nodes[top(k)][0]) for k, node in enumerate(nodes)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_vectors_and_dimensions(spark, parts):
+    rng = np.random.default_rng(6)
+    heads = rng.normal(size=(4, 5))
+    rows = [(k, (heads[k % 4] + 0.1 * rng.normal(size=5)).tolist()) for k in range(80)]
+    rows += [rows[3]] * 3 + [(200, rows[3][1]), (5, rows[9][1]), (5, [1.0, 2.0, 3.0]), (201, [2.0, 4.0, 6.0]), (202, [1.0, 0.0]), (203, [0.9, 0.1]), (204, [4.0]), (205, [-4.0])]
+    null = [(None, rows[3][1])]
+    got = pivots.linked(spark.createDataFrame(rows + null, "vec_id long, embedding array<double>").repartition(parts)).collect()
+    want = brute_links(rows)
+    assert len(got) == len(rows) + 1
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got if r.vec_id is not None) == sorted((i, *want[i, tuple(v)]) for i, v in rows)
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
+
+
+def test_pivots_are_apart_and_dense_ones_come_first():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 16))
+    x[300:] = x[0] + 0.02 * rng.normal(size=(100, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    p = pivots.choose(x, 0.45, 64)
+    assert len(p) == 64 and p[0] @ x[0] > 0.99 and (np.triu(p @ p.T, 1) < np.cos(0.45)).all()
 
 
 def test_url_rules(spark):
