@@ -1,14 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations alone.
 
 Documents fall into cells of source, language and topic. A cell's weight is its number of tokens; raking scales the cells
-until the shares of sources, of languages and of topics are those asked for, in turn and again. A document's chance is
-its cell's factor on the scale that makes the expected sample so many tokens, at most 1; what a capped cell can't give, the
-others give in proportion. Values that aren't named share one margin, so there are at most (sources + 1) * (languages + 1)
-* topics cells, whatever the corpus: the table of cells is one small partition, and is broadcast.
+until the shares of sources, of languages and of topics are those asked for, in turn and again, until no share is off by
+more than a tolerance. A document's chance is its cell's factor on the scale that makes the expected sample so many tokens, at
+most 1; what a capped cell can't give, the others give in proportion. Values that aren't named share one margin, so there are
+at most (sources + 1) * (languages + 1) * topics cells, whatever the corpus: all cells are one array, the sweeps are one
+expression over it, and the table of chances is broadcast.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -32,14 +34,15 @@ PLAIN = "plain"
 
 @dataclass(frozen=True)
 class Targets:
-    """Shares of the margins (scaled to sum to one over the values that occur), the part of all tokens to sample, and the numbers of sweeps."""
+    """Shares of the margins (scaled to sum to one over the values that occur; 0 leaves a value out), the part of all tokens to sample, the most sweeps, and by how much a share may be off."""
 
     source: Mapping[str, float]
     lang: Mapping[str, float]
     topic: Mapping[str, float]
     other: float = 0.05
     part: float = 0.5
-    sweeps: int = 40
+    sweeps: int = 400
+    tolerance: float = 1e-12
     seed: str = "mix"
     topics: Mapping[str, str] = field(default_factory=lambda: TOPICS)
 
@@ -68,33 +71,79 @@ def celled(docs: DataFrame, t: Targets) -> DataFrame:
     return docs.withColumns({"c_source": margin("source", t.source), "c_lang": margin("lang", t.lang), "c_topic": topic_of(text, t.topics), "tokens": tokens_of(text)})
 
 
+def by_value(cells: F.Column, place: str, n: int) -> F.Column:
+    """The cells of each of the n values of a margin."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.filter(cells, lambda c: c[place] == i))
+
+
+def total(cells: F.Column, weight) -> F.Column:
+    return F.aggregate(cells, F.lit(0.0), lambda sofar, c: sofar + weight(c))
+
+
+def fitted(t: Targets) -> F.Column:
+    """From column `cells` (array of s, l, t, w: places of the values and tokens): factors a, b, c of the values of each margin, and `off`, the largest error of a share after the last sweep."""
+    sizes = {"s": len(t.source) + 1, "l": len(t.lang) + 1, "t": len({*t.topics, PLAIN})}
+    lists = {k: F.col(f"by_{k}") for k in sizes}
+    goal = {k: F.col(f"goal_{k}") for k in sizes}
+    ones = {k: F.array_repeat(F.lit(1.0), n) for k, n in sizes.items()}
+
+    def swept(place: str, weight) -> F.Column:
+        have = F.transform(lists[place], lambda cells: total(cells, weight))
+        return F.zip_with(goal[place], have, lambda g, h: F.when(h > 0, g / h).otherwise(0.0))
+
+    def step(state: F.Column, _) -> F.Column:
+        def again(one) -> F.Column:
+            a = swept("s", lambda c: c["w"] * F.get(one["b"], c["l"]) * F.get(one["c"], c["t"]))
+            return F.transform(F.array(F.struct(a.alias("a"), one["b"].alias("b"), one["c"].alias("c"))), second)[0]
+
+        def second(one) -> F.Column:
+            b = swept("l", lambda c: c["w"] * F.get(one["a"], c["s"]) * F.get(one["c"], c["t"]))
+            return F.transform(F.array(F.struct(one["a"].alias("a"), b.alias("b"), one["c"].alias("c"))), third)[0]
+
+        def third(one) -> F.Column:
+            c = swept("t", lambda c: c["w"] * F.get(one["a"], c["s"]) * F.get(one["b"], c["l"]))
+            return F.transform(F.array(F.struct(one["a"].alias("a"), one["b"].alias("b"), c.alias("c"))), errors)[0]
+
+        def errors(one) -> F.Column:
+            whole = lambda c: c["w"] * F.get(one["a"], c["s"]) * F.get(one["b"], c["l"]) * F.get(one["c"], c["t"])
+            off = [F.array_max(F.zip_with(F.transform(lists[k], lambda cells: total(cells, whole)), goal[k], lambda h, g: F.abs(h - g))) for k in sizes]
+            return F.struct(one["a"].alias("a"), one["b"].alias("b"), one["c"].alias("c"), F.greatest(*off).alias("off"))
+
+        return F.when(state["off"] <= t.tolerance, state).otherwise(again(state))
+
+    start = F.struct(ones["s"].alias("a"), ones["l"].alias("b"), ones["t"].alias("c"), F.lit(1e9).alias("off"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(t.sweeps)), start, step)
+
+
 def raked(cells: DataFrame, t: Targets) -> DataFrame:
-    """Cells (c_source, c_lang, c_topic, tokens) with `weight` after the sweeps and `chance`. One partition: its rows are bounded by the targets."""
-    rows = cells.coalesce(1)
-    margins = {"c_source": (t.source, t.other), "c_lang": (t.lang, t.other), "c_topic": (t.topic, t.other)}
-    everything = Window.partitionBy(F.lit(1))
-    rows = rows.withColumn("weight", F.col("tokens"))
-    for column, (shares, other) in margins.items():
-        # a value's share is dealt to it once, then scaled over the values that occur
-        first = F.row_number().over(Window.partitionBy(column).orderBy("c_source", "c_lang", "c_topic")) == 1
-        rows = rows.withColumn(f"t_{column}", share_of(column, shares, other)).withColumn("__once", F.when(first, F.col(f"t_{column}")))
-        rows = rows.withColumn(f"t_{column}", F.col(f"t_{column}") / F.sum("__once").over(everything)).drop("__once")
-    rows = rows.withColumn("total", F.sum("tokens").over(everything))
-    for k in range(t.sweeps):
-        for column in margins:
-            rows = rows.withColumn("weight", F.col("weight") * F.col(f"t_{column}") * F.col("total") / F.sum("weight").over(Window.partitionBy(column)))
-        if k % 5 == 4:
-            rows = stored(rows).coalesce(1)
+    """Cells (c_source, c_lang, c_topic, tokens) with `weight` after the sweeps (shares of all), `off` and `chance`. One row, then one partition: bounded by the targets."""
+    names = {"s": [*t.source, OTHER], "l": [*t.lang, OTHER], "t": list(dict.fromkeys([*t.topics, PLAIN]))}
+    shares = {"s": [*t.source.values(), t.other], "l": [*t.lang.values(), t.other], "t": [t.topic.get(k, t.other) for k in names["t"]]}
+    columns = {"s": "c_source", "l": "c_lang", "t": "c_topic"}
+    place = lambda k: (F.array_position(F.array(*map(F.lit, names[k])), F.col(columns[k])) - 1).cast("int").alias(k)
+    one = cells.select(*(place(k) for k in names), F.col("tokens").alias("w")).agg(F.array_sort(F.collect_list(F.struct("s", "l", "t", "w"))).alias("cells"))
+    for k, values in names.items():
+        one = one.withColumn(f"by_{k}", by_value(F.col("cells"), k, len(values)))
+        # shares of values that occur, scaled to sum to one
+        given = F.zip_with(F.array(*(F.lit(float(x)) for x in shares[k])), F.col(f"by_{k}"), lambda g, here: F.when(F.size(here) > 0, g).otherwise(0.0))
+        one = one.withColumn("given", given).withColumn("sum", F.aggregate("given", F.lit(0.0), lambda x, g: x + g))
+        one = one.withColumn(f"goal_{k}", F.transform("given", lambda g: F.when(F.col("sum") > 0, g / F.col("sum")).otherwise(0.0))).drop("given", "sum")
+    # shares, not tokens, so that no factor grows with the corpus
+    one = one.withColumn("total", total(F.col("cells"), lambda c: c["w"])).withColumn("fit", fitted(t))
+    rows = one.select("total", "fit", F.explode("cells").alias("cell"))
+    weight = F.col("cell.w") * F.get("fit.a", "cell.s") * F.get("fit.b", "cell.l") * F.get("fit.c", "cell.t")
+    back = [F.get(F.array(*map(F.lit, names[k])), F.col(f"cell.{k}")).alias(columns[k]) for k in names]
+    rows = rows.select(*back, F.col("cell.w").alias("tokens"), weight.alias("weight"), (F.col("total") * t.part).alias("goal"), F.col("fit.off").alias("off"))
     # the scale at which the capped chances give the tokens asked for
-    rows = rows.withColumn("factor", F.col("weight") / F.col("tokens")).withColumn("goal", F.col("total") * t.part)
+    rows = rows.withColumn("factor", F.col("weight") / F.col("tokens"))
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("factor"), "c_source", "c_lang", "c_topic")
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     after = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     # if all cells before this one are capped, the rest is scaled by this; the first row where its own cell isn't capped tells
-    rows = rows.withColumn("scale", (F.col("goal") - before) / after)
-    rows = rows.withColumn("scale", F.coalesce(F.min(F.when((F.col("scale") >= 0) & (F.col("scale") * F.col("factor") <= 1), F.struct((-F.col("factor")).alias("f"), "scale")))
-                                               .over(everything)["scale"], F.lit(1e300)))
-    return rows.withColumn("chance", F.least(F.lit(1.0), F.col("scale") * F.col("factor"))).select("c_source", "c_lang", "c_topic", "tokens", "weight", "chance")
+    rows = rows.withColumn("scale", F.when(after > 0, (F.col("goal") - before) / after))
+    fits = F.when((F.col("scale") >= 0) & (F.col("scale") * F.col("factor") <= 1), F.struct((-F.col("factor")).alias("f"), "scale"))
+    rows = rows.withColumn("scale", F.coalesce(F.min(fits).over(Window.partitionBy(F.lit(1)))["scale"], F.lit(1e300)))
+    return rows.withColumn("chance", F.least(F.lit(1.0), F.col("scale") * F.col("factor"))).select("c_source", "c_lang", "c_topic", "tokens", "weight", "off", "chance")
 
 
 def draw(doc_id: F.Column, seed: str) -> F.Column:
@@ -102,22 +151,31 @@ def draw(doc_id: F.Column, seed: str) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def sampled(docs: DataFrame, t: Targets) -> DataFrame:
-    """The rows of docs with c_source, c_lang, c_topic, tokens, chance and `taken` (draw < chance).
+def sampled(docs: DataFrame, t: Targets, columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The rows of docs (those `columns`; None: all) with c_source, c_lang, c_topic, tokens, chance and `taken` (draw < chance).
 
     Null or unnamed sources and languages are one value, OTHER; a null text is an empty one (one token, topic PLAIN). Rows
-    that repeat an id share its draw. An empty table gives an empty one.
+    that repeat an id share its draw, and count as often as they stand. A value with share 0 is left out. An empty table gives
+    an empty one. Columns of docs that have the name of an added one are replaced; `prefix` goes before the added names.
+    Texts are read once: what is kept is stored with its cell. Margins that no weights can meet (they contradict each other
+    or what occurs) are met as nearly as the last sweep has them, with a warning.
     """
-    rows = celled(docs, t)
     keys = ["c_source", "c_lang", "c_topic"]
-    cells = stored(rows.groupBy(keys).agg(F.sum("tokens").alias("tokens")))
-    chances = stored(raked(cells, t).select(*keys, "chance"))
-    rows = rows.join(F.broadcast(chances), keys)
-    return rows.select(*docs.columns, *keys, "tokens", "chance", (draw(F.col("doc_id"), t.seed) < F.col("chance")).alias("taken"))
-
-
-def oracle(t: Targets, table: str = "documents") -> str:
-    """The same in DuckDB SQL."""
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in {prefix + k for k in (*keys, "tokens", "chance", "taken")}]
+    own = [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    cells = celled(docs.select("doc_id", "text", "source", "lang", *own), t)
+    rows = stored(cells.select(*(f"k{i}" for i in range(len(kept))), draw(F.col("doc_id"), t.seed).alias("draw"), *keys, "tokens"))
+    chances = stored(raked(rows.groupBy(keys).agg(F.sum("tokens").alias("tokens")), t))
+    off = chances.agg(F.max("off")).first()[0]
+    if off is not None and off > max(t.tolerance, 1e-6):
+        warnings.warn(f"the margins asked for contradict each other or the corpus: a share is off by {off:.3g}", stacklevel=2)
+    rows = rows.join(F.broadcast(chances.select(*keys, "chance")), keys)
+    added = [*(F.col(k).alias(prefix + k) for k in (*keys, "tokens", "chance")), (F.col("draw") < F.col("chance")).alias(prefix + "taken")]
+    return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)), *added)
+
+
+def oracle(t: Targets, table: str = "documents", sweeps: int = 40) -> str:
+    """The same in DuckDB SQL, with a fixed number of sweeps that is enough for the targets of the query."""
     listed = lambda shares: ", ".join(f"'{v}'" for v in shares)
     case = lambda c, shares: "CASE " + " ".join(f"WHEN {c} = '{v}' THEN {float(s)!r}" for v, s in shares.items()) + f" ELSE {float(t.other)!r} END"
     topic = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in t.topics.items()) + f" ELSE '{PLAIN}' END"
@@ -130,14 +188,14 @@ def oracle(t: Targets, table: str = "documents") -> str:
         steps.append(f"m_{c} AS (SELECT {c}, s / sum(s) OVER () AS t FROM (SELECT DISTINCT {c}, {case(c, shares)} AS s FROM c0))")
     steps.append("w0 AS MATERIALIZED (SELECT c0.*, a.t AS t_c_source, b.t AS t_c_lang, c.t AS t_c_topic, sum(tokens) OVER () AS total, tokens AS w FROM c0 JOIN m_c_source a USING (c_source) JOIN m_c_lang b USING (c_lang) JOIN m_c_topic c USING (c_topic))")
     n = 0
-    for _ in range(t.sweeps):
+    for _ in range(sweeps):
         for c in ("c_source", "c_lang", "c_topic"):
-            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (w * t_{c} * total / sum(w) OVER (PARTITION BY {c}) AS w) FROM w{n})")
+            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (coalesce(w * t_{c} * total / nullif(sum(w) OVER (PARTITION BY {c}), 0), 0) AS w) FROM w{n})")
             n += 1
     steps += [
         f"f AS (SELECT *, w / tokens AS factor, total * {t.part!r} AS goal FROM w{n})",
         """g AS (SELECT *, (goal - coalesce(sum(tokens) OVER (ORDER BY factor DESC, c_source, c_lang, c_topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(w) OVER (ORDER BY factor DESC, c_source, c_lang, c_topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM f)""",
+            / nullif(sum(w) OVER (ORDER BY factor DESC, c_source, c_lang, c_topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale FROM f)""",
         "s AS (SELECT coalesce((SELECT scale FROM g WHERE scale >= 0 AND scale * factor <= 1 ORDER BY factor DESC, scale LIMIT 1), 1e300) AS scale)",
         f"""mixed AS (SELECT d.*, least(1.0, s.scale * g.factor) AS chance, CAST(('0x' || substr(md5('{t.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(16**13)!r} AS draw
             FROM d JOIN g USING (c_source, c_lang, c_topic) CROSS JOIN s)""",

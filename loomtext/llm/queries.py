@@ -33,7 +33,7 @@ MIX = mixing.Targets(
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.sampled(table(spark, sf_dir, "documents"), MIX)
+    rows = mixing.sampled(table(spark, sf_dir, "documents"), MIX, ["doc_id"])
     return rows.select("doc_id", "c_source", "c_lang", "c_topic", "tokens", F.round("chance", 6).alias("chance"), "taken")
 
 

@@ -1,5 +1,6 @@
 """The dealt operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, further columns."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -19,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, scor
 
 
 def docs_of(spark, texts, lang="en"):
-    return spark.createDataFrame([(i, x, lang, f"src{i % 3}", len(x or ""), 0.5, 7) for i, x in texts], DOCS)
+    return spark.createDataFrame([(i, x, lang, f"src{(i or 0) % 3}", len(x or ""), 0.5, 7) for i, x in texts], DOCS)
 
 
 def empty(spark):
@@ -361,24 +362,50 @@ def test_sparse_sites_shrink_towards_the_prior(spark):
     assert paths.count() == 53
 
 
-def test_mixing_reaches_the_margins(spark):
+def mixing_docs():
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(1, 60)) + rng.choice(["", " a@b", " copyright", " | x"]), rng.choice(["en"] * 6 + ["fr", "de", "es", None]), rng.choice(["src0"] * 10 + [f"src{k}" for k in range(20)] + [None]), 1, 0.0, 1) for i in range(6000)]
-    rows += [(9000, None, "en", "src1", 0, 0.0, 1), (9001, "", "fr", "src2", 0, 0.0, 1)]
+    return [*rows, (9000, None, "en", "src1", 0, 0.0, 1), (9001, "", "fr", "src2", 0, 0.0, 1), rows[7], rows[7], (9002, "w " * 200_000, "en", "src3", 1, 0.0, 1)]
+
+
+@pytest.mark.parametrize("change", [{}, {"other": 0.0}, {"source": {"src0": 0.0, "src1": 0.3, "src2": 0.7}}])
+def test_mixing_reaches_the_margins(spark, change):
+    t = dataclasses.replace(MIX, **change)
+    rows = mixing_docs()
     d = spark.createDataFrame(rows, DOCS)
-    got = mixing.sampled(d, MIX)
-    assert got.count() == len(rows) and got.columns[: len(d.columns)] == d.columns
-    cells = got.groupBy("c_source", "c_lang", "c_topic").agg(F.sum("tokens").alias("tokens"), F.max("chance").alias("chance")).toPandas()
-    expected = (cells.tokens * cells.chance).sum()
-    assert expected == pytest.approx(MIX.part * cells.tokens.sum(), rel=1e-6)
-    raked = mixing.raked(got.groupBy("c_source", "c_lang", "c_topic").agg(F.sum("tokens").alias("tokens")), MIX).toPandas()
-    for column, shares in (("c_lang", MIX.lang), ("c_source", MIX.source), ("c_topic", MIX.topic)):
-        have = raked.groupby(column).weight.sum() / raked.weight.sum()
-        total = sum(shares.get(v, MIX.other) for v in have.index)
-        assert all(abs(have[v] - shares.get(v, MIX.other) / total) < 1e-3 for v in have.index)
-    taken = got.where("taken").agg(F.sum("tokens")).first()[0]
-    assert taken == pytest.approx(expected, rel=0.05)
+    got = mixing.sampled(d, t).toPandas()
+    assert len(got) == len(rows) and list(got.columns[: len(d.columns)]) == d.columns
+    keys = ["c_source", "c_lang", "c_topic"]
+    raked = mixing.raked(spark.createDataFrame(got[[*keys, "tokens"]]).groupBy(keys).agg(F.sum("tokens").alias("tokens")), t).toPandas()
+    assert raked.weight.sum() == pytest.approx(1)
+    for column, shares in (("c_lang", t.lang), ("c_source", t.source), ("c_topic", t.topic)):
+        have = raked.groupby(column).weight.sum()
+        whole = sum(shares.get(v, t.other) for v in have.index)
+        assert all(abs(have[v] - shares.get(v, t.other) / whole) < 1e-9 for v in have.index)
+    expected = (raked.tokens * raked.chance).sum()
+    if not change:  # else some cells give all they have
+        assert expected == pytest.approx(t.part * raked.tokens.sum(), rel=1e-6)
+    out = got[(got.c_source.map(lambda v: t.source.get(v, t.other)) == 0) | (got.c_lang.map(lambda v: t.lang.get(v, t.other)) == 0)]
+    assert not out.taken.any() and (len(out) > 0) == bool(change)
+    small = got[got.tokens < 1000]
+    assert small[small.taken].tokens.sum() == pytest.approx((small.tokens * small.chance).sum(), rel=0.05)
+    again = got[got.doc_id == rows[7][0]]
+    assert len(again) == 3 and again.taken.nunique() == 1
+
+
+def test_mixing_of_odd_tables(spark):
     assert mixing.sampled(empty(spark), MIX).count() == 0
+    one = mixing.sampled(docs_of(spark, [(1, "a b"), (2, "c"), (None, "d")]).withColumn("taken", F.lit("mine")).withColumn("source", F.lit("src0")), MIX, prefix="m_")
+    assert {(r.taken, r.m_c_source, r.m_chance) for r in one.collect()} == {("mine", "src0", 0.5)}
+    none = mixing.sampled(docs_of(spark, [(1, "a b")]), dataclasses.replace(MIX, source={}, other=0.0))
+    assert [(r.chance, r.taken) for r in none.collect()] == [(0.0, False)]
+
+
+def test_margins_that_contradict_are_told(spark):
+    t = dataclasses.replace(MIX, source={"a": 0.5, "b": 0.5}, lang={"en": 0.9, "fr": 0.1}, topics={}, topic={}, sweeps=50)
+    d = docs_of(spark, [(1, "x"), (2, "x")]).withColumn("source", F.expr("if(doc_id = 1, 'a', 'b')")).withColumn("lang", F.expr("if(doc_id = 1, 'en', 'fr')"))
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.sampled(d, t)
 
 
 def test_warc_round_trip(spark):
