@@ -11,7 +11,7 @@ expression over it, and the table of chances is broadcast.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,11 +23,12 @@ from loomtext.llm.shared import stored
 
 #: What values that aren't named count as.
 OTHER = "(other)"
-#: Marks of a topic in a text, first match wins; texts without any have the last topic.
+#: Marks of a topic in a lower-cased text, first match wins; texts without any have the last topic. Patterns that begin with a
+#: letter of their own are found much faster than alternatives in one pattern.
 TOPICS = {
-    "legal": r"(?i)licen[sc]e|copyright|all rights reserved",
-    "contact": r"[A-Za-z0-9_.]@[A-Za-z0-9]|[0-9]{3}-[0-9]{4}",
-    "markup": r"[|#$%&*][|#$%&* ]",
+    "legal": ("license", "licence", "copyright", "all rights reserved"),
+    "contact": ("@[a-z0-9]", "[0-9]{3}-[0-9]{4}"),
+    "markup": ("[|#$%&*][|#$%&* ]",),
 }
 PLAIN = "plain"
 
@@ -44,7 +45,7 @@ class Targets:
     sweeps: int = 400
     tolerance: float = 1e-12
     seed: str = "mix"
-    topics: Mapping[str, str] = field(default_factory=lambda: TOPICS)
+    topics: Mapping[str, Sequence[str]] = field(default_factory=lambda: TOPICS)
 
 
 def margin(column: str, shares: Mapping[str, float]) -> F.Column:
@@ -56,8 +57,9 @@ def share_of(column: str, shares: Mapping[str, float], other: float) -> F.Column
     return reduce(lambda c, x: c.when(F.col(column) == x[0], F.lit(float(x[1]))), shares.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(float(other)))
 
 
-def topic_of(text, topics: Mapping[str, str]) -> F.Column:
-    return reduce(lambda c, x: c.when(text.rlike(x[1]), x[0]), topics.items(), F.when(text.isNull(), PLAIN)).otherwise(PLAIN)
+def topic_of(lower, topics: Mapping[str, Sequence[str]]) -> F.Column:
+    of = lambda marks: reduce(F.Column.__or__, (lower.rlike(m) for m in marks))
+    return reduce(lambda c, x: c.when(of(x[1]), x[0]), topics.items(), F.when(lower.isNull(), PLAIN)).otherwise(PLAIN)
 
 
 def tokens_of(text) -> F.Column:
@@ -67,8 +69,8 @@ def tokens_of(text) -> F.Column:
 
 def celled(docs: DataFrame, t: Targets) -> DataFrame:
     """The rows with c_source, c_lang, c_topic and tokens."""
-    text = F.col("text")
-    return docs.withColumns({"c_source": margin("source", t.source), "c_lang": margin("lang", t.lang), "c_topic": topic_of(text, t.topics), "tokens": tokens_of(text)})
+    docs = docs.withColumn("__lower", F.lower("text"))
+    return docs.withColumns({"c_source": margin("source", t.source), "c_lang": margin("lang", t.lang), "c_topic": topic_of(F.col("__lower"), t.topics), "tokens": tokens_of(F.col("text"))}).drop("__lower")
 
 
 def by_value(cells: F.Column, place: str, n: int) -> F.Column:
@@ -178,7 +180,7 @@ def oracle(t: Targets, table: str = "documents", sweeps: int = 40) -> str:
     """The same in DuckDB SQL, with a fixed number of sweeps that is enough for the targets of the query."""
     listed = lambda shares: ", ".join(f"'{v}'" for v in shares)
     case = lambda c, shares: "CASE " + " ".join(f"WHEN {c} = '{v}' THEN {float(s)!r}" for v, s in shares.items()) + f" ELSE {float(t.other)!r} END"
-    topic = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in t.topics.items()) + f" ELSE '{PLAIN}' END"
+    topic = "CASE " + " ".join(f"WHEN {' OR '.join(f"regexp_matches(lower(text), '{p}')" for p in marks)} THEN '{k}'" for k, marks in t.topics.items()) + f" ELSE '{PLAIN}' END"
     steps = [
         f"""d AS (SELECT *, CASE WHEN source IN ({listed(t.source)}) THEN source ELSE '{OTHER}' END AS c_source, CASE WHEN lang IN ({listed(t.lang)}) THEN lang ELSE '{OTHER}' END AS c_lang,
             {topic} AS c_topic, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')) + 1 AS DOUBLE) AS tokens FROM {table})""",
