@@ -2,8 +2,11 @@
 
 A classifier on a text's form gives every document the probability of being good. Hosts and their paths have posteriors of
 their own: the mean over their documents, drawn towards the level above (path to host, host to all) the more, the fewer
-documents there are and the less sites differ; how much follows from the data by moments. A document's own evidence is
-then read under the prior of its path instead of the global one.
+documents there are and the less sites differ; how much follows from the data by moments: of hosts around the mean of
+all, of paths around that of their host. A document's own evidence is then read under the prior of its path instead of
+the global one; that prior comes from the other documents only, so nothing counts twice.
+
+The tables here have no addresses: `source` stands for the host and `lang` for the path within it (both are parameters).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.linear import fit
 from loomtext.llm.shared import held_out, stored
 from loomtext.llm.textbatch import Texts, slices
-from loomtext.llm.toxicity import training_rows
+from loomtext.llm.toxicity import chosen_labels
 
 #: Bins of each measure of a text's form.
 BINS = 12
@@ -88,7 +91,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             x = form(texts)
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), MEASURES).cast(pa.list_(pa.float64()))], ["label", "form"])
 
-    rows = training_rows(docs, labels, "quality").select("label", "text").mapInArrow(read, "label int, form array<double>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen_labels(labels, "quality")), "doc_id").select("label", "text").mapInArrow(read, "label int, form array<double>").toArrow()
     y = rows.column("label").to_numpy().astype(float)
     x = rows.column("form").combine_chunks().flatten().to_numpy().reshape(-1, MEASURES) if len(y) else np.zeros((0, MEASURES))
     edges = np.quantile(x, np.arange(1, BINS) / BINS, axis=0).T if len(y) else np.zeros((MEASURES, BINS - 1))
@@ -102,13 +105,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
+def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs with `own`, the classifier's log-odds of each text (null counts as empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c != "own"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, text):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(shared.value.logit(texts))], [*columns, "own"])
 
     plain = docs.select(columns)
@@ -120,55 +123,78 @@ def logit(p: F.Column) -> F.Column:
     return F.log(p / (1 - p))
 
 
-def strength(groups: DataFrame, n: str, s: str, s2: str, prior: float) -> float:
-    """How many documents the level above counts as: from the variance of group means beyond what chance gives (method of moments)."""
-    r = groups.agg(F.sum(n), F.sum(F.col(n) * F.col(n)), F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - prior, 2)), F.sum(F.col(s2) - F.col(s) * F.col(s) / F.col(n)), F.count("*")).first()
-    total, squares, between, within, k = (float(x or 0) for x in r)
-    if k < 2 or total <= k:
+def chance(log_odds: F.Column) -> F.Column:
+    return 1 / (1 + F.exp(-log_odds))
+
+
+def strength(groups: DataFrame, centre: F.Column, above: str | None) -> float:
+    """How many documents the level above counts as, from groups (n, s, s2): by the variance of their means around `centre` beyond what chance gives (method of moments). `above`: the column of the groups that centres are means of (None: one for all)."""
+    n, s, s2 = F.col("n"), F.col("s"), F.col("s2")
+    rows = groups.select("n", (n * F.pow(s / n - centre, 2)).alias("between"), (s2 - s * s / n).alias("within"), (n * centre * (1 - centre)).alias("most"), F.col(above).alias("above") if above else F.lit(0).alias("above"))
+    per = rows.groupBy("above").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("between").alias("between"), F.sum("within").alias("within"), F.sum("most").alias("most"), F.count("*").alias("k"))
+    r = per.agg(F.sum("n"), F.sum(F.col("squares") / F.col("n")), F.sum("between"), F.sum("within"), F.sum("most"), F.sum("k"), F.count("*")).first()
+    total, squares, between, within, most, k, centres = (float(x or 0) for x in r)
+    if k <= centres or total <= k:
         return 1e3
-    chance = within / (total - k)
-    spread = (between - (k - 1) * chance) / max(total - squares / total, 1e-9)
-    return float(np.clip(prior * (1 - prior) / spread - 1 if spread > 0 else 1e4, 1, 1e4))
+    spread = (between - (k - centres) * within / (total - k)) / max(total - squares, 1e-9)
+    return float(np.clip(most / total / spread - 1 if spread > 0 else 1e4, 1, 1e4))
 
 
-def posteriors(rows: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """Tables (host, host_posterior) and (host, path, path_posterior), and the global prior, from rows (host, path, own). All by grouped sums, which are partial before the shuffle."""
-    p = 1 / (1 + F.exp(-F.col("own")))
+def posteriors(rows: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Per (host, path): n and s, documents and summed chances of the path, n_host and s_host of its host, and host_posterior and path_posterior; then the prior of all and how many documents it counts as for a host, and the host's for a path. From rows (host, path, own), all by grouped sums, which are partial before the shuffle."""
+    p = chance(F.col("own"))
     paths = stored(rows.select("host", "path", p.alias("p")).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("s2")))
     hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")))
     total = hosts.agg(F.sum("s"), F.sum("n")).first()
     prior = float(np.clip((total[0] or 0) / total[1], 1e-4, 1 - 1e-4)) if total[1] else 0.5
-    of_host, of_path = strength(hosts, "n", "s", "s2", prior), strength(paths, "n", "s", "s2", prior)
-    hosts = hosts.select("host", ((F.col("s") + of_host * prior) / (F.col("n") + of_host)).alias("host_posterior"))
-    paths = paths.join(hosts, "host")
-    return hosts, paths.select("host", "path", "host_posterior", ((F.col("s") + of_path * F.col("host_posterior")) / (F.col("n") + of_path)).alias("path_posterior")), prior
-
-
-def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of docs with host_posterior, path_posterior, doc_score (text alone) and score (under the prior of the path).
-
-    Null hosts and paths make a group of their own (''). A repeated row counts as often as it stands. An empty or null
-    text is judged by its form like any other. Two passes over the texts: one for the groups, one that keeps the rows.
+    # stored, so that Spark knows its size and broadcasts it where it is small, instead of shuffling texts
+    both = stored(paths.join(hosts.select("host", F.col("n").alias("n_host"), F.col("s").alias("s_host")), "host"))
+    of_host = strength(hosts, F.lit(prior), None)
+    of_path = strength(both, F.col("s_host") / F.col("n_host"), "host")
+    levels = {"prior": prior, "of_host": of_host, "of_path": of_path}
+    host, path = drawn(levels, F.struct("n", "s", "n_host", "s_host"), F.lit(0), F.lit(0.0))
+    return both.select("host", "path", "n", "s", "n_host", "s_host", host.alias("host_posterior"), path.alias("path_posterior")), levels
+
+
+def drawn(levels: dict[str, float], sums: F.Column, less_n: F.Column, less_s: F.Column) -> tuple[F.Column, F.Column]:
+    """The posteriors of host and path from sums (n, s, n_host, s_host), without so many documents of this summed chance."""
+    host = (sums["s_host"] - less_s + levels["of_host"] * levels["prior"]) / (sums["n_host"] - less_n + levels["of_host"])
+    path = (sums["s"] - less_s + levels["of_path"] * host) / (sums["n"] - less_n + levels["of_path"])
+    return tuple(F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6)) for x in (host, path))
+
+
+def read_under(rows: DataFrame, paths: DataFrame, levels: dict[str, float]) -> DataFrame:
+    """Rows (host, path, own, ...) with host_posterior, path_posterior (both without the row itself), doc_score and score instead of these three."""
+    kept = [c for c in rows.columns if c not in ("host", "path", "own")]
+    rows = rows.join(paths.select("host", "path", F.struct("n", "s", "n_host", "s_host").alias("sums")), ["host", "path"]).withColumn("p", chance(F.col("own")))
+    host, path = drawn(levels, F.col("sums"), F.lit(1), F.col("p"))
+    rows = rows.select(*kept, "own", F.col("p").alias("doc_score"), host.alias("host_posterior"), path.alias("path_posterior"))
+    shift = logit(F.col("path_posterior")) - float(np.log(levels["prior"] / (1 - levels["prior"])))
+    return rows.withColumn("score", chance(F.col("own") + shift)).drop("own")
+
+
+def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", columns: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The rows of docs (those `columns`; None: all) with host_posterior, path_posterior, doc_score (text alone) and score (under the prior of the path).
+
+    Null hosts and paths make a group of their own (''). A repeated row counts as often as it stands, and each has its
+    result. An empty or null text is judged by its form like any other. Columns of docs that have the name of an added one are
+    replaced; `prefix` goes before the added names. What is kept is stored with the classifier's evidence, so texts are read once for it.
     """
     model = learn(docs, labels)
-    columns = docs.columns
+    added = {prefix + c for c in ("host_posterior", "path_posterior", "doc_score", "score")}
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host, path)]
-    first = stored(evidence(docs.select(keys[0].alias("host"), keys[1].alias("path"), "text"), model).select("host", "path", "own"))
-    _, paths, prior = posteriors(first)
-    rows = evidence(docs, model).withColumn("__host", keys[0]).withColumn("__path", keys[1])
-    paths = paths.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_posterior", "path_posterior")
-    rows = rows.join(paths, ["__host", "__path"], "left")
-    shift = F.coalesce(logit(F.col("path_posterior")), F.lit(0.0)) - float(np.log(prior / (1 - prior)))
-    return rows.select(*columns, "host_posterior", "path_posterior", (1 / (1 + F.exp(-F.col("own")))).alias("doc_score"), (1 / (1 + F.exp(-(F.col("own") + shift)))).alias("score"))
+    names = [f"k{i}" for i in range(len(kept))]
+    text = names[kept.index("text")] if "text" in kept else "text"
+    rows = docs.select(keys[0].alias("host"), keys[1].alias("path"), *(F.col(c).alias(k) for c, k in zip(kept, names, strict=True)), *(["text"] if text == "text" else []))
+    rows = stored(evidence(rows, model, text).select("host", "path", *names, "own"))
+    paths, levels = posteriors(rows)
+    found = read_under(rows, paths, levels)
+    results = ("host_posterior", "path_posterior", "doc_score", "score")
+    return found.select(*(F.col(k).alias(c) for k, c in zip(names, kept, strict=True)), *(F.col(c).alias(prefix + c) for c in results))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, held_out, doc_score, host_posterior, path_posterior, score, predicted (1: good, score >= threshold)."""
-    model = learn(docs, labels)
-    host, path = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
-    rows = stored(evidence(docs.select("doc_id", host.alias("host"), path.alias("path"), "text"), model).select("doc_id", "host", "path", "own"))
-    _, paths, prior = posteriors(rows)
-    shift = logit(F.col("path_posterior")) - float(np.log(prior / (1 - prior)))
-    out = rows.join(paths, ["host", "path"])
-    score = 1 / (1 + F.exp(-(F.col("own") + shift)))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (1 / (1 + F.exp(-F.col("own")))).alias("doc_score"), "host_posterior", "path_posterior", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+    """Per row: doc_id, held_out, doc_score, host_posterior, path_posterior, score, predicted (1: good, score >= threshold). As scored() has it; other columns play no part."""
+    out = scored(docs, labels, columns=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "doc_score", "host_posterior", "path_posterior", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

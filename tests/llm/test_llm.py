@@ -324,14 +324,59 @@ def labelled(spark, n=600):
 
 def test_toxicity(spark):
     texts, labels = labelled(spark)
-    d = docs_of(spark, [*texts, (9000, None), (9001, ""), (9002, "sunnd " * 50_000)])
-    got = {r.doc_id: r for r in toxicity.judge(d, labels).collect()}
-    assert len(got) == len(texts) + 3
+    odd = [(9000, None), (9001, ""), (9002, "sunnd " * 50_000), (None, "vileword bath"), (9003, "vileword bath suno"), (9003, "vileword bath suno"), texts[3], texts[3]]
+    d = docs_of(spark, [*texts, *odd])
+    rows = toxicity.judge(d, labels).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) + len(odd)
     assert all(got[i].predicted == (i % 8 == 0) for i, _ in texts if crc_held_out(i))
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
-    assert all(got[i].predicted == 0 for i in (9000, 9001, 9002))
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(got[i].predicted == 0 for i in (9000, 9001, 9002)) and len({r.score for r in rows if r.doc_id == texts[3][0]}) == 1
     assert toxicity.judge(empty(spark), labels).count() == 0
-    assert toxicity.judge(d, labels.limit(0)).count() == len(got)
+    assert toxicity.judge(d, labels.limit(0)).count() == len(rows)
+    assert not got[None].held_out
+
+
+def test_label_model_recovers_what_voters_are_worth():
+    rng = np.random.default_rng(11)
+    n, fires = 60_000, np.array([[0.8, 0.02], [0.6, 0.01], [0.7, 0.05], [0.5, 0.02], [0.2, 0.2], [0.6, 0.01]])
+    truth = rng.random(n) < 0.1
+    votes = rng.random((n, 6)) < np.where(truth[:, None], fires[:, 0], fires[:, 1])
+    votes[:, 5] = votes[:, 1]  # one voter repeats another, and voter 4 knows nothing
+    combination, at, counts = np.unique(votes @ (1 << np.arange(6)), return_inverse=True, return_counts=True)
+    begin = ((combination[:, None] >> np.arange(4)) & 1).sum(1)
+    m = toxicity.label_model(combination, counts, 6, np.where(begin >= 2, 0.95, 0.05))
+    assert np.abs(m.fires - fires).max() < 0.04
+    assert m.weight[[1, 5]] == pytest.approx([0.5, 0.5], abs=0.05) and (m.weight[[0, 2, 3, 4]] > 0.9).all()
+    assert ((m.posterior[at] > 0.5) == truth).mean() > 0.97
+    # the posterior is what Bayes' rule says, with repeated evidence halved
+    one, zero = fires.T
+    odds = np.log(0.1 / 0.9) + votes @ (m.weight * np.log(one / zero)) + (1 - votes) @ (m.weight * np.log((1 - one) / (1 - zero)))
+    assert np.abs(1 / (1 + np.exp(-odds)) - m.posterior[at]).mean() < 0.01
+
+
+def brute_terms(text):
+    """Words and their beginnings of 3 to 8 bytes, and those that occur again."""
+    words = [w.encode() for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+    every = [("", w) for w in words] + [(n, w[:n]) for w in words for n in toxicity.STEMS if len(w) > n]
+    return {t for t in every} | {(*t, "again") for t in every if every.count(t) > 1}
+
+
+def test_scores_equal_the_sum_over_terms(spark):
+    texts, labels = labelled(spark, 240)
+    d = docs_of(spark, texts)
+    model = toxicity.learn(d, labels)
+    got = {r.doc_id: r.score for r in toxicity.judge(d, labels).collect()}
+    t = Texts.of(pa.array([x for _, x in texts]))
+    doc, code = toxicity.codes_of(*toxicity.terms(t))
+    assert [int((doc == k).sum()) for k in range(40)] == [len(brute_terms(x)) for _, x in texts[:40]]
+    place = {int(c): k for k, c in enumerate(model.lexicon.codes)}
+    for k, (i, x) in enumerate(texts[:60]):
+        z = model.bias + sum(model.weights[place[int(c)]] for c in code[doc == k] if int(c) in place)
+        b = x.encode()
+        shares = (sum(65 <= c <= 90 for c in b), b.count(b"!"), sum(c in b"#$%&*@^~|<>{}[]\\_=+" for c in b))
+        z += sum(w for w, s, limit in zip(model.weights[len(place) :], shares, toxicity.LIMITS) if s / max(len(b), 1) > limit)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)))
 
 
 def test_toxicity_learns_from_training_rows_only(spark):
@@ -344,22 +389,54 @@ def test_toxicity_learns_from_training_rows_only(spark):
 
 def test_quality(spark):
     texts, labels = labelled(spark)
-    d = docs_of(spark, [*texts, (9000, None), (9001, "")])
-    got = {r.doc_id: r for r in quality.judge(d, labels).collect()}
+    odd = [(9000, None), (9001, ""), (9002, "sunnd " * 50_000), texts[3], texts[3], (None, "x")]
+    d = docs_of(spark, [*texts, *odd])
+    rows = quality.judge(d, labels).collect()
+    got = {r.doc_id: r for r in rows}
     held = [i for i, _ in texts if crc_held_out(i)]
     assert sum(got[i].predicted == (i % 7 != 0) for i in held) >= 0.97 * len(held)
-    assert len(got) == len(texts) + 2 and all(0 <= r.score <= 1 and 0 < r.path_posterior < 1 for r in got.values())
-    kept = quality.scored(d.withColumn("source", F.lit(None).cast("string")), labels)
-    assert kept.count() == len(got)
+    assert len(rows) == len(texts) + len(odd) and all(0 <= r.score <= 1 and 0 < r.path_posterior < 1 for r in rows)
+    kept = quality.scored(d.withColumn("source", F.lit(None).cast("string")).withColumn("own", F.lit("mine")), labels, prefix="q_").collect()
+    assert len(kept) == len(rows) and {(r.own, r.score) for r in kept} == {("mine", 0.5)} and all(0 <= r.q_score <= 1 for r in kept)
     assert quality.judge(empty(spark), labels).count() == 0
 
 
-def test_sparse_sites_shrink_towards_the_prior(spark):
-    rows = [("big", "p", 4.0)] * 400 + [("bad", "p", -4.0)] * 400 + [("one", "p", -4.0)] + [(f"h{i}", "p", 4.0 if i % 2 else -4.0) for i in range(50)]
-    hosts, paths, prior = quality.posteriors(spark.createDataFrame(rows, "host string, path string, own double"))
-    of = {r.host: r.host_posterior for r in hosts.collect()}
+def test_posteriors_equal_a_plain_computation(spark):
+    rng = random.Random(9)
+    rows = [("big", f"p{k % 3}", rng.gauss(3 - k % 3, 1)) for k in range(400)] + [("bad", "p", rng.gauss(-3, 1)) for _ in range(300)] + [("one", "p", -4.0)] + [(f"h{k}", "p", rng.gauss(2 * (k % 2), 1)) for k in range(60)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, host string, path string, own double")
+    paths, levels = quality.posteriors(d)
+    got = {r.id: r for r in quality.read_under(d, paths, levels).collect()}
+    p = [1 / (1 + np.exp(-x)) for _, _, x in rows]
+    prior = sum(p) / len(p)
+    assert levels["prior"] == pytest.approx(prior)
+
+    def moments(group_of, centre_of):
+        groups = {}
+        for r, x in zip(rows, p):
+            groups.setdefault(group_of(r), []).append(x)
+        centre = {g: centre_of(g) for g in groups}
+        n, above = len(p), {}
+        for g, x in groups.items():
+            above.setdefault(g[0] if isinstance(g, tuple) else 0, []).append(len(x))
+        between = sum(len(x) * (np.mean(x) - centre[g]) ** 2 for g, x in groups.items())
+        within = sum(((np.array(x) - np.mean(x)) ** 2).sum() for x in groups.values())
+        spread = (between - (len(groups) - len(above)) * within / (n - len(groups))) / (n - sum(sum(k * k for k in x) / sum(x) for x in above.values()))
+        return np.clip(sum(len(x) * centre[g] * (1 - centre[g]) for g, x in groups.items()) / n / spread - 1, 1, 1e4)
+
+    of_host = {h: np.mean([x for r, x in zip(rows, p) if r[0] == h]) for h, _, _ in rows}
+    assert levels["of_host"] == pytest.approx(moments(lambda r: r[0], lambda g: prior))
+    assert levels["of_path"] == pytest.approx(moments(lambda r: r[:2], lambda g: of_host[g[0]]))
+    for i in (0, 1, 500, 700, 710, 755):
+        host, path, own = rows[i]
+        others = [(r, x) for k, (r, x) in enumerate(zip(rows, p)) if k != i and r[0] == host]
+        h = (sum(x for _, x in others) + levels["of_host"] * prior) / (len(others) + levels["of_host"])
+        same = [x for r, x in others if r[1] == path]
+        q = (sum(same) + levels["of_path"] * h) / (len(same) + levels["of_path"])
+        z = own + np.log(q / (1 - q)) - np.log(prior / (1 - prior))
+        assert (got[i].host_posterior, got[i].path_posterior, got[i].score) == pytest.approx((h, q, 1 / (1 + np.exp(-z))))
+    of = {r.host: r.host_posterior for r in paths.collect()}
     assert of["bad"] < of["one"] < prior < of["big"]
-    assert paths.count() == 53
 
 
 def mixing_docs():
