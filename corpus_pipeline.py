@@ -14,15 +14,22 @@ from loomtext.llm.queries import MIX, vocabulary
 from loomtext.llm.shared import stored, table
 
 
+def unused(docs: DataFrame) -> str:
+    """A beginning that no column of docs has, so that what a stage adds for a while meets no column of the same name."""
+    return "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold of op1. A score is never null, so no row is lost by comparison."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(f"score < {toxicity.THRESHOLD}").select(docs.columns)
+    name = unused(docs)
+    return toxicity.scored(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier good than not."""
-    return quality.scored(docs, table(spark, sf_dir, "labels")).where(f"score >= {quality.THRESHOLD}").select(docs.columns)
+    prefix = unused(docs)
+    return quality.scored(docs, table(spark, sf_dir, "labels"), prefix=prefix).where(F.col(f"{prefix}score") >= quality.THRESHOLD).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +44,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens have the target shares of sources, languages and topics."""
-    return mixing.sampled(docs, MIX).where("taken").select(docs.columns)
+    prefix = unused(docs)
+    return mixing.sampled(docs, MIX, prefix=prefix).where(F.col(f"{prefix}taken")).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
