@@ -6,47 +6,55 @@ lower-cased and compressed in parts of PART bytes, so that a dictionary helps wi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import cut, held_out
+from loomtext.llm.shared import held_out
 from loomtext.llm.textbatch import string_array
 
-#: Bytes of a dictionary, characters of a piece (from one row), level, and bytes compressed at once.
-DICTIONARY, PIECE, LEVEL, PART = 64_000, 640, 9, 8192
-#: Rows that the pieces of a language are taken from, at most: a bounded sample of the training rows.
-ROWS = 256
+#: Bytes of a dictionary at most, characters of a piece (from one row), level, and bytes compressed at once.
+DICTIONARY, PIECE, LEVEL, PART = 96_000, 640, 9, 8192
+#: Rows that the pieces of a language are taken from, at most (a bounded sample of the training rows), and languages, at most:
+#: the most frequent ones. Each has a dictionary, and each text is compressed with all of them.
+ROWS, LANGUAGES = 128, 256
 #: A prediction whose margin to the second is a smaller part of the size is marked as not accepted.
 MARGIN = 0.02
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of the training rows, most frequent language first.
 
     Training rows have a lang, a text with a letter, and an id that isn't held out. All are counted; pieces come from at
-    most ROWS of a language, those with the smallest hashes of (id, text); equal pieces count once.
+    most ROWS of a language, those with the smallest hashes of their ids; equal pieces count once. Whole pieces fill a
+    dictionary until DICTIONARY bytes are reached.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(counts, key=lambda x: (-counts[x], x))
-    if not languages:
-        return {}
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     order = F.xxhash64("doc_id", F.lit(11))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, 4 * ROWS / counts[lang])))), F.col("lang"))
     start = F.when(F.length("text") > PIECE, F.pmod(order, F.length("text") - PIECE).cast("int") + 1).otherwise(F.lit(1))
     piece = F.lower(F.substring(F.col("text"), start, F.lit(PIECE)))
-    thinned = cut(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000).select("lang", order.alias("rank"), piece.alias("piece")).dropDuplicates(["lang", "piece"]))
-    out = {}
-    for lang in languages:
-        pieces = [r["piece"] for r in thinned.where(F.col("lang") == lang).orderBy("rank", "piece").limit(ROWS).collect()]
-        out[lang] = "\n".join(pieces).encode()[-DICTIONARY:]
+    # of a language with many rows, about four times as many as are needed go on, whatever the corpus
+    thinned = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) * F.col("count") < 4 * ROWS * 1_000_000)
+    pieces = thinned.groupBy("lang", piece.alias("piece")).agg(F.min(order).alias("rank"), F.first("count").alias("count"))
+    per = pieces.groupBy("lang").agg(F.first("count").alias("count"), F.slice(F.array_sort(F.collect_list(F.struct("rank", "piece"))), 1, ROWS)["piece"].alias("pieces"))
+    return {r["lang"]: joined(r["pieces"]) for r in per.orderBy(F.desc("count"), "lang").collect()}
+
+
+def joined(pieces: list[str]) -> bytes:
+    """The pieces one after another, as many as fit."""
+    out = b""
+    for x in pieces:
+        x = x.encode() + b"\n"
+        if len(out) + len(x) > DICTIONARY:
+            break
+        out += x
     return out
 
 
@@ -55,7 +63,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     lang_pred is `und` (score 0, not accepted) where the text is null or has no letter, or nothing was learned. score is
     a softmax of sizes on a scale of a hundredth of the smallest. Of languages with equal sizes the more frequent one wins;
-    `accepted` is false where the margin is narrow. The dictionaries (DICTIONARY bytes a language) are broadcast.
+    `accepted` is false where the margin is narrow. The dictionaries (DICTIONARY bytes a language) are broadcast. Rows that
+    repeat are judged alike, each of them; a letter is a character of category L (so neither a half nor a Roman numeral is).
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 

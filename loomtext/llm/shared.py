@@ -13,17 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def base_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it. Where that is unset, /tmp/checkpoints, but only if all of Spark runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (base or "/tmp/checkpoints").rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the one that the cluster shares (spark.checkpoint.dir; where that is unset, as in tests, /tmp/checkpoints)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/loomtext-{uuid.uuid4().hex}"
+    """A new folder name below the shared one."""
+    return f"{base_dir(spark)}/loomtext-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and kept in the shared folder; a lost executor takes nothing with it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(base_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -4,12 +4,14 @@ A rule is a host and the beginning of a path; its key is both in one string. Eve
 could fit it: its host and each parent domain, each with the beginnings of its path that are as long as a rule's. These
 keys, over the whole corpus, are the key universe. Level 0 of a cascade encodes the listed keys; level 1 the keys of the
 universe that level 0 takes for listed though they aren't; level 2 the listed keys that level 1 takes for those; and so on
-until a level errs on none. Walking down the levels then answers exactly for any key of the universe. Two cascades are kept: of
-all rules, and of the rules that block.
+until a level errs on none. Walking down the levels then answers exactly for any key of the universe. Level 0 has as many
+bits for each listed key as leave about as many errors as there are listed keys, so all levels together grow with the list
+and the logarithm of the universe. Two cascades are kept: of all rules, and of the rules that block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -18,41 +20,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import cut, shared_dir
+from loomtext.llm.shared import cut
 
-#: Bits for each key of a level, hash functions, and what one level may take of memory (then the build refuses).
-BITS, HASHES, MOST_BYTES = 12, 6, 64 << 20
+#: Share of wrong answers of the levels after the first, and bytes that a level may take (a list of some 15 million rules), as it is
+#: broadcast: beyond that, building refuses.
+ERRORS, MOST_BYTES = 1 / 64, 64 << 20
 U = np.uint64
 
 
 @dataclass
 class Bloom:
     seed: int
-    bits: np.ndarray
+    hashes: int
+    words: np.ndarray
 
-    @staticmethod
-    def positions(keys: np.ndarray, n_bits: int, seed: int) -> np.ndarray:
+    @classmethod
+    def empty(cls, n: int, errors: float, seed: int) -> Bloom:
+        """For n keys, of others `errors` (a share) are taken for one of them."""
+        hashes = max(1, math.ceil(-math.log2(errors)))
+        size = max(16, math.ceil(n * hashes / math.log(2) / 64))  # few bits would often meet by chance
+        if 8 * size > MOST_BYTES:
+            raise ValueError(f"a level of {n} keys takes {8 * size} bytes; split the list by a hash of its keys")
+        return cls(seed, hashes, np.zeros(size, U))
+
+    def positions(self, keys: np.ndarray) -> np.ndarray:
         """One row for each hash function, by double hashing of 64-bit key hashes."""
-        x = keys.view(U) ^ U((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = keys.view(U) ^ U((self.seed + 1) * 0x9E3779B97F4A7C15 % 2**64)
         x = (x ^ (x >> U(31))) * U(0x7FB5D329728EA185)
         x ^= x >> U(27)
         y = (x * U(0x81DADEF4BC2DD44D)) | U(1)
-        return np.stack([(x + y * U(k)) % U(n_bits) for k in range(HASHES)])
-
-    @classmethod
-    def empty(cls, n: int, seed: int) -> Bloom:
-        size = max(8, -(-n * BITS // 8))
-        if size > MOST_BYTES:
-            raise ValueError(f"a level of {n} keys takes {size} bytes; split the list by a hash of its keys")
-        return cls(seed, np.zeros(size, np.uint8))
+        return np.stack([(x + y * U(k)) % U(64 * len(self.words)) for k in range(self.hashes)])
 
     def add(self, keys: np.ndarray) -> None:
-        at = self.positions(keys, 8 * len(self.bits), self.seed).ravel()
-        np.bitwise_or.at(self.bits, (at >> U(3)).astype(np.int64), (1 << (at & U(7)).astype(np.uint8)).astype(np.uint8))
+        at = self.positions(keys).ravel()
+        np.bitwise_or.at(self.words, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = self.positions(keys, 8 * len(self.bits), self.seed)
-        return ((self.bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).all(axis=0)
+        at = self.positions(keys)
+        return ((self.words[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).all(axis=0)
 
 
 @dataclass
@@ -71,51 +76,63 @@ class Cascade:
         return out
 
 
-def filled(keys: DataFrame, seed: int) -> Bloom:
-    """A level with the keys (column k, 64-bit hashes): tasks fill their own bits, which are joined by OR."""
-    n = keys.count()
-    shape = Bloom.empty(n, seed)
-    if not n:
-        return shape
-    size = len(shape.bits)
+def filled(keys: DataFrame, n: int, errors: float, seed: int) -> Bloom:
+    """A level with the n keys (column k, 64-bit hashes): tasks fill their own bits, which are joined by OR."""
+    shape = Bloom.empty(n, errors, seed)
+    size, hashes = len(shape.words), shape.hashes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = Bloom(seed, np.zeros(size, np.uint8))
+        part = Bloom(seed, hashes, np.zeros(size, U))
         for batch in batches:
             part.add(batch.column("k").to_numpy(zero_copy_only=False))
-        at = np.flatnonzero(part.bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part.bits[at].astype(np.int64))], ["at", "bits"])
+        at = np.flatnonzero(part.words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(part.words[at].view(np.int64))], ["at", "bits"])
 
-    rows = keys.mapInArrow(work, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    shape.bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
+    rows = keys.mapInArrow(work, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most MOST_BYTES / 8 rows
+    shape.words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(U)
     return shape
 
 
 def tested(keys: DataFrame, level: Bloom) -> DataFrame:
-    """The keys that the level takes for its own."""
+    """The rows whose key k the level takes for its own."""
     shared = keys.sparkSession.sparkContext.broadcast(level)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column("k").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(k[shared.value.has(k)])], ["k"])
+            hit = shared.value.has(batch.column("k").to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(hit))
 
-    return keys.mapInArrow(work, "k long")
+    return keys.mapInArrow(work, keys.schema)
 
 
 def cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """The cascade that tells the listed keys from all others of the universe (both: distinct 64-bit hashes in column k)."""
-    yes, no = listed, universe.join(listed, "k", "left_anti")
+    """The cascade that tells the listed keys from all others of the universe. Both have `k`, 64-bit hashes, and `rule`, what was hashed; listed ones are distinct, those of the universe may repeat.
+
+    The universe is read twice and never shuffled: its size is estimated, and of its keys only those that level 0 takes for
+    listed go on, about twice as many as are listed. Where one of them has the hash of a listed key but isn't it, Collision is raised.
+    """
     out = Cascade()
-    for seed in range(40):
-        if not yes.limit(1).count():
-            break
-        out.levels.append(filled(yes, seed))
-        wrong = cut(tested(no, out.levels[-1]))
-        yes, no = wrong, yes
-    else:
-        raise ValueError("the cascade doesn't end: two keys have one hash")
-    return out
+    r = listed.count()
+    if not r:
+        return out
+    s = universe.agg(F.approx_count_distinct("k")).first()[0]
+    out.levels.append(filled(listed.select("k"), r, min(0.5, r / max(s, 1)), 0))
+    taken = cut(tested(universe.select("k", "rule"), out.levels[0]).distinct())
+    ours = listed.select("k", F.col("rule").alias("own"))
+    if not taken.join(ours, "k").where("rule <> own").isEmpty():
+        raise Collision
+    yes, no = cut(taken.join(ours, "k", "left_anti").select("k")), listed.select("k")
+    for seed in range(1, 64):
+        n = yes.count()
+        if not n:
+            return out
+        out.levels.append(filled(yes, n, ERRORS, seed))
+        yes, no = cut(tested(no, out.levels[-1])), yes
+    raise ValueError("the cascade doesn't end")
+
+
+class Collision(Exception):
+    """Two keys have one hash."""
 
 
 def host_of(url) -> F.Column:
@@ -142,18 +159,23 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], otherwise: st
 
     Rules are (verdict, host, path); hosts and paths are compared as they stand. A rule fits its host and all subdomains,
     if the url's path begins with its path; of those that fit, the longest decides, and of equally long ones that of the
-    longer host. A url that no rule fits, or null, or without ://, isn't in any list: it gets `otherwise`. Rows may repeat.
+    longer host. A url that no rule fits, or null, or without ://, isn't in any list: it gets `otherwise`. Rows may repeat;
+    columns of pages other than page_id and url play no part, whatever their names.
     """
     spark = pages.sparkSession
-    named = spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, host string, path string")
-    listed = cut(named.select(F.xxhash64(F.concat("host", "path")).alias("k"), "verdict").distinct())
+    named = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, rule string")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     keyed = rows.withColumn("keys", candidates([len(p) for _, _, p in rules]))
-    path = shared_dir(spark)
-    keyed.select(F.explode("keys").alias("rule")).select(F.xxhash64("rule").alias("k")).distinct().write.parquet(path)
-    universe = spark.read.schema("k long").parquet(path).unionByName(listed.select("k")).distinct()
-    every = cascade(listed.select("k").distinct(), universe)
-    blocking = cascade(listed.where("verdict = 'block'").select("k"), universe)
+    for salt in range(8):
+        key = lambda rule: F.xxhash64(rule, F.lit(salt))  # noqa: B023, E731
+        listed = cut(named.withColumn("k", key(F.col("rule"))).distinct())
+        universe = keyed.select(F.explode("keys").alias("rule")).select(key(F.col("rule")).alias("k"), "rule")
+        try:
+            every = cascade(listed.select("k", "rule").distinct(), universe)
+            break
+        except Collision:  # by chance once in some billions of rules and keys: hash again
+            continue
+    blocking = cascade(listed.where("verdict = 'block'").select("k", "rule").distinct(), listed.select("k", "rule"))
     shared = spark.sparkContext.broadcast((every, blocking))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +195,6 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], otherwise: st
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "keys")), pa.array(at.astype(np.int32)), pa.array(blocks)], ["page_id", "host", "path", "keys", "at", "blocks"])
 
     ids = pages.schema["page_id"].dataType.simpleString()
-    found = keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))).mapInArrow(work, f"page_id {ids}, host string, path string, keys array<string>, at int, blocks boolean")
+    found = keyed.withColumn("hashes", F.transform("keys", key)).mapInArrow(work, f"page_id {ids}, host string, path string, keys array<string>, at int, blocks boolean")
     rule = F.when(F.col("at") >= 0, F.get("keys", F.col("at")))
     return found.select("page_id", "host", "path", rule.alias("rule"), F.when(F.col("at") < 0, F.lit(otherwise)).when(F.col("blocks"), "block").otherwise("allow").alias("verdict"))

@@ -272,7 +272,8 @@ def test_pivots_are_apart_and_dense_ones_come_first():
 
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.com", "http://a.com/", "https://x.example.com/en/1?q", "https://www.example.com/en/1", "https://a.www.example.com/en/", "http://a.net/es/x#y", "http://net/fr/", "http://x.net/de/", "ftp://notexample.com/en/", "http://a.com:80/", "http://a.com?x=/es/", "weird://"]
-    rows = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)] + [(5, urls[5], "x", "y")], "page_id long, url string, rule string, host string")
+    urls.append("http://b.example.com/en/" + "x/" * 100_000)
+    rows = spark.createDataFrame([(i, u, "x", "y", "z", 1) for i, u in enumerate(urls)] + [(5, urls[5], "x", "y", "z", 1)], "page_id long, url string, rule string, host string, verdict string, path int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(rows, URL_RULES).collect()}
     for i, u in enumerate(urls):
         rest = (u or "").partition("://")[2] if "://" in (u or "") else ""
@@ -285,25 +286,37 @@ def test_url_rules(spark):
     assert urlfilter.judge(rows.limit(0), URL_RULES).count() == 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("n_listed", [0, 1, 500, 30_000])
+def test_cascade_is_exact(spark, n_listed):
     rng = np.random.default_rng(0)
     keys = rng.integers(-(2**62), 2**62, 30_000)
-    listed, universe = (spark.createDataFrame([(int(k),) for k in x], "k long") for x in (keys[:500], keys))
-    c = urlfilter.cascade(listed, universe)
-    assert len(c.levels) > 1 and (c.has(keys) == (np.arange(30_000) < 500)).all()
+    listed, universe = (spark.createDataFrame([(int(k), str(k)) for k in x], "k long, rule string") for x in (keys[:n_listed], keys))
+    c = urlfilter.cascade(listed, universe.unionByName(universe))
+    assert (c.has(keys) == (np.arange(30_000) < n_listed)).all()
+    assert sum(len(x.words) * 64 for x in c.levels) <= n_listed * (1.45 * np.log2(30_000) + 30) + 1024 * len(c.levels)
+
+
+def test_keys_with_one_hash_are_told(spark):
+    listed = spark.createDataFrame([(1, "a"), (2, "b")], "k long, rule string")
+    with pytest.raises(urlfilter.Collision):
+        urlfilter.cascade(listed, spark.createDataFrame([(1, "a"), (2, "c")], "k long, rule string"))
 
 
 def test_language(spark):
     words = {"en": "the of and to in is that with for are this".split(), "de": "der die und das nicht mit ein auf werden ist".split()}
     rng = random.Random(0)
     rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(30)), lang, "s", 1, 0.0, 1) for i in range(200) for lang in [("en", "de")[i % 2]]]
+    rows += [(910, "½ ² Ⅷ ٣", "en", "s", 1, 0.0, 1), (911, "ª", None, "s", 1, 0.0, 1), (5, rows[5][1], "de", "s", 1, 0.0, 1), (None, "the of and", None, "s", 1, 0.0, 1)]
     rows += [(900, None, "en", "s", 1, 0.0, 1), (901, "12 34!", "en", "s", 1, 0.0, 1), (902, "the " * 40_000, None, "s", 1, 0.0, 1), (903, "", None, "s", 1, 0.0, 1)]
     d = spark.createDataFrame(rows, DOCS)
     learned = language.learn(d)
     assert set(learned) == {"en", "de"} and all(len(x) <= language.DICTIONARY for x in learned.values())
     got = {r.doc_id: r for r in language.classify(d, learned).collect()}
     assert all(got[r[0]].lang_pred == r[2] and got[r[0]].held_out == crc_held_out(r[0]) for r in rows[:200])
-    assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "en", "und"] and got[900].score == 0
+    assert [got[i].lang_pred for i in (900, 901, 902, 903, 910)] == ["und", "und", "en", "und", "und"] and got[900].score == 0
+    assert got[911].lang_pred != "und" and got[None].lang_pred == "en" and not got[None].held_out and language.classify(d, learned).count() == len(rows)
+    twins = language.classify(docs_of(spark, [(1, "the of and")] * 2), {"b": b"same words", "a": b"same words"}).collect()
+    assert [(r.lang_pred, r.accepted) for r in twins] == [("b", False)] * 2  # of equal sizes the first, which is the more frequent one
     assert language.classify(d, language.learn(empty(spark))).where("lang_pred <> 'und'").count() == 0
 
 
