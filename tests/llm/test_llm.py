@@ -500,15 +500,31 @@ def test_margins_that_contradict_are_told(spark):
 
 def test_warc_round_trip(spark):
     same = "é" + "x" * 99
-    rows = [(5, "http://a/", same), (3, "http://b/", same), (9, None, same), (1, "http://c/\r\nX: y", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\n" * 30), (8, "u", "z" * 3_000_000), (3, "http://b/", same)]
-    got = sorted(tuple(r) for r in warc.round_trip(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload_digest string")).collect())
+    odd = "\r\n\r\nWARC/1.1\r\n\r\n" * 30
+    rows = [(5, "http://a/", same), (3, "http://b/", same), (9, None, same), (1, "http://c/\r\nX: y", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (7, "u", odd), (8, "u", "z" * 3_000_000), (3, "http://b/", same), (3, "u", "short"), (3, "u", odd + "\r\n"), (10, "u", odd + "\r\n"), (None, "u", same), (None, "v", same), (None, "u", same)]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, payload_digest string, deal int")
+    key = lambda r: (r[0] is None, *r[:1], r[1:4], r[4] or 0)
+    got = sorted((tuple(r) for r in warc.round_trip(d).collect()), key=key)
     expected = []
     for i, _, x in rows:
         b = (x or "").encode()
-        again = x == same and i != 3
-        expected.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", 3 if again else None))
-    assert got == sorted(expected)
-    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+        first = min((j for j, _, y in rows if y == x and j is not None), default=None)
+        again = len(b) >= 100 and i is not None and i > first
+        expected.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(expected, key=key)
+    assert warc.round_trip(d.limit(0)).count() == 0
+
+
+def test_warc_records_refer_to_records(spark, tmp_path):
+    same = "y" * 200
+    rows = [(i, "u", same) for i in (4, 2, 2, 9)] + [(None, "u", same)] * 2
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    records = warc.read(spark, str(tmp_path / "w")).collect()
+    ids = [r.record_id for r in records]
+    assert len(set(ids)) == len(ids) == len(rows)
+    text = "".join(r.value for r in spark.read.option("wholetext", True).text(str(tmp_path / "w")).collect())
+    assert set(re.findall("WARC-Refers-To: (.*)\r\n", text)) <= {r.record_id for r in records if r.record_type == "response"}
+    assert text.count("HTTP/1.1 200 OK") == sum(r.record_type == "response" for r in records) == 4
 
 
 def test_held_out_is_crc32(spark):
