@@ -3,8 +3,11 @@
 A paragraph is a line; a long one is cut where a word's hash says so, so that an edit moves no cut but its own. Equal
 paragraphs of a text count as many as they are (the digest holds the number of the repetition). A sketch has cells of a
 count, the XOR of the digests and the XOR of their check sums; a digest goes to three cells. Two sketches of one size
-subtract cell by cell, and peeling cells of one digest recovers what the texts don't share. Where that gets stuck, the
-pair gets sketches of twice the size, until it works.
+subtract cell by cell, and peeling cells of one digest recovers what the texts don't share.
+
+A fingerprint is a sketch of a size that follows from its number of digests, doubled until it can be peeled by itself. So
+a fingerprint gives back its digests, and two of different sizes can still be compared: the smaller one is laid out anew in the
+other's size. Where the difference is too much for that size, both are laid out twice as large, until peeling ends.
 """
 
 from __future__ import annotations
@@ -19,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.textbatch import Texts, mix, string_array
+from loomtext.llm.textbatch import Texts, mix, slices, string_array
 
 #: Words of a paragraph: about so many between cuts by content, so many at most.
 USUAL, MOST = 8, 32
-#: In texts of so many words at most, each word counts as a paragraph.
-SHORT = 24
-#: Cells of the fingerprint that a document gets, and of the first attempt at a pair for each digest of both.
-CELLS, FIRST = 6, 0.75
+#: Cells of a sketch for each digest at first; the least third of a sketch.
+FIRST, LEAST = 1.5, 2
 U = np.uint64
 
 
@@ -46,7 +47,7 @@ class Digests:
         return np.diff(self.bounds)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The digests of these texts, and for each the number of the row it is for."""
+        """The digests of these texts, one after another, and for each the number of the row it is for."""
         sizes = self.sizes[rows]
         at = np.repeat(self.bounds[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(rows) else np.zeros(0, int)
         return self.key[at], np.repeat(np.arange(len(rows)), sizes)
@@ -63,7 +64,6 @@ def digests(texts: Texts) -> Digests:
         line = np.concatenate([[0], np.cumsum(texts.buf == 10)])
         new[1:] |= line[begins[1:]] > line[ends[:-1]]
         new[1:] |= texts.word_hashes[:-1] % U(USUAL) == 0
-        new |= np.repeat(np.diff(first) <= SHORT, np.diff(first))
         at = np.arange(len(begins))
         new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % MOST == 0
         cut = begins[new]
@@ -100,26 +100,27 @@ def check(key: np.ndarray) -> np.ndarray:
 class Sketches:
     """Sketches of a batch, one after another; cells[i] of them belong to the i-th."""
 
-    def __init__(self, key: np.ndarray, owner: np.ndarray, cells: np.ndarray):
+    def __init__(self, cells: np.ndarray):
         self.cells, self.base = cells, np.concatenate([[0], np.cumsum(cells)])
         n = int(self.base[-1])
         self.count, self.keys, self.checks = np.zeros(n, np.int32), np.zeros(n, U), np.zeros(n, np.uint32)
-        self.add(key, owner, np.ones(len(key), np.int32))
 
-    def add(self, key: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
+    def add(self, key: np.ndarray, owner: np.ndarray, sign: np.ndarray | int) -> Sketches:
         at = places(key, self.cells[owner], self.base[owner])
-        self.count += np.bincount(at, np.tile(sign, 3), len(self.count)).astype(np.int32)
+        self.count += np.bincount(at, np.tile(np.broadcast_to(sign, key.shape), 3), len(self.count)).astype(np.int32)
         np.bitwise_xor.at(self.keys, at, np.tile(key, 3))
         np.bitwise_xor.at(self.checks, at, np.tile(check(key), 3))
+        return self
 
-    def subtract(self, other: Sketches) -> None:
-        self.count -= other.count
-        self.keys ^= other.keys
-        self.checks ^= other.checks
+    def less(self, other: Sketches) -> Sketches:
+        """Cell by cell what is left of these sketches without the others, of the same sizes."""
+        out = Sketches(self.cells)
+        out.count, out.keys, out.checks = self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks
+        return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each sketch, how many digests it gave, and whether nothing is left in it."""
-        out = np.zeros(len(self.cells), np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Digests, the sketch that each came from, its sign (1 in the first, -1 in what was subtracted), and of each sketch whether nothing is left in it. Empties the sketches."""
+        found: list[tuple] = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         cell_owner = np.repeat(np.arange(len(self.cells)), self.cells)
         for _ in range(200):
             at = np.flatnonzero(np.abs(self.count) == 1)
@@ -127,41 +128,131 @@ class Sketches:
             if not len(at):
                 break
             key, owner, sign = self.keys[at], cell_owner[at], self.count[at]
-            _, one = np.unique(mix(key + owner.astype(U) * U(0xD1342543DE82EF95)), return_index=True)
+            order = np.lexsort((key, owner))
+            fresh = np.append(True, (np.diff(owner[order]) != 0) | (key[order][1:] != key[order][:-1]))
+            one = order[fresh]
             key, owner, sign = key[one], owner[one], sign[one]
             self.add(key, owner, -sign)
-            out += np.bincount(owner, minlength=len(out))
-        left = (self.count != 0) | (self.keys != 0)
-        return out, np.bincount(cell_owner, left, len(out)) == 0
+            found.append((key, owner, sign))
+        left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
+        key, owner, sign = (np.concatenate(x) for x in zip(*found, strict=True))
+        return key, owner, sign, np.bincount(cell_owner, left, len(self.cells)) == 0
+
+    def part(self, rows: np.ndarray) -> Sketches:
+        """The sketches of these rows."""
+        out = Sketches(self.cells[rows])
+        at = np.repeat(self.base[rows] - out.base[:-1], out.cells) + np.arange(out.base[-1])
+        out.count, out.keys, out.checks = self.count[at], self.keys[at], self.checks[at]
+        return out
 
-    def text(self, sizes: np.ndarray) -> list[str]:
-        """Each sketch as a string: the number of digests, then counts, digests and check sums of its cells, in base64."""
+    def text(self) -> list[str]:
+        """Each sketch as a string: counts, digests and check sums of its cells, in base64."""
         out = []
-        for i, n in enumerate(sizes.tolist()):
-            a, b = self.base[i], self.base[i + 1]
-            out.append(base64.b64encode(np.uint32(n).tobytes() + self.count[a:b].tobytes() + self.keys[a:b].tobytes() + self.checks[a:b].tobytes()).decode())
+        for a, b in zip(self.base.tolist(), self.base[1:].tolist(), strict=False):
+            out.append(base64.b64encode(self.count[a:b].tobytes() + self.keys[a:b].tobytes() + self.checks[a:b].tobytes()).decode())
+        return out
+
+    @classmethod
+    def of_text(cls, texts: list[str | None]) -> Sketches:
+        raw = [base64.b64decode(x or "") for x in texts]
+        out = cls(np.array([len(x) // 16 for x in raw], np.int64))
+        for a, b, x in zip(out.base.tolist(), out.base[1:].tolist(), raw, strict=False):
+            n = b - a
+            out.count[a:b], out.keys[a:b], out.checks[a:b] = np.frombuffer(x, "<i4", n), np.frombuffer(x, "<u8", n, 4 * n), np.frombuffer(x, "<u4", n, 12 * n)
         return out
 
 
-def fingerprints(x: Digests) -> list[str]:
-    return Sketches(x.key, x.owner, np.full(len(x.bounds) - 1, CELLS)).text(x.sizes)
+def sketched(x: Digests) -> Sketches:
+    """The fingerprints: sketches that peel by themselves, each in the first size of its row that does."""
+    n = len(x.bounds) - 1
+    third = np.maximum(LEAST, 1 << np.ceil(np.log2(np.maximum(FIRST * x.sizes / 3, 1))).astype(np.int64))
+    todo = np.arange(n)
+    while len(todo):
+        *_, whole = Sketches(3 * third[todo]).add(*x.take(todo), 1).peel()
+        todo = todo[~whole]
+        third[todo] *= 2
+    return Sketches(3 * third).add(x.key, x.owner, 1)
 
 
-def likeness(x: Digests, y: Digests) -> np.ndarray:
-    """Row by row, shared digests over all digests of both, by subtraction and peeling. Two empty texts: 1."""
-    both = x.sizes + y.sizes
-    differ, todo = np.zeros(len(both), np.int64), np.arange(len(both))
-    cells = 3 * np.maximum(2, np.ceil(FIRST * both / 3)).astype(np.int64)
+def differences(a: Sketches, b: Sketches, of_a: Digests, of_b: Digests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row what two fingerprints don't share: digests, the rows, signs (1: only in a, -1: only in b). of_a and of_b are what the fingerprints give back when peeled."""
+    cells = np.maximum(a.cells, b.cells)
+    todo, found = np.arange(len(cells)), []
     while len(todo):
-        a, b = Sketches(*x.take(todo), cells[todo]), Sketches(*y.take(todo), cells[todo])
-        a.subtract(b)
-        found, whole = a.peel()
-        differ[todo[whole]] = found[whole]
+        sides = []
+        for own, of in ((a, of_a), (b, of_b)):
+            fits = own.cells[todo] == cells[todo]
+            side = Sketches(cells[todo])
+            at = np.repeat(fits, side.cells)
+            if fits.any():
+                as_they_are = own.part(todo[fits])
+                side.count[at], side.keys[at], side.checks[at] = as_they_are.count, as_they_are.keys, as_they_are.checks
+            if not fits.all():
+                key, row = of.take(todo[~fits])
+                side.add(key, np.flatnonzero(~fits)[row], 1)
+            sides.append(side)
+        key, row, sign, whole = sides[0].less(sides[1]).peel()
+        good = whole[row]
+        found.append((key[good], todo[row[good]], sign[good]))
         todo = todo[~whole]
         cells[todo] *= 2
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def likeness(a: Sketches, b: Sketches, of_a: Digests, of_b: Digests) -> np.ndarray:
+    """Row by row, shared digests over all digests of both. Two empty texts: 1."""
+    both = of_a.sizes + of_b.sizes
+    differ = np.bincount(differences(a, b, of_a, of_b)[1], minlength=len(both))
     return np.where(both == 0, 1.0, (both - differ) / np.maximum(both + differ, 1))
 
 
+def given_back(x: Sketches) -> Digests:
+    """The digests that fingerprints hold."""
+    n = len(x.cells)
+    key, owner, _, whole = x.part(np.arange(n)).peel()
+    if not whole.all():
+        raise ValueError("not a fingerprint: its sketch can't be peeled")
+    order = np.lexsort((key, owner))
+    return Digests(key[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]))
+
+
+def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """The rows of docs with a column `name`: the fingerprint of the whole text (null: of an empty one). It replaces a column of that name."""
+    columns = [c for c in docs.columns if c != name]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, text):
+            texts.fold = False
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), string_array(sketched(digests(texts)).text())], [*columns, name])
+
+    plain = docs.select(columns)
+    return plain.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), f"`{name}` string"]))
+
+
+def compared(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """The rows with `likeness` (0 to 1), `removed` and `added`: the paragraph digests (longs, in order) that only the fingerprint in column `before`, or only that in `after`, holds. A null fingerprint is that of an empty text. These columns replace others of their names."""
+    added = ["likeness", "removed", "added"]
+    columns = [c for c in rows.columns if c not in added]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                a, b = (Sketches.of_text(part.column(c).to_pylist()) for c in (before, after))
+                of_a, of_b = given_back(a), given_back(b)
+                key, row, sign = differences(a, b, of_a, of_b)
+                lists = []
+                for s in (1, -1):
+                    mine = np.flatnonzero(sign == s)
+                    mine = mine[np.lexsort((key[mine].view(np.int64), row[mine]))]
+                    bounds = np.concatenate([[0], np.cumsum(np.bincount(row[mine], minlength=part.num_rows))])
+                    lists.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(key[mine].view(np.int64))))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(likeness(a, b, of_a, of_b)), *lists], [*columns, *added])
+
+    plain = rows.select(columns)
+    return plain.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), "likeness double, removed array<bigint>, added array<bigint>"]))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, tail, key, doc_id, text), ordered within their partition, such that the document after each one in ascending doc_id follows it.
 
@@ -228,28 +319,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             return
         here, after = [rows[k][3] for k in at], [rows[k + 1][3] for k in at]
         edited = [x[: len(x) - len(x) // 2] + y[: len(x) // 2] for x, y in zip(here, after, strict=True)]
-        all_texts = Texts.of(string_array([r[3] for r in rows]))
-        all_texts.fold = False
-        a = digests(all_texts)
-        e_texts = Texts.of(string_array(edited))
-        e_texts.fold = False
-        e = digests(e_texts)
+        a, e = (digests(t) for t in (Texts.of(string_array([r[3] for r in rows]), fold=False), Texts.of(string_array(edited), fold=False)))
+        prints, edits = sketched(a), sketched(e)
         at = np.array(at)
-
-        def pick(rows_: np.ndarray) -> Digests:
-            key, _ = a.take(rows_)
-            return Digests(key, np.concatenate([[0], np.cumsum(a.sizes[rows_])]))
-
-        own, following = pick(at), pick(at + 1)
+        (own, of_own), (following, of_following) = ((prints.part(x), Digests(a.take(x)[0], np.concatenate([[0], np.cumsum(a.sizes[x])]))) for x in (at, at + 1))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[k][2] for k in at], pa.int64()),
                 pa.array([len(x) for x in here], pa.int64()),
                 string_array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in edited]),
-                string_array(fingerprints(own)),
-                string_array(fingerprints(e)),
-                pa.array(likeness(own, e), pa.float64()),
-                pa.array(likeness(own, following), pa.float64()),
+                string_array(own.text()),
+                string_array(edits.text()),
+                pa.array(likeness(own, edits, of_own, e), pa.float64()),
+                pa.array(likeness(own, following, of_own, of_following), pa.float64()),
             ],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )

@@ -41,7 +41,7 @@ class Texts:
     gaps: np.ndarray = field(default_factory=lambda: SPACE)
 
     @classmethod
-    def of(cls, column: pa.Array) -> Texts:
+    def of(cls, column: pa.Array, fold: bool = True) -> Texts:
         """Nulls count as empty."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -49,7 +49,7 @@ class Texts:
         _, offsets, data = column.buffers()
         offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
         buf = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-        return cls(buf, offsets - offsets[0])
+        return cls(buf, offsets - offsets[0], fold)
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -96,30 +97,73 @@ def test_bpe_matches_the_library(spark):
     assert bpe.digests(empty(spark), vocabulary()).count() == 0
 
 
+def brute_paragraphs(text):
+    """The paragraphs of a text as a multiset: lines, cut after words whose hash says so and after MOST words."""
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())]
+    b, cuts, run = text.encode(), [0], 0
+    for k, (at, _) in enumerate(words):
+        if k:
+            before_at, before = words[k - 1]
+            h = Texts.of(pa.array([before], pa.binary()), fold=False).word_hashes[0]
+            if b"\n" in b[before_at + len(before) : at] or int(h) % fingerprint.USUAL == 0 or run == fingerprint.MOST:
+                cuts.append(at)
+                run = 0
+        run += 1
+    return Counter(b[x:y] for x, y in zip(cuts, [*cuts[1:], len(b)])) if b else Counter()
+
+
+def brute_likeness(x, y):
+    a, b = brute_paragraphs(x), brute_paragraphs(y)
+    return (a & b).total() / (a | b).total() if a or b else 1.0
+
+
 def test_fingerprints(spark):
-    long = " ".join(f"w{i % 977}" for i in range(60_000))
-    texts = {1: "One line here.\nAnother line there.\nThe last of them.", 2: "", 3: None, 4: "x", 5: long, 6: "One line here.\nAnother line there.\nThe last of them.", 9: "é" * 40}
-    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(docs_of(spark, texts.items())).collect()}
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    texts = {1: "One line here.\nAnother line there.\nThe last of them.", 2: "", 3: None, 4: "x", 6: "One line here.\nAnother line there.\nThe last of them.", 9: "é" * 40, 10: " \n ", 11: "a " * 300, 12: "a " * 310}
+    texts |= {i: rng.choice([" ", "\n"]).join(rng.choice(words) for _ in range(rng.choice([3, 24, 25, 26, 200, 900]))) for i in range(20, 60)}
+    for i in range(60, 80):  # versions that differ by little, next to each other
+        texts[i] = texts[i - 1] + f" more{i}" * rng.randint(1, 40)
+    d = docs_of(spark, texts.items())
+    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(d).collect()}
     ids = sorted(texts)
     for k, i in enumerate(ids):
         x, y = texts[i] or "", texts[ids[(k + 1) % len(ids)]] or ""
         edited = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(x)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert got[1].fingerprint == got[6].fingerprint != got[5].fingerprint
-    assert got[2].near_next == 1 and got[5].near_edited > 0.2 > got[5].near_next
-    assert fingerprint.fingerprint_edits(docs_of(spark, [(1, "a b c"), (1, "a b c")])).count() == 2
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((brute_likeness(x, edited), brute_likeness(x, y))), i
+    assert got[1].fingerprint == got[6].fingerprint != got[4].fingerprint and got[2].near_next == 1
+    # what is published decides: the same likeness from the two fingerprints alone
+    pairs = spark.createDataFrame([(i, got[i].fingerprint, got[i].edited_fingerprint, 0.5) for i in ids], "doc_id long, a string, b string, likeness double")
+    for r in fingerprint.compared(pairs, "a", "b").collect():
+        assert r.likeness == pytest.approx(got[r.doc_id].near_edited)
+        assert len(set(r.removed) & set(r.added)) == 0 and (r.likeness == 1) == (r.removed == [] == r.added)
+    alone = fingerprint.fingerprinted(d.withColumn("fingerprint", F.lit(1))).select("doc_id", "fingerprint").collect()
+    assert {r.doc_id: r.fingerprint for r in alone} == {i: r.fingerprint for i, r in got.items()}
+
+
+def test_fingerprints_of_odd_tables(spark):
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    assert fingerprint.fingerprint_edits(docs_of(spark, [(1, "a b c"), (1, "a b c"), (1, "a b d")])).count() == 3
     assert fingerprint.fingerprint_edits(docs_of(spark, [(1, "alone here")])).first().near_next == 1
     assert fingerprint.fingerprint_edits(empty(spark)).count() == 0
+    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(docs_of(spark, [(None, "no id"), (5, long), (6, long + " end"), (None, None)])).collect()}
+    assert set(got) == {None, 5, 6} and got[5].near_next > 0.99
+    far = fingerprint.compared(spark.createDataFrame([(got[5].fingerprint, got[6].fingerprint), (None, got[5].fingerprint), (None, None)], "a string, b string"), "a", "b").collect()
+    assert [len(r.removed) + len(r.added) < 8 for r in far] == [True, False, True] and [r.likeness for r in far][1:] == [0, 1]
 
 
 def test_sketches_recover_what_differs():
     rng = np.random.default_rng(1)
-    for n, m in ((0, 5), (200, 200), (3, 0), (50, 1000)):
-        common = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for n, m, shared in ((0, 5, 300), (200, 200, 300), (3, 0, 300), (50, 1000, 300), (0, 4000, 0), (7, 4000, 3), (0, 0, 0)):
+        common = rng.integers(0, 2**63, shared).astype(np.uint64)
         a, b = (np.concatenate([common, rng.integers(0, 2**63, k).astype(np.uint64)]) for k in (n, m))
         x, y = (fingerprint.Digests(v, np.array([0, len(v)])) for v in (a, b))
-        assert fingerprint.likeness(x, y)[0] == pytest.approx(300 / (300 + n + m))
+        s, t = (fingerprint.Sketches.of_text(fingerprint.sketched(v).text()) for v in (x, y))
+        assert set(fingerprint.given_back(s).key.tolist()) == set(a.tolist())
+        key, _, sign = fingerprint.differences(s, t, x, y)
+        assert set(key[sign == 1].tolist()) == set(a[shared:].tolist()) and set(key[sign == -1].tolist()) == set(b[shared:].tolist())
+        assert fingerprint.likeness(s, t, x, y)[0] == pytest.approx(shared / (shared + n + m) if shared + n + m else 1)
 
 
 def brute_groups(texts, words, percent):
