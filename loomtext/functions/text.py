@@ -106,7 +106,11 @@ def joined_drafts(drafts: Column) -> Column:
     return F.array_join(F.array_compact(marked), "\n\n")
 
 
-def tokens(c: Column, keep: str = "0-9a-z가-힣") -> Column:
+#: What tokens are made of.
+TOKEN_LETTERS = "0-9a-z가-힣"
+
+
+def tokens(c: Column, keep: str = TOKEN_LETTERS) -> Column:
     """Lower-case runs of the kept characters. Stands in for a morphological analyser."""
     return F.regexp_extract_all(F.lower(c), F.lit(f"[{keep}]+"), F.lit(0))
 

@@ -79,12 +79,19 @@ def round_robin(docs: DataFrame, by: str, group: str, content: str) -> DataFrame
 
 
 def packed(docs: DataFrame, by: str, order: str, query: str, content: str, most: int) -> DataFrame:
-    """(by, context, n_blocks): blocks in order while their lengths sum to `most` at the most; the first that doesn't fit ends it."""
+    """(by, context, n_blocks): blocks in order while their lengths sum to `most` at the most; the first that doesn't fit ends it.
+
+    A block has four characters at least, so only so many first rows of a group can fit: each task keeps these few of its own before the
+    shuffle (for `most` up to 4,000, which is what Spark prunes windows for), with at most `most` + 1 characters of each.
+    """
     text = trimmed(F.col(content))
     blocks = F.when(F.length(query) > 0, F.concat(F.lit("#### "), F.col(query), F.lit("\n - "), text, F.lit("\n"))).otherwise(F.concat(F.lit(" - "), text, F.lit("\n")))
-    rows = docs.select(by, order, blocks.alias("__block"))
-    running = F.sum(F.length("__block")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    kept = rows.withColumn("__sum", running).where(F.col("__sum") <= most)
+    # what is cut off is longer than fits
+    rows = docs.select(by, order, F.left(F.coalesce(blocks, F.lit("")), F.lit(most + 1)).alias("__block"), blocks.isNull().alias("__none"))
+    w = Window.partitionBy(by).orderBy(order)
+    rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most // 4)
+    running = F.sum(F.length("__block")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows.withColumn("__sum", running).where((F.col("__sum") <= most) & ~F.col("__none"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "__block"))), lambda x: x["__block"]), "\n")
     found = kept.groupBy(by).agg(joined.alias("context"), F.count("*").alias("n_blocks"))
     return docs.select(by).distinct().join(found, by, "left").select(by, F.coalesce("context", F.lit("")).alias("context"), F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"))

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomtext.functions.arrays import moved
+from loomtext.sources.readers import numbered_rows
 
 
 def dense_ids(df: DataFrame, column: str, out: str = "group_id") -> DataFrame:
-    """0-based ids of the values in code-point order. Values are ranked once each: ranges of them are counted, and numbered within."""
-    spark = df.sparkSession
-    values = df.select(column).distinct()
-    ranged = values.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), column).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(column)))
-    ends = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = ends.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = ranged.join(F.broadcast(before), "__part").select(column, (F.col("__at") + F.col("__before") - 1).alias(out))
-    return df.join(ids, column)
+    """0-based ids of the values in code-point order. Values are ranked once each: ranges of them are counted, and numbered within; they are joined back by a SHA-256."""
+    key = F.sha2(F.col(column).cast("string").cast("binary"), 256).alias("__key")
+    ids = numbered_rows(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], out).select(key, out)
+    return df.withColumn("__key", key).join(ids, "__key").drop("__key")
 
 
 def quantile_edges(df: DataFrame, column: str, q: int = 5) -> list[float]:
-    edges = df.agg(F.percentile(column, [k / q for k in range(q + 1)]).alias("e")).first()["e"] or []
-    return sorted(set(edges))
+    """The distinct q-quantiles, by linear interpolation between the two values they fall between. Exact: equal values are counted first, then ranged and summed up."""
+    counts = numbered_rows(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")), [column], "__i")
+    counts = counts.withColumn("__range", (F.col("__i") / 65_536).cast("long"))
+    ends = counts.groupBy("__range").agg(F.sum("n").alias("__n"))  # a row for 65,536 distinct values
+    before = ends.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    upto = F.sum("n").over(Window.partitionBy("__range").orderBy(column)) + F.col("__before")
+    ranked = counts.join(F.broadcast(before), "__range").select(F.col(column).cast("double").alias("v"), (upto - F.col("n")).alias("lo"), (upto - 1).alias("hi"))  # rows lo..hi have this value
+    total = (ends.agg(F.sum("__n")).first()[0] or 0) - 1
+    if total < 0:
+        return []
+    places = {k: k * total / q for k in range(q + 1)}
+    wanted = sorted({i for p in places.values() for i in (math.floor(p), math.ceil(p))})
+    of = {r["i"]: r["v"] for r in ranked.select("v", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda i: i.between(F.col("lo"), F.col("hi")))).alias("i")).collect()}
+    return sorted({of[math.floor(p)] + (of[math.ceil(p)] - of[math.floor(p)]) * (p - math.floor(p)) for p in places.values()})
 
 
 def quantile_bin(c: Column, edges: list[float]) -> Column:
@@ -38,10 +48,30 @@ def shuffled(seed: str, *keys: str) -> list[Column]:
     return [F.md5(F.concat_ws(":", F.lit(seed), *keys)), *map(F.col, keys)]
 
 
+def placed(df: DataFrame, same: str, key: str, seed: str, out: str) -> DataFrame:
+    """`out`: 0-based place of each row among those with the same value of `same` (null is one), in a shuffled order.
+
+    The order is that of a hash, so ranges of it are known beforehand: 4,096 of each value are counted, and numbered within. A
+    value that holds most rows is thus spread over all tasks. Select few columns: all of them are shuffled.
+    """
+    rows = df.withColumn("__o", shuffled(seed, key)[0])
+    rows = rows.withColumn("__part", F.conv(F.left("__o", F.lit(3)), 16, 10).cast("int"))
+    ends = rows.groupBy(same, "__part").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(same).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col(same).alias("__same"), F.col("__part").alias("__range"), F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = rows.withColumn("__within", F.row_number().over(Window.partitionBy(same, "__part").orderBy("__o", key)))
+    rows = rows.join(ends, F.col(same).eqNullSafe(F.col("__same")) & (F.col("__part") == F.col("__range")))
+    return rows.withColumn(out, F.col("__before") + F.col("__within") - 1).drop("__o", "__part", "__same", "__range", "__before", "__within")
+
+
+def dealt(df: DataFrame, same: str, key: str, seed: str, n_folds: int, out: str = "fold") -> DataFrame:
+    """Folds 0..n - 1 in turn, in a shuffled order within each value of `same`, so that sizes differ by one at most."""
+    return placed(df, same, key, seed, "__at").withColumn(out, (F.col("__at") % n_folds).cast("int")).drop("__at")
+
+
 def balanced_targets(df: DataFrame, options: str, key: str, seed: str) -> DataFrame:
     """`target`: answers 1..options in turn, in a shuffled order within each number of options, so that counts differ by one at most."""
-    w = Window.partitionBy(options).orderBy(*shuffled(seed, key))
-    return df.withColumn("target", (F.row_number().over(w) - 1) % F.col(options) + 1)
+    return placed(df, options, key, seed, "__at").withColumn("target", F.col("__at") % F.col(options) + 1).drop("__at")
 
 
 def rebalanced(df: DataFrame, choices: str, answer: str, key: str, seed: str) -> DataFrame:
@@ -56,22 +86,11 @@ def rebalanced(df: DataFrame, choices: str, answer: str, key: str, seed: str) ->
 
 def quota(df: DataFrame, key: str, first: int, eval_fold: int, n_folds: int, seed: str) -> DataFrame:
     """`fold`: the first rows of a shuffled order go to the evaluation fold, the rest to the others in turn."""
-    w = Window.partitionBy(F.lit(1)).orderBy(*shuffled(seed, key))  # a minority subject: few rows by definition
-    i = F.row_number().over(w) - 1
+    rows = placed(df.withColumn("__all", F.lit(0)), "__all", key, seed, "__at")
+    i = F.col("__at")
     turn = F.pmod(i - first, F.lit(n_folds))
-    return df.withColumn("fold", F.when(i < first, eval_fold).when(turn == eval_fold, F.pmod(turn + 1, F.lit(n_folds))).otherwise(turn).cast("int"))
-
-
-def _numbered(groups: DataFrame, group: str, same: str, seed: str) -> DataFrame:
-    """`__at`: 0-based place of each group among those with the same value of `same`, in a shuffled order: its ranges are counted, and numbered within."""
-    rows = groups.withColumn("__o", shuffled(seed, group)[0])
-    rows = rows.withColumn("__part", F.conv(F.left("__o", F.lit(3)), 16, 10).cast("int"))  # 16 ** 3 ranges, in the order of the hashes
-    ends = rows.groupBy(same, "__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(same).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.select(F.col(same).alias("__same"), F.col("__part").alias("__range"), F.coalesce(before, F.lit(0)).alias("__before"))
-    rows = rows.withColumn("__within", F.row_number().over(Window.partitionBy(same, "__part").orderBy("__o", group)))
-    rows = rows.join(ends, F.col(same).eqNullSafe(F.col("__same")) & (F.col("__part") == F.col("__range")))
-    return rows.select(group, same, (F.col("__before") + F.col("__within") - 1).alias("__at"))
+    fold = F.when(i < first, eval_fold).when(turn == eval_fold, F.pmod(turn + 1, F.lit(n_folds))).otherwise(turn).cast("int")
+    return rows.withColumn("fold", fold).drop("__all", "__at")
 
 
 def _dealt(vectors: list[tuple[list[int], int]], n_folds: int) -> list[list[int]]:
@@ -125,24 +144,47 @@ def stratified_group_folds(df: DataFrame, group: str, label: str, n_folds: int,
     ends = [(r["__c"], [sum(g[: f + 1]) for f in range(n_folds)]) for (_, _, r), g in zip(vectors, given, strict=True)]
     schema = T.StructType([T.StructField("__c", groups.schema["__c"].dataType), T.StructField("__ends", T.ArrayType(T.LongType()))])
     to = df.sparkSession.createDataFrame(ends, schema).withColumnRenamed("__c", "__to")
-    placed = _numbered(groups, group, "__c", seed).join(F.broadcast(to), F.col("__c").eqNullSafe(F.col("__to")))
-    return placed.select(group, F.size(F.filter("__ends", lambda e: e <= F.col("__at"))).cast("int").alias("fold"))
+    rows = placed(groups, "__c", group, seed, "__at").join(F.broadcast(to), F.col("__c").eqNullSafe(F.col("__to")))
+    return rows.select(group, F.size(F.filter("__ends", lambda e: e <= F.col("__at"))).cast("int").alias("fold"))
 
 
 def least_loaded(df: DataFrame, group: str, fold: str, target: Column, n_folds: int) -> DataFrame:
-    """Moves groups that hold target rows, largest first, to the fold with the fewest target rows. Counts begin with the present folds and only grow."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(target).alias("t")).where("t > 0").orderBy(F.desc("n"), group).limit(1_000_001).collect()
-    if len(sizes) > 1_000_000:
-        raise ValueError("too many groups for a sequential assignment")
+    """Moves groups that hold target rows, largest first, to the fold with the fewest target rows. Counts begin with the present folds and only grow.
+
+    The choice is sequential by nature, but groups of one size with equally many target rows are alike: only these sizes, and how
+    many groups have each, come to the driver, which gives each fold runs of them; groups are numbered on the cluster.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(target).alias("t")).where("t > 0")
+    kinds = sizes.groupBy("n", "t").agg(F.count("*").alias("groups")).orderBy(F.desc("n"), F.desc("t")).collect()
     load = {r[fold]: r["t"] for r in df.groupBy(fold).agg(F.count_if(target).alias("t")).collect()}
-    moves = []
-    for r in sizes:
-        best = min(range(n_folds), key=lambda f: (load.get(f, 0), f))
-        load[best] = load.get(best, 0) + r["t"]
-        moves.append((r[group], best))
-    kind = df.schema[group].dataType.simpleString()
-    to = df.sparkSession.createDataFrame(moves, f"`{group}` {kind}, __to int")
-    return df.join(to, group, "left").withColumn(fold, F.coalesce("__to", fold)).drop("__to")
+    have = [load.get(f, 0) for f in range(n_folds)]
+    runs = []
+    for r in kinds:
+        at = 0
+        while at < r["groups"]:
+            best = min(range(n_folds), key=lambda f: (have[f], f))
+            if max(have) - have[best] > r["t"]:  # until it is no longer the least, all go there
+                next_load = min((have[f] for f in range(n_folds) if f != best), default=have[best])
+                k = min(r["groups"] - at, max(1, (next_load - have[best]) // r["t"]))
+            else:
+                k = 1
+            runs.append((r["n"], r["t"], at, at + k, best))
+            have[best] += k * r["t"]
+            at += k
+            if at < r["groups"] and max(have) - min(have) < r["t"]:  # from now on they take turns
+                order = sorted(range(n_folds), key=lambda f: (have[f], f))
+                rounds = (r["groups"] - at) // n_folds
+                if rounds > 1:
+                    runs += [(r["n"], r["t"], at + i, -rounds, f) for i, f in enumerate(order)]
+                    at += rounds * n_folds
+                    have = [h + rounds * r["t"] for h in have]
+    to = df.sparkSession.createDataFrame(runs, "n long, t long, lo long, hi long, __to int")
+    ranked = numbered_rows(sizes.withColumn("__n", -F.col("n")).withColumn("__t", -F.col("t")), ["__n", "__t", group], "__i").drop("__n", "__t")
+    first = ranked.groupBy("n", "t").agg(F.min("__i").alias("__first"))
+    ranked = ranked.join(F.broadcast(first), ["n", "t"]).withColumn("__i", F.col("__i") - F.col("__first"))
+    turn = (F.col("hi") < 0) & (F.col("__i") >= F.col("lo")) & (F.col("__i") < F.col("lo") - F.col("hi") * n_folds) & ((F.col("__i") - F.col("lo")) % n_folds == 0)
+    moves = ranked.join(F.broadcast(to), ["n", "t"]).where(F.col("__i").between(F.col("lo"), F.col("hi") - 1) | turn).select(group, "__to")
+    return df.join(moves, group, "left").withColumn(fold, F.coalesce("__to", fold)).drop("__to")
 
 
 def leaking_groups(df: DataFrame, group: str, fold: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keys up to this many are matched by a broadcast nested-loop join; more by seeds.
-BROADCAST_KEYS = 2_000
-#: Characters of a text that its runs are taken from at a time.
-BLOCK = 64
+from loomtext.functions.scan import Keys
+from loomtext.sources.readers import numbered_rows
+
+#: Bytes of keys that are sent to every task at once; more go in several passes over the texts.
+KEY_BYTES = 32 << 20
 
 
 def keys_of(df: DataFrame, column: str, least: int, most: int | None = None) -> DataFrame:
@@ -18,48 +23,84 @@ def keys_of(df: DataFrame, column: str, least: int, most: int | None = None) ->
     return df.select(F.col(column).alias("key")).where(n.between(least, most) if most else n >= least).distinct()
 
 
-def containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str, seed: int) -> DataFrame:
-    """(text_id, key) for each key that the text contains; exact. Every key has at least `seed` characters.
+def _blocks(keys: DataFrame) -> int:
+    """How many parts of at most about KEY_BYTES the keys make."""
+    return 1 + (keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) // KEY_BYTES
+
+
+def _scanned(texts: DataFrame, text: str, keep: list[str], keys: list[tuple], work) -> DataFrame:
+    """The columns `keep` of texts and a key, for what work(found occurrences of a batch, keys) yields as (row, key)."""
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        known = Keys([k for k, *_ in own])
+        for batch in batches:
+            hits = list(work(known.found(batch.column("__text")), own))
+            if hits:
+                rows = pa.array([r for r, _ in hits], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), pa.array([k for _, k in hits], pa.string())], [*keep, "key"])
+
+    plain = texts.select(*keep, F.col(text).alias("__text"))
+    return plain.mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "key string"]))
+
 
-    A text contributes its runs of `seed` characters, a key its first ones: an equi-join, then verified. No text
-    meets a key that it doesn't share a seed with, so both sides may grow.
+def containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str, *more: str) -> DataFrame:
+    """(text_id, more columns, key) for each key (none is empty) that the text contains; exact, each once.
+
+    A text is read once for about KEY_BYTES of keys: runs of bytes that may begin a key are found by their hashes, and
+    compared with the keys that do begin so, in the same task. Only what is found is shuffled.
     """
-    # by blocks, as taking a substring costs as many steps as there are characters before it; runs are made row by row, never as arrays
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(BLOCK)), lambda i: F.substring(F.col(text), i, F.lit(BLOCK + seed - 1)))
-    rows = texts.where(F.length(text) >= seed).select(F.col(text_id).alias("__id"), F.explode(blocks).alias("block")).where(F.length("block") >= seed)
-    rows = rows.select("__id", "block", F.explode(F.sequence(F.lit(1), F.length("block") - seed + 1)).alias("at"))
-    grams = rows.select("__id", F.substring(F.col("block"), F.col("at"), F.lit(seed)).alias("seed"))
-    key_side = keys.select("key", F.left("key", F.lit(seed)).alias("seed"))
-    seeds = key_side.select("seed").distinct()
-    hits = grams.join(seeds, "seed", "left_semi")
-    pairs = hits.join(key_side, "seed").select("__id", "key").distinct()
-    out = pairs.join(texts.select(F.col(text_id).alias("__id"), F.col(text).alias("__text")), "__id").where(F.col("__text").contains(F.col("key")))
-    return out.select(F.col("__id").alias(text_id), "key").distinct()
-
-
-def nested_containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str) -> DataFrame:
-    """The same by comparing each text with each of a small list of keys; refuses a list of more than BROADCAST_KEYS."""
-    if keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
-        raise ValueError("too many keys; use containment()")
+
+    def once(found, own) -> Iterator[tuple[int, str]]:
+        yield from {(r, own[k][0]): None for r, _, k in found}
+
+    blocks = _blocks(keys)
+    parts = []
+    for b in range(blocks):
+        block = keys.select("key").where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).distinct()
+        parts.append(_scanned(texts, text, [text_id, *more], [(r["key"],) for r in block.toLocalIterator()], once))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def nested_containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str, few: int = 2000) -> DataFrame:
+    """The same by comparing each text with each of a small list of keys, which is broadcast; a longer list goes by containment()."""
+    if keys.limit(few + 1).count() > few:
+        return containment(texts, keys, text_id, text)
     return texts.join(F.broadcast(keys), F.col(text).contains(F.col("key"))).select(text_id, "key").distinct()
 
 
 def alternation(texts: DataFrame, keys: DataFrame, text_id: str, text: str, chunk: int = 1000) -> DataFrame:
-    """Keys that leftmost, non-overlapping matching finds, longest key first within a chunk of keys: a subset of containment().
+    """Keys that leftmost, non-overlapping matching finds, longest key first within a chunk of so many keys: a subset of containment(), with a row for every match.
 
-    The keys (letters and digits only) come to the driver as a pattern; they must be few.
+    Keys are numbered by length and text; those of a chunk are matched as one pattern of alternatives would, but from the
+    occurrences that a scan of the text gives, so no pattern is built, whatever the number of keys.
     """
-    ordered = [r["key"] for r in keys.distinct().orderBy(F.desc(F.length("key")), "key").limit(BROADCAST_KEYS * 50 + 1).collect()]
-    if len(ordered) > BROADCAST_KEYS * 50:
-        raise ValueError("too many keys for patterns; use containment()")
-    found = [F.regexp_extract_all(F.col(text), F.lit("|".join(ordered[k : k + chunk])), F.lit(0)) for k in range(0, len(ordered), chunk)]
-    hits = F.concat(*found) if found else F.array().cast("array<string>")
-    return texts.select(text_id, F.explode(hits).alias("key"))
-
-
-def longest_match(texts: DataFrame, keys: DataFrame, text_id: str, text: str, seed: int) -> DataFrame:
+    ranked = numbered_rows(keys.select("key").distinct().withColumn("__n", -F.length("key")), ["__n", "key"], "__rank").drop("__n")
+
+    def leftmost(found, own) -> Iterator[tuple[int, str]]:
+        by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for r, at, k in found:
+            by.setdefault((r, own[k][1] // chunk), []).append((at, own[k][1], k))
+        for (r, _), hits in sorted(by.items()):
+            end = 0
+            for at, _, k in sorted(hits):
+                if at >= end:
+                    end = at + len(own[k][0].encode())
+                    yield r, own[k][0]
+
+    last = (ranked.agg(F.max("__rank")).first()[0] or 0) // chunk
+    size = max(1, (last + 1) // _blocks(keys))  # chunks of a pass
+    parts = []
+    for first in range(0, last + 1, size):
+        own = ranked.where(F.col("__rank").between(first * chunk, (first + size) * chunk - 1))
+        parts.append(_scanned(texts, text, [text_id], [(r["key"], r["__rank"]) for r in own.toLocalIterator()], leftmost))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def longest_match(texts: DataFrame, keys: DataFrame, text_id: str, text: str) -> DataFrame:
     """Of each text that contains a key: the best one, by kind (smaller first), then length, then the key. keys: key, kind."""
-    found = containment(texts, keys.select("key").distinct(), text_id, text, seed).join(keys.groupBy("key").agg(F.min("kind").alias("kind")), "key")
+    found = containment(texts, keys.select("key").distinct(), text_id, text).join(keys.groupBy("key").agg(F.min("kind").alias("kind")), "key")
     return found.groupBy(text_id).agg(F.min(F.struct("kind", (-F.length("key")).alias("n"), "key")).alias("best")).select(text_id, F.col("best.kind").alias("kind"), F.col("best.key").alias("key"))
 
 
@@ -82,14 +123,18 @@ def coalesced_lookup(df: DataFrame, lookup: DataFrame, columns: list[str], value
 def propagate(df: DataFrame, norm: str, columns: list[str], order: str) -> DataFrame:
     """Fills nulls in these columns from the first row (by `order`) of equal `norm` whose first column is known, each column by itself. Blank texts share labels too.
 
-    The first labels are aggregated by text and joined back, so that a very frequent text is one row of the lookup.
+    Texts are known by their SHA-256, so none is shuffled as a key. The first labels are aggregated by it and joined back, so that a
+    very frequent text is one row of the lookup.
     """
+    df = df.withColumn("__key", F.sha2(F.col(norm).cast("binary"), 256))
     known = df.where(F.col(columns[0]).isNotNull() & F.col(norm).isNotNull())
-    firsts = known.groupBy(norm).agg(*(F.min_by(c, order).alias(f"__{c}") for c in columns))
-    return df.join(firsts, norm, "left").withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*(f"__{c}" for c in columns))
+    firsts = known.groupBy("__key").agg(*(F.min_by(c, order).alias(f"__{c}") for c in columns))
+    return df.join(firsts, "__key", "left").withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop("__key", *(f"__{c}" for c in columns))
 
 
 def keep_first(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key by this order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key by this order; equally ordered rows go by their other columns. Aggregated, not sorted, so a very frequent key is reduced before the shuffle; keys are known by a SHA-256."""
+    texts = [F.coalesce(F.sha2(F.col(k).cast("string").cast("binary"), 256), F.lit("-")).alias(f"__{k}") for k in keys]
+    ranked = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), *(F.col(c) for c in df.columns if c not in keys), *(F.col(k) for k in keys))
+    first = df.select(*texts, ranked.alias("__row")).groupBy(*(f"__{k}" for k in keys)).agg(F.min("__row").alias("__row"))
+    return first.select(*(F.col(f"__row.{c}").alias(c) for c in df.columns))

@@ -83,9 +83,8 @@ _NORM_SQL = f"docs AS (SELECT doc_id, source, lang, {N_TEXT} AS norm FROM docume
 
 @query(f"""WITH {_KEYS_SQL}, {_NORM_SQL} SELECT source, count(DISTINCT doc_id) AS docs, count(*) AS hits, count(DISTINCT key) AS n_keys FROM docs JOIN keys ON contains(norm, key) GROUP BY source""")
 def provenance_containment(spark, d):
-    docs = _docs(spark, d, "source")
-    found = match.containment(docs, _keys(spark, d), "doc_id", "norm", 20)
-    return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("hits"), F.count_distinct("key").alias("n_keys"))
+    found = match.containment(_docs(spark, d, "source"), _keys(spark, d), "doc_id", "norm", "source")
+    return found.groupBy("source").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("hits"), F.count_distinct("key").alias("n_keys"))
 
 
 @query(f"""WITH {_KEYS_SQL}, {_NORM_SQL} SELECT DISTINCT doc_id, key FROM docs JOIN keys ON contains(norm, key)""")
@@ -98,20 +97,24 @@ def provenance_alternation(spark, d):
     return match.alternation(_docs(spark, d), _keys(spark, d), "doc_id", "norm", 500)
 
 
-@query(f"""WITH k AS (SELECT left({N_TEXT}, 60) AS key, 0 AS kind FROM benchmark UNION SELECT left({N_TEXT}, 30), 1 FROM benchmark), {_NORM_SQL},
+_SPLIT_SQL = "(SELECT CASE WHEN p > 0 THEN left(x, p) ELSE x END AS question, CASE WHEN p > 0 THEN substr(x, p + 1) ELSE '' END AS passage FROM (SELECT replace(text, '.', '?') AS x, instr(replace(text, '.', '?'), '?') AS p FROM benchmark))"
+
+
+@query(f"""WITH k AS (SELECT {NORM.format('passage')} AS key, 0 AS kind FROM {_SPLIT_SQL} UNION SELECT {NORM.format('question')}, 1 FROM {_SPLIT_SQL}), {_NORM_SQL},
     m AS (SELECT doc_id, kind, key, row_number() OVER (PARTITION BY doc_id ORDER BY kind, length(key) DESC, key) AS r FROM docs JOIN k ON contains(norm, key) WHERE length(key) >= 20)
     SELECT doc_id, kind, key FROM m WHERE r = 1""")
 def provenance_longest_match(spark, d):
-    rows = t(spark, d, "benchmark").select(text.norm_text(F.col("text")).alias("k"))
-    keys = rows.select(F.left("k", F.lit(60)).alias("key"), F.lit(0).alias("kind")).unionByName(rows.select(F.left("k", F.lit(30)).alias("key"), F.lit(1).alias("kind"))).distinct()
-    return match.longest_match(_docs(spark, d), keys.where(F.length("key") >= 20), "doc_id", "norm", 20)
+    """Whole passages, then whole questions (here: what follows the first sentence, and that sentence)."""
+    question, passage = text.question_and_passage(F.replace("text", F.lit("."), F.lit("?")))
+    rows = t(spark, d, "benchmark").select(text.norm_text(question).alias("q"), text.norm_text(passage).alias("p"))
+    keys = rows.select(F.col("p").alias("key"), F.lit(0).alias("kind")).unionByName(rows.select(F.col("q").alias("key"), F.lit(1).alias("kind"))).distinct()
+    return match.longest_match(_docs(spark, d), keys.where(F.length("key") >= 20), "doc_id", "norm")
 
 
 @query(f"""WITH {_KEYS_SQL}, {_NORM_SQL}, c AS (SELECT key, source, count(*) AS n, min(doc_id) AS first FROM docs JOIN keys ON contains(norm, key) GROUP BY key, source)
     SELECT key, source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, first, source DESC) AS r FROM c) WHERE r = 1""")
 def provenance_majority(spark, d):
-    docs = _docs(spark, d, "source")
-    found = match.containment(docs, _keys(spark, d), "doc_id", "norm", 20).join(docs.select("doc_id", "source"), "doc_id")
+    found = match.containment(_docs(spark, d, "source"), _keys(spark, d), "doc_id", "norm", "source")
     return match.majority(found, "key", "source", "doc_id")
 
 
@@ -136,7 +139,8 @@ def label_propagation(spark, d):
 
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
 def keep_first_copy(spark, d):
-    return match.keep_first(t(spark, d, "documents").select("doc_id", "source", "text"), ["text"], F.col("doc_id")).select("doc_id", "source")
+    rows = t(spark, d, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+    return match.keep_first(rows, ["text"], F.col("doc_id")).select("doc_id", "source")
 
 
 # --- folds
@@ -165,9 +169,9 @@ def length_quantile_bins(spark, d):
 _FOLD_SQL = "f AS (SELECT *, CAST((row_number() OVER (PARTITION BY lang ORDER BY md5('fold:' || doc_id), doc_id) - 1) % 5 AS INTEGER) AS fold FROM documents)"
 
 
-def _folded(spark, d) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy(*folds.shuffled("fold", "doc_id"))
-    return t(spark, d, "documents").withColumn("fold", ((F.row_number().over(w) - 1) % 5).cast("int"))
+def _folded(spark, d, *more: str) -> DataFrame:
+    """doc_id, lang, further columns and `fold`: in turn within each language."""
+    return folds.dealt(t(spark, d, "documents").select("doc_id", "lang", *more), "lang", "doc_id", "fold", 5)
 
 
 @query("""WITH q AS (SELECT doc_id, 3 + doc_id % 3 AS n_options FROM documents)
@@ -185,8 +189,9 @@ def fold_quota(spark, d):
 
 @query(f"""WITH {_FOLD_SQL} SELECT min(doc_id) AS first_id, list_sort(list(DISTINCT fold)) AS folds, count(DISTINCT fold) AS fold_count, count(*) AS sample_count FROM f GROUP BY text HAVING count(DISTINCT fold) > 1""")
 def fold_group_leakage(spark, d):
-    rows = _folded(spark, d).withColumn("first_id", F.min("doc_id").over(Window.partitionBy("text")))
-    return folds.leaking_groups(rows, "first_id", "fold")
+    texts = t(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+    groups = folds.leaking_groups(_folded(spark, d).join(texts, "doc_id"), "text", "fold")
+    return groups.join(texts.groupBy("text").agg(F.min("doc_id").alias("first_id")), "text").drop("text")
 
 
 @query(f"""WITH {_FOLD_SQL} SELECT fold, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM f GROUP BY fold""")
@@ -198,7 +203,7 @@ def fold_pivot(spark, d):
     count(*) FILTER (lang = 'es') AS n_es FROM f GROUP BY fold""")
 def fold_length_stats(spark, d):
     c = F.col("n_chars")
-    return _folded(spark, d).groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count_if(F.col("lang") == "es").alias("n_es"))
+    return _folded(spark, d, "n_chars").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev_samp(c), 4).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.count_if(F.col("lang") == "es").alias("n_es"))
 
 
 @query()
@@ -210,7 +215,7 @@ def stratified_group_kfold(spark, d):
 
 @query()
 def least_loaded_groups(spark, d):
-    rows = _folded(spark, d).select("doc_id", "source", "lang", "fold")
+    rows = _folded(spark, d, "source")
     return folds.least_loaded(rows, "source", "fold", F.col("lang") == "es", 5)
 
 
@@ -338,11 +343,11 @@ def knn_filtered(spark, d):
 
 
 def _text_queries(spark, d) -> DataFrame:
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("query"))
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 _TOK = "list_filter(string_split_regex(lower({}), '[^0-9a-z가-힣]+'), lambda x: x <> '')"
-_BM25_SQL = f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('left(text, 60)')}) AS term FROM benchmark),
+_BM25_SQL = f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK.format('text')}) AS term FROM benchmark),
     dt AS (SELECT doc_id, {_TOK.format('text')} AS ts FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_len FROM dt),
     po AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM dt), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM po WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -515,22 +520,22 @@ def prompt_messages(spark, d):
     return rows.select("doc_id", prompts.messages("v10", F.col("passage"), F.col("question"), F.col("ch"), context=F.col("question")).alias("messages"))
 
 
-@query("""WITH a AS (SELECT doc_id, left(text, 100) || ' Answer: ' || (doc_id % 7) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'ANSWER : ' || (doc_id % 4 + 1) ELSE '' END AS txt FROM documents)
+@query("""WITH a AS (SELECT doc_id, text || ' Answer: ' || (doc_id % 7) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'ANSWER : ' || (doc_id % 4 + 1) ELSE '' END AS txt FROM documents)
     SELECT doc_id, CASE WHEN v BETWEEN 1 AND 5 THEN CAST(v AS VARCHAR) ELSE '0' END AS answer FROM (SELECT doc_id, TRY_CAST(list_last(regexp_extract_all(txt, '(?i)(?:Answer|정답)\\s*:\\s*(\\d+)', 1)) AS BIGINT) AS v FROM a)""")
 def answer_extract(spark, d):
-    said = F.concat(F.left("text", F.lit(100)), F.lit(" Answer: "), F.col("doc_id") % 7, F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("ANSWER : "), F.col("doc_id") % 4 + 1)).otherwise(""))
+    said = F.concat("text", F.lit(" Answer: "), F.col("doc_id") % 7, F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("ANSWER : "), F.col("doc_id") % 4 + 1)).otherwise(""))
     return t(spark, d, "documents").select("doc_id", said.alias("said")).select("doc_id", text.stated_answer(F.col("said"), 5).alias("answer"))
 
 
-@query("""SELECT vec_id, CAST(list_position(embedding[1:5], list_max(embedding[1:5])) AS VARCHAR) AS pred, list_transform(range(1, 6), lambda i: CASE WHEN i = list_position(embedding[1:5], list_max(embedding[1:5])) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS one_hot FROM embeddings""")
+@query("""SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) AS VARCHAR) AS pred, list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN i = list_position(embedding, list_max(embedding)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS one_hot FROM embeddings""")
 def argmax_decode(spark, d):
-    rows = t(spark, d, "embeddings").select("vec_id", arrays.argmax_label(F.slice("embedding", 1, 5)).alias("pred"))
-    return rows.select("vec_id", "pred", arrays.one_hot(F.col("pred"), F.lit(5)).alias("one_hot"))
+    rows = t(spark, d, "embeddings").select("vec_id", "embedding", arrays.argmax_label(F.col("embedding")).alias("pred"))
+    return rows.select("vec_id", "pred", arrays.one_hot(F.col("pred"), F.size("embedding")).alias("one_hot"))
 
 
-@query("""SELECT vec_id, list_transform(embedding[1:5]::DOUBLE[], lambda x: round(exp(x) / list_sum(list_transform(embedding[1:5]::DOUBLE[], lambda y: exp(y))), 6)) AS p FROM embeddings""")
+@query("""SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(exp(x) / list_sum(list_transform(embedding::DOUBLE[], lambda y: exp(y))), 6)) AS p FROM embeddings""")
 def softmax_scores(spark, d):
-    x = F.slice("embedding", 1, 5).cast("array<double>")
+    x = F.col("embedding").cast("array<double>")
     return t(spark, d, "embeddings").select("vec_id", F.transform(arrays.softmax(x), lambda v: F.round(v, 6)).alias("p"))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 import ast
+import os
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
+
+from loomtext.sources.scratch import stored
 
 QUESTIONS = "id string, paragraph string, problems string, subject string"
 PROBLEM = "question string, choices array<string>, answer int, question_plus string"
@@ -113,14 +116,13 @@ def parsed_problem(c: Column, strict: bool = True) -> Column:
 
 
 def numbered_rows(df: DataFrame, order: Sequence[str], out: str = "index") -> DataFrame:
-    """A 0-based index in this order: ranges of rows are counted, and numbered within."""
-    from pyspark.sql.window import Window
-
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    before = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = before.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.join(F.broadcast(before), "__part").withColumn(out, F.col("__at") + F.col("__before") - 1).drop("__part", "__at", "__before")
+    """A 0-based index in this order: ranges of rows are counted, and numbered within. The rows are stored once with their range, as Spark samples the bounds anew whenever it ranges rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    rows = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    ends = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a range
+    before = ends.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(before), "__part").withColumn(out, (F.col("__at") + F.col("__before") - 1).cast("long")).drop("__part", "__at", "__before")
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:

@@ -1,5 +1,9 @@
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,16 +53,105 @@ def test_containment_modes_q1(spark):
     texts = spark.createDataFrame([(1, "abcde"), (2, None), (3, "")], "id int, t string")
     keys = spark.createDataFrame([("abcd",), ("cde",)], "key string")
     assert {r.key for r in match.alternation(texts, keys, "id", "t").collect()} == {"abcd"}
-    assert {r.key for r in match.containment(texts, keys, "id", "t", 3).collect()} == {"abcd", "cde"}
+    assert {r.key for r in match.containment(texts, keys, "id", "t").collect()} == {"abcd", "cde"}
     assert {r.key for r in match.nested_containment(texts, keys, "id", "t").collect()} == {"abcd", "cde"}
 
 
-def test_containment_equals_search(spark):
-    rng = random.Random(1)
-    texts = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 700)))) for i in range(30)]
-    keys = list({"".join(rng.choice("abc") for _ in range(rng.randint(5, 8))) for _ in range(40)})
-    got = {tuple(r) for r in match.containment(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(k,) for k in keys], "key string"), "id", "t", 5).collect()}
-    assert got == {(i, k) for i, t in texts for k in keys if k in t}
+@pytest.mark.parametrize(("least", "blocks"), [(5, 1), (1, 1), (3, 4)])
+def test_containment_equals_search(spark, monkeypatch, least, blocks):
+    rng = random.Random(least)
+    texts = [(i, "".join(rng.choice("ab가é") for _ in range(rng.randint(0, 700))), "x") for i in range(30)] + [(30, None, "y"), (31, "", "y"), (3, "ab", "z")]
+    keys = list({"".join(rng.choice("ab가é") for _ in range(rng.randint(least, least + 3 * (least > 1)))) for _ in range(40)})
+    if blocks > 1:
+        monkeypatch.setattr(match, "KEY_BYTES", sum(len(k.encode()) for k in keys) // (blocks - 1) - 1)
+    t, k = spark.createDataFrame(texts, "id int, t string, more string"), spark.createDataFrame([(k,) for k in keys] * 2, "key string")
+    got = [tuple(r) for r in match.containment(t, k, "id", "t", "more").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, m, k) for i, t, m in texts for k in keys if t and k in t}
+    for chunk in (7, 1000):
+        ordered = sorted(keys, key=lambda k: (-len(k), k))
+        expected = Counter((i, m) for i, t, _ in texts if t for c in range(0, len(keys), chunk) for m in re.findall("|".join(ordered[c : c + chunk]), t))
+        assert Counter(tuple(r) for r in match.alternation(t, k, "id", "t", chunk).collect()) == expected
+    none = k.where("key = '?'")
+    assert match.containment(t, none, "id", "t").count() == match.alternation(t, none, "id", "t").count() == 0
+
+
+def test_bm25_equals_a_plain_computation(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))), rng.choice(["", None, "W1 w2", "w3"])) for i in range(80)]
+    queries = [(i, " ".join(rng.choices([*words, "unknown"], k=4)).upper()) for i in range(9)] + [(20, None), (21, "?")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string, title string"), spark.createDataFrame(queries, "query_id long, query string")
+
+    def field(k, terms):
+        own = [Counter((x[k] or "").lower().split()) for x in docs]
+        mean = sum(c.total() for c in own) / len(own)
+        out = []
+        for c in own:
+            s = 0.0
+            for t in terms:
+                df = sum(t in o for o in own)
+                s += math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) if c[t] else 0
+            out.append(s)
+        return out
+
+    expected = set()
+    for i, text in queries:
+        terms = set((text or "").lower().replace("?", "").split())
+        best = [max(a, 2 * b) for a, b in zip(field(1, terms), field(2, terms))]
+        ranked = sorted((-round(s, 6), k) for k, s in enumerate(best) if s > 0)[:5]
+        expected |= {(i, k, -s, r) for r, (s, k) in enumerate(ranked, 1)}
+    for block in (1024, 3):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        got = {(r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in search.bm25(d, q, {"text": 1.0, "title": 2.0}, 5).collect()}
+        assert got == expected
+    assert search.bm25(d.limit(0), q, {"text": 1.0}, 5).count() == search.bm25(d, q.limit(0), {"text": 1.0}, 5).count() == 0
+
+
+def test_numbered_rows_with_more_columns(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 1009).alias("o"), "id", F.repeat(F.lit("x"), 50).alias("payload"))
+    got = readers.numbered_rows(rows, ["o", "id"]).collect()
+    assert [(r.o, r.id) for r in sorted(got, key=lambda r: r["index"])] == sorted((r.o, r.id) for r in got)
+    assert sorted(r["index"] for r in got) == list(range(5000)) and all(len(r.payload) == 50 for r in got)
+
+
+@pytest.mark.parametrize("values", [[], [3], [1, 1, 2, 5], [None, 4.5, 1.0, 1.0, 7.25, 9.0], list(range(1000))])
+def test_quantiles_are_exact(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    known = [v for v in values if v is not None]
+    expected = sorted(set(np.quantile(known, [k / 5 for k in range(6)]).tolist())) if known else []
+    assert folds.quantile_edges(df, "v") == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_loaded_equals_a_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    groups = [(g, rng.randint(0, 4), rng.choice([1, 1, 1, 2, 3]), rng.choice([0, 1, 1])) for g in range(120)]
+    rows = [(g, fold, k < t * n) for g, fold, n, t in groups for k in range(n + 1)] + [(999, 2, True)] * (40 if seed == 1 else 0)
+    load, sizes = Counter(f for _, f, t in rows if t), {}
+    for g, _, t in rows:
+        n, m = sizes.get(g, (0, 0))
+        sizes[g] = (n + 1, m + t)
+    to = {}
+    for g in sorted((g for g in sizes if sizes[g][1]), key=lambda g: (-sizes[g][0], -sizes[g][1], g)):
+        to[g] = min(range(5), key=lambda f: (load[f], f))
+        load[to[g]] += sizes[g][1]
+    got = folds.least_loaded(spark.createDataFrame(rows, "g int, fold int, hit boolean"), "g", "fold", F.col("hit"), 5).collect()
+    assert len(got) == len(rows) and all(r.fold == to[r.g] for r in got if r.g in to)
+
+
+def test_numbering_has_no_window_over_all_rows(spark):
+    rows = spark.range(100).select("id", F.lit("en").alias("lang"), F.lit(3).alias("n"))
+    for df in (folds.dealt(rows, "lang", "id", "s", 5), folds.balanced_targets(rows, "n", "id", "s"), folds.quota(rows.select("id"), "id", 3, 3, 5, "s")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert all("__part" in line for line in plan.splitlines() if "row_number()" in line)
+    assert sorted(r["count"] for r in folds.dealt(rows, "lang", "id", "s", 5).groupBy("fold").count().collect()) == [20] * 5
+
+
+def test_packing_keeps_few_rows_before_the_shuffle(spark):
+    rows = spark.range(5000).select(F.pmod("id", F.lit(2)).alias("k"), "id", F.lit("q").alias("q"), F.repeat(F.lit("y"), 9000).alias("c"))
+    out = context.packed(rows.withColumn("c", F.when(F.col("id") < 6, "short").otherwise(F.col("c"))), "k", "id", "q", "c", 4000)
+    assert out.first().n_blocks == 3
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_propagation_q5(spark):
