@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import trimmed
+
+#: The labels of choices, in order.
+CHOICE_LABELS = ("1", "2", "3", "4", "5")
+
 
 def moved(items: Column, source: Column, target: Column) -> Column:
     """The array with the element at `source` taken out and put in at `target` (both 1-based)."""
@@ -29,9 +34,14 @@ def choice_logprobs(by_token: Column, n: int) -> Column:
 
 
 def log_softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    return F.transform(x, lambda v: v - top - F.log(total))
+    """Each step binds what the next one uses for all elements, so that sums are made once and not for every element."""
+
+    def scaled(s: Column) -> Column:
+        total = F.aggregate(s["x"], F.lit(0.0), lambda sofar, v: sofar + F.exp(v - s["top"]))
+        bound = F.struct(s["x"].alias("x"), (s["top"] + F.log(total)).alias("less"))
+        return F.transform(F.array(bound), lambda u: F.transform(u["x"], lambda v: v - u["less"]))[0]
+
+    return F.transform(F.array(F.struct(x.alias("x"), F.array_max(x).alias("top"))), scaled)[0]
 
 
 def softmax(x: Column) -> Column:
@@ -51,6 +61,36 @@ def masked_labels(ids: Column, start: Column, length: Column) -> Column:
     return F.concat(own, F.array_repeat(F.lit(-100), F.greatest(length - F.size(ids), F.lit(0))))
 
 
+def label_index(text: Column, think: str = "\n<think>\n\n</think>\n\n") -> Column:
+    """The 0-based index of a decoded label 1..5, after an empty thinking block if there is one; null if it is no such label."""
+    said = trimmed(F.element_at(F.split(text, "\\Q" + think + "\\E"), -1))
+    return F.when(said.isin(*CHOICE_LABELS), said.cast("int") - 1)
+
+
+def label_text(index: Column) -> Column:
+    """The label of a 0-based index; null beyond."""
+    return F.get(F.array(*map(F.lit, CHOICE_LABELS)), index)
+
+
+def mean_of(x: Column) -> Column:
+    """Mean of the elements that are not null; null without any."""
+    known = F.filter(x, lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, v: s + v), F.size(known))
+
+
+def zipped(a: Column, b: Column, first: str, second: str) -> Column:
+    """Structs of the elements at equal places; arrays of different lengths are an error."""
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias(first), y.alias(second)))
+    return F.when(F.size(a) == F.size(b), pairs).when(a.isNull() | b.isNull(), None).otherwise(F.raise_error(F.lit("arrays of different lengths")))
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    """Both maps in one; of a key in both, the right one's value. A null map is empty."""
+    own = F.coalesce(right, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    rest = F.map_filter(F.coalesce(left, own), lambda k, _: ~F.map_contains_key(own, k))
+    return F.map_concat(rest, own)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

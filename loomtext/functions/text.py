@@ -136,6 +136,25 @@ def any_of(c: Column, words: Sequence[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: c.contains(w))
 
 
+#: Words of questions that ask for what is not so.
+NEGATIVE = ("않은", "못한", "없는", "틀린", "아닌", "적절하지", "부합하지", "어긋나는", "거리가 먼", "타당하지", "옳지 않은", "일치하지")
+
+
+def asks_negative(c: Column) -> Column:
+    """Whether a question asks for what is not so; null is no such question."""
+    return any_of(F.coalesce(c, F.lit("")), NEGATIVE)
+
+
+def suffix_replaced(path: str, old: str = ".csv", new: str = ".score.csv") -> str:
+    """The path with every occurrence replaced, not the last one only."""
+    return path.replace(old, new)
+
+
+def as_json(*columns: str) -> Column:
+    """These columns as one JSON text, nested ones too; null fields are left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def trailing_int(c: Column) -> Column:
     """The number after the last underscore, else 0."""
     return F.coalesce(F.substring_index(c, "_", -1).try_cast("int"), F.lit(0))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,21 @@ from loomtext.functions.text import in_domains, trimmed
 SUBJECTS = ("general", "한국사", "정치와 법")
 
 
+def first_known(top: Column, nested: Column, default) -> Column:
+    """The column, or where it is null the nested field, or the default."""
+    return F.coalesce(top, nested, F.lit(default))
+
+
+def subject_is(plan_subject: Column, subject: str) -> Column:
+    """Whether a plan names this subject; no plan: no."""
+    return F.coalesce(plan_subject == subject, F.lit(False))
+
+
+def all_hold(*conditions: Column) -> Column:
+    """Whether all hold; an unknown one doesn't."""
+    return F.coalesce(reduce(lambda a, b: a & b, conditions, F.lit(True)), F.lit(False))
+
+
 def coerced_subject(c: Column) -> Column:
     return F.when(c.isin(*SUBJECTS), c).otherwise(SUBJECTS[0])
 
@@ -78,6 +96,17 @@ def round_robin(docs: DataFrame, by: str, group: str, content: str) -> DataFrame
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("__n", group))).drop("__n")
 
 
+#: Ways to merge ranked groups, by name.
+MERGES: dict[str, Callable[..., DataFrame]] = {"query_first": query_first, "global_top": global_top}
+
+
+def merged(name: str, docs: DataFrame, by: str, group: str, content: str, k: int) -> DataFrame:
+    """docs merged in the way of this name; an unknown name is an error."""
+    if name not in MERGES:
+        raise ValueError(f"no merge {name!r}: {', '.join(MERGES)}")
+    return MERGES[name](docs, by, group, content, k)
+
+
 def packed(docs: DataFrame, by: str, order: str, query: str, content: str, most: int) -> DataFrame:
     """(by, context, n_blocks): blocks in order while their lengths sum to `most` at the most; the first that doesn't fit ends it.
 

@@ -12,8 +12,13 @@ from loomtext.functions.arrays import cosine, hamming_similarity, simhash
 from loomtext.functions.text import any_of
 from loomtext.operators.metrics import standardised
 
-#: Words of extreme phrasing.
-EXTREME = ("모든", "항상", "반드시", "전혀", "절대", "오직", "유일", "only", "always", "never", "all", "none")
+#: Words of extreme phrasing (of the plain words; a particle that needs a morphological analyser is left out).
+EXTREME = (
+    "모두", "항상", "반드시", "오직", "결코", "전혀", "단 하나", "최고의", "무조건",
+    "오로지", "단지", "특정한", "절대로", "필연적", "당연히", "결국",
+    "언제나", "예외 없이", "어떤 경우에도", "최고", "제일", "유일한",
+    "급격히", "완전히", "일관되게",
+)
 
 
 def distractor_similarity(choices: Column, answer: Column, score) -> Column:
@@ -31,6 +36,11 @@ def embedding_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(cosine(a, b), F.lit(0.0))
 
 
+def hybrid_similarity(text_a: Column, text_b: Column, vector_a: Column, vector_b: Column) -> Column:
+    """The larger of the likeness of words and of that of vectors; what can't be computed counts as 0."""
+    return F.greatest(F.coalesce(simhash_similarity(text_a, text_b), F.lit(0.0)), embedding_similarity(vector_a, vector_b))
+
+
 def extreme_flag(choices: Column, answer: Column, words: Sequence[str] = EXTREME) -> Column:
     """Null if no choice is put in extremes; else 1 if the right one is, or 0."""
     hits = F.transform(choices, lambda c: any_of(c, words))

@@ -102,6 +102,23 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def class_table(df: DataFrame, true: str, predicted: str) -> DataFrame:
+    """report() with each class's share of all rows and its accuracy (right among those of the class), in percent."""
+    rows = report(df, true, predicted)
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("support").alias("all")))).select(
+        *rows.columns, F.round(100 * F.coalesce(F.try_divide("support", "all"), F.lit(0.0)), 6).alias("share"), F.round(100 * F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)), 6).alias("accuracy"))
+
+
+def group_means(df: DataFrame, by: str, columns: list[str], digits: int = 6) -> DataFrame:
+    """Mean of each column over the rows of each group where it is known, and n, its rows."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), *(F.round(F.avg(c), digits).alias(c) for c in columns))
+
+
+def total_items(df: DataFrame, groups: str) -> DataFrame:
+    """One row, `total`: elements of an array column over all rows; null arrays have none."""
+    return df.agg(F.coalesce(F.sum(F.coalesce(F.when(F.col(groups).isNotNull(), F.size(groups)), F.lit(0))), F.lit(0)).cast("long").alias("total"))
+
+
 def quadrant(x: Column, y: Column, at_x: float = -3.5, at_y: float = 2.0) -> Column:
     return F.concat(F.when(x >= at_x, "right").otherwise("left"), F.lit("_"), F.when(y >= at_y, "high").otherwise("low"))
 

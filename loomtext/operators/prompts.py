@@ -25,6 +25,7 @@ TEMPLATES = {
     "v4": Template("You answer multiple-choice questions. Rule out wrong choices, then choose one of {range}.", _ASK),
     "v5": Template("You answer multiple-choice questions. Find the sentence that decides, then choose one of {range}.", _ASK),
     "v6": Template("You answer multiple-choice questions with a number of {range} and nothing else.", _ASK),
+    "v8": Template("You answer multiple-choice questions with {count} choices from the passage. Reply with one of {range} and nothing else.", _ASK),
     "v9": Template("You answer multiple-choice questions. Prefer the passage to the references. Choose one of {range}.", "{context}\n" + _ASK, True),
     "v7": Template("You answer multiple-choice questions from the passage and the references.", "{context}\n" + _ASK, True),
     "v10": Template("Think step by step, then end with `Answer: n`, n one of {range}.", "{context}\n" + _ASK, True),
@@ -46,6 +47,7 @@ def messages(name: str, passage: Column, question: Column, choices: Column, plus
         "plus": block(plus, "<보기>\n", "\n</보기>\n") if plus is not None else F.lit(""),
         "choices": numbered(choices),
         "range": choice_range(choices),
+        "count": F.coalesce(F.size(choices), F.lit(0)),
         "context": F.when(F.length(context) > 0, F.concat(F.lit("\n"), context)).otherwise(""),
     }
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

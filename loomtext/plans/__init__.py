@@ -1 +1 @@
-from loomtext.plans import catalogue, catalogue_more  # noqa: F401  both register their queries
+from loomtext.plans import catalogue, catalogue_more, catalogue_sources  # noqa: F401  all three register their queries

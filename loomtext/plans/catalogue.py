@@ -92,11 +92,6 @@ def provenance_nested(spark, d):
     return match.nested_containment(_docs(spark, d), _keys(spark, d), "doc_id", "norm")
 
 
-@query()
-def provenance_alternation(spark, d):
-    return match.alternation(_docs(spark, d), _keys(spark, d), "doc_id", "norm", 500)
-
-
 _SPLIT_SQL = "(SELECT CASE WHEN p > 0 THEN left(x, p) ELSE x END AS question, CASE WHEN p > 0 THEN substr(x, p + 1) ELSE '' END AS passage FROM (SELECT replace(text, '.', '?') AS x, instr(replace(text, '.', '?'), '?') AS p FROM benchmark))"
 
 
@@ -514,12 +509,6 @@ def numbered_prompt(spark, d):
     return rows.select("doc_id", text.numbered(F.col("ch")).alias("options"), text.choice_range(F.col("ch")).alias("numbers"), text.block(F.col("lang"), "<보기>", "</보기>").alias("extra"))
 
 
-@query()
-def prompt_messages(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", F.col("text").alias("passage"), F.col("lang").alias("question"), _choices().alias("ch"))
-    return rows.select("doc_id", prompts.messages("v10", F.col("passage"), F.col("question"), F.col("ch"), context=F.col("question")).alias("messages"))
-
-
 @query("""WITH a AS (SELECT doc_id, text || ' Answer: ' || (doc_id % 7) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'ANSWER : ' || (doc_id % 4 + 1) ELSE '' END AS txt FROM documents)
     SELECT doc_id, CASE WHEN v BETWEEN 1 AND 5 THEN CAST(v AS VARCHAR) ELSE '0' END AS answer FROM (SELECT doc_id, TRY_CAST(list_last(regexp_extract_all(txt, '(?i)(?:Answer|정답)\\s*:\\s*(\\d+)', 1)) AS BIGINT) AS v FROM a)""")
 def answer_extract(spark, d):
@@ -549,19 +538,6 @@ def choice_reorder(spark, d):
 # --- features
 
 
-@query()
-def simhash(spark, d):
-    return t(spark, d, "documents").select("doc_id", arrays.simhash(F.col("text")).alias("simhash"))
-
-
-@query("""WITH h AS (SELECT doc_id, source, ('0x' || substr(md5(text), 17, 16))::UBIGINT AS h FROM documents), n AS (SELECT *, lead(h) OVER (PARTITION BY source ORDER BY doc_id) AS g FROM h)
-    SELECT doc_id, round(1 - bit_count(xor(h, g)) / 64.0, 6) AS similarity FROM n WHERE g IS NOT NULL""")
-def hamming_pairs(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", "source", arrays.word_hash(F.col("text")).alias("h"))
-    rows = rows.withColumn("g", F.lead("h").over(Window.partitionBy("source").orderBy("doc_id"))).where("g IS NOT NULL")
-    return rows.select("doc_id", F.round(arrays.hamming_similarity(F.col("h"), F.col("g")), 6).alias("similarity"))
-
-
 _LEX_SQL = "l AS (SELECT doc_id, n_chars, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS words, length(text) - length(replace(text, ',', '')) AS commas FROM documents)"
 
 
@@ -588,13 +564,6 @@ def principal_components(spark, d):
     return scores.withColumn("part", metrics.quadrant(F.col("pc1"), F.col("pc2"), 0.0, 0.0))
 
 
-@query()
-def distractor_scores(spark, d):
-    rows = t(spark, d, "documents").select("doc_id", _choices().alias("ch"))
-    score = features.distractor_similarity(F.col("ch"), F.lit(1), features.simhash_similarity)
-    return rows.select("doc_id", score.alias("score"), features.extreme_flag(F.col("ch"), F.lit(1)).alias("extreme"))
-
-
 @query("""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '') AS ws, len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(s, ' ') <> '')) AS s FROM documents)
     SELECT doc_id, round(len(ws) / greatest(s, 1), 6) AS words_per_sentence, round(CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws) ELSE 0 END, 6) AS ttr FROM w""")
 def lexical_metrics(spark, d):

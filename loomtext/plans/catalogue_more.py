@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import arrays, text
 from loomtext.operators import context, features, folds, metrics, prompts
 from loomtext.plans.catalogue import _CHOICES_SQL, _FOLD_SQL, _TOK, _choices, _folded, query, t
 from loomtext.sources import readers, store
+from loomtext.sources.scratch import new_folder
 from loomtext.streaming import changelog
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/loomtext-{uuid.uuid4().hex}"
-
-
 # --- parsing and values
 
 
@@ -139,12 +132,12 @@ def masked_labels(spark, d):
     return rows.select("doc_id", "start", arrays.masked_labels(F.col("ids"), F.col("start"), F.lit(16)).alias("labels"))
 
 
-@query("""WITH s AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, CAST(list_position(v, list_max(v)) AS VARCHAR) AS pred, 5 AS n,
+@query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, CAST(list_position(v, list_max(v)) AS VARCHAR) AS pred, 65 AS n,
     list_transform(v, lambda x: round(x - ln(list_sum(list_transform(v, lambda y: exp(y)))), 5)) AS log_p FROM s""")
 def logprob_decode(spark, d):
-    by_token = F.create_map(*(x for i in range(1, 5) for x in (F.lit(str(i)), F.element_at("embedding", i).cast("double"))))
-    rows = t(spark, d, "embeddings").select("vec_id", arrays.choice_logprobs(by_token, 5).alias("lp"))  # the fifth is missing: -infinity
-    log_p = F.transform(arrays.log_softmax(F.slice("lp", 1, 4)), lambda v: F.round(v, 5))
+    by_token = F.create_map(*(x for i in range(1, 65) for x in (F.lit(str(i)), F.element_at("embedding", i).cast("double"))))
+    rows = t(spark, d, "embeddings").select("vec_id", arrays.choice_logprobs(by_token, 65).alias("lp"))  # the last is missing: -infinity
+    log_p = F.transform(arrays.log_softmax(F.slice("lp", 1, 64)), lambda v: F.round(v, 5))
     return rows.select("vec_id", arrays.argmax_label(F.col("lp")).alias("pred"), F.size("lp").alias("n"), log_p.alias("log_p"))
 
 
@@ -182,7 +175,7 @@ def changelog_by_parent(spark, d):
 @query("""SELECT user_id, seq, event_type, value FROM (SELECT user_id, event_id AS seq, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'""")
 def changelog_stream(spark, d):
     """The same rows as changelog_replay, from micro-batches over a folder that the log is appended to (a file stream reads folders only)."""
-    folder, e = scratch(spark), t(spark, d, "events")
+    folder, e = new_folder(spark), t(spark, d, "events")
     records = e.select("user_id", F.col("event_id").alias("seq"), "event_type", "value", (F.col("event_type") == "error").alias("_deleted"))
     for part in range(2):
         readers.write_jsonl(records.where(F.pmod("seq", F.lit(2)) == part), f"{folder}/log", append=True)
@@ -192,7 +185,7 @@ def changelog_stream(spark, d):
 
 
 def _round_trip(spark, df: DataFrame, write, read) -> DataFrame:
-    path = scratch(spark)
+    path = new_folder(spark)
     write(df, path)
     return read(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import ast
-import os
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -131,6 +130,43 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def write_csv_indexed(df: DataFrame, path: str, order: Sequence[str], index: str = "index") -> None:
+    """As write_csv, with a 0-based index in this order as the first column."""
+    write_csv(numbered_rows(df, order, index).select(index, *df.columns), path)
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Each file is one JSON array of records (json_array() reads it); null fields are left out."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last record so far: a comma follows it if another does
+        for part in parts:
+            records = part["record"].tolist()
+            if records:
+                before = ["["] if held is None else [f"{held},"]
+                yield pd.DataFrame({"value": before + [f"{r}," for r in records[:-1]]})
+                held = records[-1]
+        yield pd.DataFrame({"value": ["[]"] if held is None else [held, "]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("record")).mapInPandas(work, "value string").write.mode("overwrite").text(path)
+
+
+def clear(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Empties logs: what is read from them afterwards has no rows."""
+    for path in paths:
+        spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
+
+
+def shorter_than(df: DataFrame, text: str, most: int, count: Callable[[str], int]) -> DataFrame:
+    """The rows whose text has at most so many tokens, as `count` (of one text; it goes to the tasks) tells them; in Arrow batches."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part[part[text].map(lambda x: count(x or "") <= most).astype(bool)]
+
+    return df.mapInPandas(work, df.schema)
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """Null fields are left out; characters beyond ASCII stay."""
     if append and df.isEmpty():

@@ -76,13 +76,13 @@ def with_defaults(df: DataFrame, version: str = "v1", vectors: tuple[str, ...] =
     return out.withColumns({v: F.coalesce(v, F.array().cast("array<float>")) for v in vectors})
 
 
-def create(spark: SparkSession, table: str, schema: str, skip_existing: bool = True) -> bool:
-    """Whether a table was made."""
+def create(spark: SparkSession, table: str, schema: str, skip_existing: bool = True, location: str | None = None) -> bool:
+    """Whether a table was made (with its files at `location`, if given)."""
     if spark.catalog.tableExists(table):
         if not skip_existing:
             raise ValueError(f"{table} exists")
         return False
-    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet")
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet" + (f" LOCATION '{location}'" if location else ""))
     return True
 
 
