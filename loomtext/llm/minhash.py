@@ -2,8 +2,8 @@
 
 Every text has a signature of K minima, and each (coordinate, value) is a posting. A pair of Jaccard likeness 0.85 agrees
 on 27 of 32 coordinates on average; one that agrees on fewer than T is left, where T follows from the likeness asked for such
-that a pair of just that likeness is left once in a million. With postings in one global order, rarest first, two texts that share T of K postings share one of the first
-K - T + 1 of each (the prefix), and a text with fewer than T postings that any other text has is skipped altogether. So
+that a pair of just that likeness is left once in a million. With postings in one global order, rarest first, two texts that
+share T of K postings share one of the first K - T + 1 of each (the prefix), and a text with fewer than T postings that any other text has is skipped altogether. So
 only prefixes make lists, frequent postings are hardly ever in one, and most texts drop out.
 
 What is asked for are connected groups, so no list is expanded into all of its pairs:
@@ -31,8 +31,9 @@ from loomtext.llm.textbatch import Texts, mix, segments, slices, string_array
 
 #: Coordinates of a signature, and how rarely a pair that is just alike enough may fall short on a signature.
 K, MISS = 32, 1e-6
-#: Members of a tile's side; members of a block that a leader's set is sent to.
-TILE, BLOCK = 512, 512
+#: Members of a tile's side, about; members of a block that a leader's set is sent to; shingles that count as one member more, so
+#: that the sets of a tile's texts fit into a task (two sides of some 4 million shingles of 8 bytes).
+TILE, BLOCK, HEAVY = 512, 512, 8192
 #: Coordinates of the wide signature, of a byte each, that a pair is held against before its sets are compared, and how many
 #: of them come first.
 WIDE, NARROW = 512, 64
@@ -154,12 +155,12 @@ def across(lists: DataFrame, groups: DataFrame, signs: DataFrame, percent: int)
     """Per tile (token, i, j): pairs of its list that are in different groups and agree on enough coordinates, as arrays a and b, likeliest first.
 
     A list in one group only needs nothing. In others, members of the largest group meet members of other groups, and
-    these meet each other, never members of one group. A tile has TILE members of each of two blocks of its list. A pair
-    that is in several lists is reported by the one of the smallest token only. signs: node, tokens, wide.
+    these meet each other, never members of one group. A tile has TILE members (a long text counts as several) of each of two blocks of its
+    list. A pair that is in several lists is reported by the one of the smallest token only. groups: node, weight, component; signs: node, tokens, wide.
     """
     narrow, all_wide = must_agree(NARROW, percent), must_agree(WIDE, percent)
     rows = lists.join(groups.withColumnRenamed("component", "grp"), "node")
-    per = rows.groupBy("token", "grp").agg(F.count("*").alias("n"))
+    per = rows.groupBy("token", "grp").agg(F.sum("weight").alias("n"))
     per = per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.max(F.struct("n", "grp")).alias("top")).where("groups > 1")
     rows = rows.join(per.select("token", "n", F.col("top.grp").alias("main"), F.col("top.n").alias("n_main")), "token")
     big, salt = F.col("n") > TILE, F.xxhash64("node", "token")
@@ -274,22 +275,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, row: str
     found = stored(signatures(docs, words))
     classes = found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "hash", "row")).alias("first"))
     classes = stored(classes.select("digest", "first.*", F.monotonically_increasing_id().alias("node")))  # numbered once, as they are stored
-    signs = found.select("digest", "doc_id", "hash", "signature").join(classes.drop("row"), ["digest", "doc_id", "hash"]).select("node", "signature").dropDuplicates(["node"])
-    tokens = signs.select("node", F.posexplode("signature").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("token"))
+    weight = (1 + F.floor(F.col("n_shingles") / HEAVY)).cast("long").alias("weight")
+    signs = found.select("digest", "doc_id", "hash", "signature", weight).join(classes.drop("row"), ["digest", "doc_id", "hash"]).select("node", "weight", "signature").dropDuplicates(["node"])
+    tokens = signs.select("node", "weight", F.posexplode("signature").alias("at", "value")).select("node", "weight", F.xxhash64("at", "value").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = tokens.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= t)
-    prefixes = stored(ranked.select("node", F.slice("shared", F.lit(1), F.size("shared") - (t - 1))["token"].alias("tokens")))
+    ranked = tokens.join(often, "token").groupBy("node", "weight").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("shared")).where(F.size("shared") >= t)
+    prefixes = stored(ranked.select("node", "weight", F.slice("shared", F.lit(1), F.size("shared") - (t - 1))["token"].alias("tokens")))
     lists = prefixes.select("node", F.explode("tokens").alias("token"))
     wanted = classes.join(prefixes, "node", "left_semi").select("doc_id", "hash", "node")
     texts = stored(docs.select("doc_id", "hash", "text").join(wanted, ["doc_id", "hash"]).select("node", "text").dropDuplicates(["node"]))
     least = lists.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = lists.join(least, "token").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    signs = stored(signs.join(prefixes.select("node"), "node"))
+    signs = stored(signs.drop("weight").join(prefixes.select("node"), "node"))
     sides = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
     agree = F.expr("size(filter(zip_with(x, y, (p, q) -> p = q), e -> e))")
     links = stored(confirmed(sides.where(agree >= t).select("a", "b"), texts, words, percent))
-    groups = prefixes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    tiles = stored(across(lists, groups, stored(wide(texts, words).join(prefixes, "node")), percent))
+    groups = prefixes.select("node", "weight").join(components(links), "node", "left").select("node", "weight", F.coalesce("component", "node").alias("component"))
+    tiles = stored(across(lists, groups, stored(wide(texts, words).join(prefixes.drop("weight"), "node")), percent))
     links = links.unionByName(stored(confirmed_tiles(tiles, texts, words, percent)))
     groups = classes.join(components(links), "node").select("node", "component", F.struct("doc_id", "digest").alias("own"))
     heads = groups.groupBy("component").agg(F.min("own").alias("head"))

@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.sources import scratch
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Folders made so far within each open passing().
+_open: list[list[str]] = []
 
 
-def base_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it. Where that is unset, /tmp/checkpoints, but only if all of Spark runs on this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (base or "/tmp/checkpoints").rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared one."""
-    return f"{base_dir(spark)}/loomtext-{uuid.uuid4().hex}"
+    """A new folder name below the one that the cluster shares."""
+    path = scratch.new_folder(spark)
+    for made in _open:
+        made.append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and kept in the shared folder; a lost executor takes nothing with it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(base_dir(df.sparkSession))
+        context.setCheckpointDir(scratch.base_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -41,6 +42,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are stored within go when it ends, but those whose folders are taken out of the list. For work whose result is stored by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        remove(spark, made)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders that shared_dir() named."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def held_out(doc_id) -> F.Column:
     """True for rows that nothing is learned from: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

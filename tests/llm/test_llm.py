@@ -364,6 +364,28 @@ def test_language(spark):
     assert language.classify(d, language.learn(empty(spark))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_equals_plain_compression(spark):
+    import zstandard
+
+    rng = random.Random(3)
+    words = {"en": "the of and to in is that with for are".split(), "de": "der die und das nicht mit ein auf".split(), "fr": "les des une est dans pour qui sur".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.choice([2, 30, 3000]))), lang, "s", 1, 0.0, 1) for i in range(90) for lang in [("en", "de", "fr")[i % 3]]]
+    d = spark.createDataFrame(rows, DOCS)
+    learned = language.learn(d)
+    training = {r[1].lower() for r in rows if not crc_held_out(r[0])}
+    assert all(piece in x for x in [" ".join(training)] for c in learned.values() for piece in c.decode().split("\n")[:-1] if len(piece) < language.PIECE)
+    plain = {}
+    for lang, content in learned.items():
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=language.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        plain[lang] = lambda b, c=c: sum(len(c.compress(b[k : k + language.PART])) for k in range(0, len(b), language.PART))
+    for r in language.classify(d, learned).collect():
+        sizes = {lang: f(rows[r.doc_id][1].lower().encode()) for lang, f in plain.items()}
+        low = min(sizes.values())
+        assert sizes[r.lang_pred] == low
+        assert r.score == pytest.approx(1 / sum(np.exp(-(v - low) / (2 + 0.01 * low)) for v in sizes.values()))
+        assert r.accepted == (sorted(sizes.values())[1] - low >= language.MARGIN * low)
+
+
 def labelled(spark, n=600):
     rng = random.Random(1)
     clean = [f"{a}{b}" for a in ("ba", "lo", "mi", "ter", "sun", "ora") for b in ("nd", "th", "re", "ly", "so")]
@@ -598,3 +620,60 @@ def test_pipeline_stages(spark, tmp_path):
             assert not {1, 5000} <= ids
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {"doc_id", "ids", "decoded_sha256"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    texts, labels = labelled(spark, 300)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(5000, None), (5001, ""), (5002, texts[1][1]), (1, texts[2][1] + " of another kind of text altogether with one id twice over here and now"), (None, "no id at all but some words to keep"), (None, None)]
+    d = docs_of(spark, [*texts, *odd, texts[9], (5003, "sunnd " * 40_000)])
+    d = d.withColumns({"own": F.lit("mine"), "tokens": F.lit(1), "taken": F.lit("t"), "chance": F.lit(0.5), "c_source": F.lit("c"), "host": F.lit("h"), "_score": F.lit(9), "__taken": F.lit(8), "lang": F.when(F.col("doc_id") % 11 > 0, "en"), "source": F.when(F.col("doc_id") % 13 > 0, F.col("source"))})
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, d, str(tmp_path))
+        nothing = stage(spark, d.limit(0), str(tmp_path))
+        assert nothing.count() == 0
+        if name == "bpe":
+            assert after.count() == d.count() and {"ids", "own", "tokens"} <= set(after.columns)
+            continue
+        assert after.columns == nothing.columns == d.columns, name
+        kept, rows = (Counter(map(repr, x.collect())) for x in (after, d))
+        assert kept and not kept - rows, name  # rows of the input, unchanged, none more often than it stands there
+        if name == "near_duplicates":
+            every = d.select("doc_id", "text").distinct().collect()
+            groups = brute_groups([(i, r.text) for i, r in enumerate(every)], 5, 80)
+            members = {}
+            for i, r in enumerate(every):
+                members.setdefault(groups[i][1] if r.doc_id is not None else ("null", i), []).append(r.doc_id)
+            assert after.count() == len(members)
+            assert Counter(r.doc_id for r in after.collect()) == Counter(min((x for x in m if x is not None), default=None) for m in members.values())
+
+
+def test_passing_tables_go(spark, tmp_path, monkeypatch):
+    import os
+
+    from loomtext.llm.shared import passing, stored
+    from loomtext.sources import scratch
+
+    monkeypatch.setattr(scratch, "base_dir", lambda spark: str(tmp_path))
+    with passing(spark) as made:
+        stored(spark.range(3))
+        kept = stored(spark.range(4))
+        made.pop()
+    assert kept.count() == 4 and len(os.listdir(tmp_path)) == 1
+
+
+def test_long_texts_make_smaller_tiles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "HEAVY", 20)
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randint(1, 12)):
+            own[rng.randrange(120)] = f"v{rng.randint(0, 40)}"
+        texts.append((i, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == brute_groups(texts, 3, 85)
