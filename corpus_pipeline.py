@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import bpe, minhash, mixing, quality, toxicity
 from loomtext.llm.queries import MIX, vocabulary
-from loomtext.llm.shared import stored, table
+from loomtext.llm.shared import passing, remove, stored, table
 
 
 def unused(docs: DataFrame) -> str:
@@ -66,7 +66,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage stores on its way goes when its result is stored, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with passing(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir))
+            own = made.pop()
+        remove(spark, before)
+        before = [own]
     return docs
