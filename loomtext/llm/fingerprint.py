@@ -253,31 +253,32 @@ def compared(rows: DataFrame, before: str, after: str) -> DataFrame:
     return plain.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), "likeness double, removed array<bigint>, added array<bigint>"]))
 
 
+def _range_of(key: F.Column, splits: list[int]) -> F.Column:
+    """How many of the splits, which are in order, are at most the key: by halving."""
+    lists = F.array(*map(F.lit, splits)) if splits else F.array().cast("array<bigint>")
+
+    def halved(s: F.Column, _) -> F.Column:
+        middle = ((s["lo"] + s["hi"]) / 2).cast("int")
+        narrower = F.when(F.get(lists, middle) <= key, F.struct((middle + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle.alias("hi")))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(narrower)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(splits).bit_length()))), start, halved)["lo"]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, tail, key, doc_id, text), ordered within their partition, such that the document after each one in ascending doc_id follows it.
 
     Ids are dealt by range into buckets; the first document of each bucket also visits the end of the bucket before, that
-    of all documents the end of the last. Only one id per bucket comes to the driver. A null id comes first; equal ids
-    follow each other by text.
+    of all documents the end of the last. Only one id per bucket comes to the driver. Rows without id come first, in order of a hash
+    of their texts (in buckets of their own, so many of them are many buckets); equal keys follow each other by text.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    docs = docs.select("doc_id", "text", key.alias("key"))
+    none = F.col("doc_id").isNull()
+    docs = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("key"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits = sorted({int(x) for x in docs.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)}) if docs.columns else []
-    steps = max(1, len(splits).bit_length())
-    lists = F.array(*map(F.lit, splits)) if splits else F.array().cast("array<bigint>")
-    # how many splits are at most the key, by halving
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi")),
-        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(F.get(lists, ((s["lo"] + s["hi"]) / 2).cast("int")) <= F.col("key"), F.struct((((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
-                F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))
-            )
-        ),
-    )["lo"]
-    dealt = docs.withColumn("bucket", found)
+    bounds = [sorted({int(x) for x in docs.where(part).approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)}) for part in (none, ~none)]
+    dealt = docs.withColumn("bucket", F.when(none, _range_of(F.col("key"), bounds[0])).otherwise(_range_of(F.col("key"), bounds[1]) + len(bounds[0]) + 1))
     firsts = dict(dealt.groupBy("bucket").agg(F.min("key")).collect())
     filled = sorted(firsts)
     before = {b: filled[i - 1] for i, b in enumerate(filled)}  # the first one's is the last

@@ -149,6 +149,10 @@ def test_fingerprints_of_odd_tables(spark):
     assert fingerprint.fingerprint_edits(empty(spark)).count() == 0
     got = {r.doc_id: r for r in fingerprint.fingerprint_edits(docs_of(spark, [(None, "no id"), (5, long), (6, long + " end"), (None, None)])).collect()}
     assert set(got) == {None, 5, 6} and got[5].near_next > 0.99
+    many = [(None, f"text {k}") for k in range(300)] + [(k, f"other {k}") for k in range(7)]
+    rows = fingerprint.with_next(docs_of(spark, many)).collect()
+    assert len({r.bucket for r in rows if r.doc_id is None}) > 4 and sum(1 - r.tail for r in rows) == len(many)
+    assert fingerprint.fingerprint_edits(docs_of(spark, many)).count() == len(many)
     far = fingerprint.compared(spark.createDataFrame([(got[5].fingerprint, got[6].fingerprint), (None, got[5].fingerprint), (None, None)], "a string, b string"), "a", "b").collect()
     assert [len(r.removed) + len(r.added) < 8 for r in far] == [True, False, True] and [r.likeness for r in far][1:] == [0, 1]
 
