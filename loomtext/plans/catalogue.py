@@ -148,8 +148,9 @@ def group_id_dense(spark, d):
 
 @query("""SELECT left(min(text), 60) AS passage, min(doc_id) AS first_id, count(*) AS sample_count, count(DISTINCT source) AS n_sources FROM documents GROUP BY text ORDER BY sample_count DESC, first_id LIMIT 10""")
 def duplicate_groups_top10(spark, d):
-    per = t(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("sample_count"), F.count_distinct("source").alias("n_sources"))
-    return per.select(F.left("text", F.lit(60)).alias("passage"), "first_id", "sample_count", "n_sources").orderBy(F.desc("sample_count"), "first_id").limit(10)
+    rows = t(spark, d, "documents").select("doc_id", "source", F.left("text", F.lit(60)).alias("passage"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+    per = rows.groupBy("text").agg(F.min("passage").alias("passage"), F.min("doc_id").alias("first_id"), F.count("*").alias("sample_count"), F.count_distinct("source").alias("n_sources"))
+    return per.drop("text").orderBy(F.desc("sample_count"), "first_id").limit(10)
 
 
 _BINS_SQL = "e AS (SELECT list_sort(list_distinct(quantile_cont(n_chars, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM documents)"
