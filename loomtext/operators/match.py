@@ -8,7 +8,6 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtext.functions.scan import Keys
 from loomtext.sources.readers import numbered_rows
