@@ -309,6 +309,13 @@ def test_repeated_vectors_and_dimensions(spark, parts):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
 
 
+def test_ties_at_the_least_cosine_link(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 4.0]), (2, [-3.0, 4.0]), (3, [0.0, -2.0]), (4, [3.0, -4.0]), (5, [-1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=0.6).collect()}
+    want = brute_links(rows, 0.6)
+    assert got == {i: want[i, tuple(v)] for i, v in rows} and got[0] == (2, 0)
+
+
 def test_pivots_are_apart_and_dense_ones_come_first():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 16))
