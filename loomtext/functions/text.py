@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for a missing value.
 NULL_TOKENS = ("null", "NULL", "None", "")
-#: Fixed value: white space as Python knows it (beyond ASCII too), for Java's regular expressions.
-WHITE = r"[\s\x0B\x1C-\x1F\x85   -     　]"
+#: Fixed value: white space as Python knows it, beyond ASCII too.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(c: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def norm_text(c: Column, keep_spaces: bool = False) -> Column:

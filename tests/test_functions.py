@@ -100,3 +100,12 @@ def test_quantile_bins(spark):
     edges = [1.0, 2.0, 3.0, 4.0]
     rows = spark.createDataFrame([(1.0,), (2.0,), (2.5,), (4.0,), (None,)], "x double").select(folds.quantile_bin(F.col("x"), edges).alias("b")).collect()
     assert [r.b for r in rows] == [0, 0, 1, 2, None]
+
+
+def test_trimmed_is_what_python_strips(spark):
+    from loomtext.functions.text import WHITE, trimmed
+
+    assert set(WHITE) == {chr(c) for c in range(0x11000) if chr(c).isspace()}
+    texts = [None, "", "  a b ", *(f"{w}x{w}y{w}{w}" for w in WHITE), WHITE]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", trimmed(F.col("x")).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: x and x.strip() for i, x in enumerate(texts)}
