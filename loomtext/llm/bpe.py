@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.shared import carried, column, others
 from loomtext.llm.textbatch import Texts, slices, string_array
 
 #: Fixed value: the pattern that the byte-level pre-tokeniser splits by.
@@ -227,40 +228,34 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
     With `proof` there is also decoded_sha256, of the UTF-8 of what the ids decode to.
     `vocabulary` is the JSON itself (about a megabyte, whatever the input), which Spark broadcasts.
     """
-    added = ["ids", "decoded_sha256"][: 1 + proof]
-    keep = [c for c in docs.columns if c not in (text, *added)] if keep is None else keep
+    added = ["ids array<int>", "decoded_sha256 string"][: 1 + proof]
+    keep = others(docs.columns, text, *(x.split()[0] for x in added)) if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         v = _vocabulary(shared)
-        for part, texts in slices(batches, "__text"):
+        for part, texts in slices(batches):
             texts.fold = False
             flat, bounds = v.encode(texts)
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            more = [string_array([hashlib.sha256(x.encode()).hexdigest() for x in v.decode(flat, bounds)])] if proof else []
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, *more], [*keep, *added])
+            yield part, [ids, *([string_array([hashlib.sha256(x.encode()).hexdigest() for x in v.decode(flat, bounds)])] if proof else [])]
 
-    plain = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), *("ids array<int>", "decoded_sha256 string")[: 1 + proof]])
-    return plain.mapInArrow(work, schema)
+    return carried(docs, keep, {"text": column(text)}, ", ".join(added), work)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Adds `decoded`, the text that the ids stand for; null ids give an empty text."""
-    keep = [c for c in rows.columns if c not in (ids, "decoded")] if keep is None else keep
+    keep = others(rows.columns, ids, "decoded") if keep is None else keep
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         v = _vocabulary(shared)
         for batch in batches:
-            column = batch.column("__ids").cast(pa.list_(pa.int32()))
-            flat, bounds = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)))]).astype(int)
-            texts = v.decode(flat.astype(np.int64), bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [string_array(texts)], [*keep, "decoded"])
-
-    plain = rows.select(*keep, F.col(ids).alias("__ids"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "decoded string"])
-    return plain.mapInArrow(work, schema)
+            lists = batch.column("ids").cast(pa.list_(pa.int32()))
+            flat, bounds = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)))]).astype(int)
+            yield batch, [string_array(v.decode(flat.astype(np.int64), bounds))]
+
+    return carried(rows, keep, {"ids": column(ids)}, "decoded string", work)
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.shared import carried, column, others
 from loomtext.llm.textbatch import Texts, mix, slices, string_array
 
 #: Words of a paragraph: about so many between cuts by content, so many at most.
@@ -218,27 +219,23 @@ def given_back(x: Sketches) -> Digests:
 
 def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """The rows of docs with a column `name`: the fingerprint of the whole text (null: of an empty one). It replaces a column of that name."""
-    columns = [c for c in docs.columns if c != name]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for part, texts in slices(batches):
             texts.fold = False
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), string_array(sketched(digests(texts)).text())], [*columns, name])
+            yield part, [string_array(sketched(digests(texts)).text())]
 
-    plain = docs.select(columns)
-    return plain.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), f"`{name}` string"]))
+    return carried(docs, others(docs.columns, name), {"text": column(text)}, f"`{name}` string", work)
 
 
 def compared(rows: DataFrame, before: str, after: str) -> DataFrame:
     """The rows with `likeness` (0 to 1), `removed` and `added`: the paragraph digests (longs, in order) that only the fingerprint in column `before`, or only that in `after`, holds. A null fingerprint is that of an empty text. These columns replace others of their names."""
-    added = ["likeness", "removed", "added"]
-    columns = [c for c in rows.columns if c not in added]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                a, b = (Sketches.of_text(part.column(c).to_pylist()) for c in (before, after))
+                a, b = (Sketches.of_text(part.column(c).to_pylist()) for c in ("before", "after"))
                 of_a, of_b = given_back(a), given_back(b)
                 key, row, sign = differences(a, b, of_a, of_b)
                 lists = []
@@ -247,10 +244,9 @@ def compared(rows: DataFrame, before: str, after: str) -> DataFrame:
                     mine = mine[np.lexsort((key[mine].view(np.int64), row[mine]))]
                     bounds = np.concatenate([[0], np.cumsum(np.bincount(row[mine], minlength=part.num_rows))])
                     lists.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(key[mine].view(np.int64))))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(likeness(a, b, of_a, of_b)), *lists], [*columns, *added])
+                yield part, [pa.array(likeness(a, b, of_a, of_b)), *lists]
 
-    plain = rows.select(columns)
-    return plain.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), "likeness double, removed array<bigint>, added array<bigint>"]))
+    return carried(rows, others(rows.columns, "likeness", "removed", "added"), {"before": column(before), "after": column(after)}, "likeness double, removed array<bigint>, added array<bigint>", work)
 
 
 def _range_of(key: F.Column, splits: list[int]) -> F.Column:

@@ -6,7 +6,7 @@ lower-cased and compressed in parts of PART bytes, so that a dictionary helps wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +15,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import held_out
+from loomtext.llm.shared import held_out, stored
 from loomtext.llm.textbatch import string_array
 
-#: Bytes of a dictionary at most, characters of a piece (from one row), level, and bytes compressed at once.
+#: Bytes of a dictionary at most, characters of a piece (from one text), level, and bytes compressed at once.
 DICTIONARY, PIECE, LEVEL, PART = 96_000, 640, 9, 8192
-#: Rows that the pieces of a language are taken from, at most (a bounded sample of the training rows), and languages, at most:
-#: the most frequent ones. Each has a dictionary, and each text is compressed with all of them.
-ROWS, LANGUAGES = 128, 256
+#: Texts that the pieces of a language are taken from, at most (a bounded sample of the training rows).
+ROWS = 128
+#: Bytes of all dictionaries, about: with more than some 700 languages each has less, so that what is sent to every task stays bounded and no language goes.
+TOGETHER = 64 << 20
+#: Languages (32 bytes each) up to this number are sent to all tasks when rows are thinned.
+FEW = 100_000
+#: Languages whose compressors a worker holds at once; with more, they are made anew for each batch of texts.
+AT_ONCE = 256
 #: A prediction whose margin to the second is a smaller part of the size is marked as not accepted.
 MARGIN = 0.02
 LETTER = regex.compile(r"\p{L}")
@@ -31,30 +36,43 @@ LETTER = regex.compile(r"\p{L}")
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each language of the training rows, most frequent language first.
 
-    Training rows have a lang, a text with a letter, and an id that isn't held out. All are counted; pieces come from at
-    most ROWS of a language, those with the smallest hashes of their ids; equal pieces count once. Whole pieces fill a
-    dictionary until DICTIONARY bytes are reached.
+    Training rows have a lang, a text with a letter, and an id that isn't held out. All are counted. Pieces come from at
+    most ROWS different texts of a language, those with the smallest hashes; a text that many rows share, whatever their ids, is
+    one. Whole pieces fill a dictionary until its bytes are reached. No language is left out.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    order = F.xxhash64("doc_id", F.lit(11))
+    order = F.xxhash64("text", F.lit(11))
     start = F.when(F.length("text") > PIECE, F.pmod(order, F.length("text") - PIECE).cast("int") + 1).otherwise(F.lit(1))
     piece = F.lower(F.substring(F.col("text"), start, F.lit(PIECE)))
-    # of a language with many rows, about four times as many as are needed go on, whatever the corpus
-    thinned = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) * F.col("count") < 4 * ROWS * 1_000_000)
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")))
+    n = counts.count()
+    each = max(1, min(ROWS, TOGETHER // (PIECE * max(n, 1))))
+    # of a language with many texts, about four times as many as are needed go on, whatever the corpus: none at all by chance once in e ** 64
+    thinned = rows.join(F.broadcast(counts), "lang") if n <= FEW else rows.join(counts, "lang")
+    thinned = thinned.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 40)) / (1 << 40) * F.col("texts") < max(4 * each, 64))
     pieces = thinned.groupBy("lang", piece.alias("piece")).agg(F.min(order).alias("rank"), F.first("count").alias("count"))
-    per = pieces.groupBy("lang").agg(F.first("count").alias("count"), F.slice(F.array_sort(F.collect_list(F.struct("rank", "piece"))), 1, ROWS)["piece"].alias("pieces"))
-    return {r["lang"]: joined(r["pieces"]) for r in per.orderBy(F.desc("count"), "lang").collect()}
+    per = pieces.groupBy("lang").agg(F.first("count").alias("count"), F.slice(F.array_sort(F.collect_list(F.struct("rank", "piece"))), 1, each)["piece"].alias("pieces"))
+    size = min(DICTIONARY, TOGETHER // max(n, 1))
+    return {r["lang"]: joined(r["pieces"], size) for r in per.orderBy(F.desc("count"), "lang").toLocalIterator()}
 
 
-def joined(pieces: list[str]) -> bytes:
-    """The pieces one after another, as many as fit."""
+def joined(pieces: list[str], size: int = DICTIONARY) -> bytes:
+    """The pieces one after another, as many as fit; the beginning of the first one if it doesn't."""
     out = b""
     for x in pieces:
         x = x.encode() + b"\n"
-        if len(out) + len(x) > DICTIONARY:
+        if len(out) + len(x) > size:
             break
         out += x
+    return out or "".join(pieces[:1]).encode()[:size]
+
+
+def compressors(dictionaries: list[bytes]) -> list[Callable[[bytes], bytes]]:
+    out = []
+    for content in dictionaries:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
     return out
 
 
@@ -63,30 +81,31 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     lang_pred is `und` (score 0, not accepted) where the text is null or has no letter, or nothing was learned. score is
     a softmax of sizes on a scale of a hundredth of the smallest. Of languages with equal sizes the more frequent one wins;
-    `accepted` is false where the margin is narrow. The dictionaries (DICTIONARY bytes a language) are broadcast. Rows that
-    repeat are judged alike, each of them; a letter is a character of category L (so neither a half nor a Roman numeral is).
+    `accepted` is false where the margin is narrow. The dictionaries (TOGETHER bytes at most) are broadcast. Rows that
+    repeat are judged alike, each of them, and an empty table gives no rows; a letter is a character of category L (so neither a
+    half nor a Roman numeral is). Very long texts are compressed part by part. Other columns play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, by = list(shared.value), []
-        for content in shared.value.values():
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            by.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        names, contents = list(shared.value), list(shared.value.values())
+        blocks = range(0, len(contents), AT_ONCE)
+        held = compressors(contents) if len(blocks) == 1 else []
         for batch in batches:
-            sizes, known = np.zeros((batch.num_rows, len(by))), np.zeros(batch.num_rows, bool)
-            for i, text in enumerate(batch.column("text")):
-                x = text.as_py()
-                if x and by and LETTER.search(x):
-                    known[i] = True
-                    b = x.lower().encode()
-                    parts = [b[k : k + PART] for k in range(0, len(b), PART)]
-                    sizes[i] = [sum(len(c(p)) for p in parts) for c in by]
-            if by:
+            sizes, known = np.zeros((batch.num_rows, len(names))), np.zeros(batch.num_rows, bool)
+            for at in blocks:
+                by = held or compressors(contents[at : at + AT_ONCE])
+                for i, text in enumerate(batch.column("text")):
+                    x = text.as_py()
+                    if x and LETTER.search(x):
+                        known[i] = True
+                        b = x.lower().encode()
+                        parts = [b[k : k + PART] for k in range(0, len(b), PART)]
+                        sizes[i, at : at + AT_ONCE] = [sum(len(c(p)) for p in parts) for c in by]
+            if names:
                 best = sizes.argmin(1)
                 low = sizes[np.arange(len(best)), best]
-                second = np.partition(sizes, 1, axis=1)[:, 1] if len(by) > 1 else np.full(len(low), np.inf)
+                second = np.partition(sizes, 1, axis=1)[:, 1] if len(names) > 1 else np.full(len(low), np.inf)
                 score = 1 / np.exp(-(sizes - low[:, None]) / (2 + 0.01 * low[:, None])).sum(1)
                 accepted = known & (second - low >= MARGIN * low)
             else:

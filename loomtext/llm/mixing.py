@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.shared import stored
+from loomtext.llm.shared import column, others, stored
 
 #: What values that aren't named count as.
 OTHER = "(other)"
@@ -158,13 +158,13 @@ def sampled(docs: DataFrame, t: Targets, columns: list[str] | None = None, prefi
 
     Null or unnamed sources and languages are one value, OTHER; a null text is an empty one (one token, topic PLAIN). Rows
     that repeat an id share its draw, and count as often as they stand. A value with share 0 is left out. An empty table gives
-    an empty one. Columns of docs that have the name of an added one are replaced; `prefix` goes before the added names.
+    an empty one. Columns of docs that have the name of an added one (in any case) are replaced; `prefix` goes before the added names.
     Texts are read once: what is kept is stored with its cell. Margins that no weights can meet (they contradict each other
     or what occurs) are met as nearly as the last sweep has them, with a warning.
     """
     keys = ["c_source", "c_lang", "c_topic"]
-    kept = [c for c in (docs.columns if columns is None else columns) if c not in {prefix + k for k in (*keys, "tokens", "chance", "taken")}]
-    own = [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    kept = others(docs.columns if columns is None else columns, *(prefix + k for k in (*keys, "tokens", "chance", "taken")))
+    own = [column(c).alias(f"k{i}") for i, c in enumerate(kept)]
     cells = celled(docs.select("doc_id", "text", "source", "lang", *own), t)
     rows = stored(cells.select(*(f"k{i}" for i in range(len(kept))), draw(F.col("doc_id"), t.seed).alias("draw"), *keys, "tokens"))
     chances = stored(raked(rows.groupBy(keys).agg(F.sum("tokens").alias("tokens")), t))

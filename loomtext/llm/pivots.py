@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Every vector is described by its nearest reference points (pivots), nearest first. Two vectors are compared if their
-first PREFIX pivots have two or more in common: postings are kept for each pair of pivots, so a list holds vectors that
+first pivots (PREFIX and more of them) have two or more in common: postings are kept for each pair of pivots, so a list holds vectors that
 share two already, and a pair is verified in the list of the smallest pair that it shares, once. A list returns how many
 links each vector has in it and how they hang together, never the pairs. Links are cosines of 0.9 and more, in double
 precision. Pivots lie more than the link's angle apart: were they closer, a loose group (members linked, but farther than
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +28,16 @@ from pyspark.sql import functions as F
 from loomtext.llm.shared import components, cut, stored
 from loomtext.llm.textbatch import segments
 
-#: Least and most pivots (about four times the square root of the number of vectors between), rows that are sampled for each
-#: of them (so the sample is bounded by 16,384 rows), and how many pivots describe a vector.
-FEWEST, PIVOTS, SAMPLED, PREFIX = 512, 4096, 4, 6
+#: Least and most pivots (about four times the square root of the number of vectors between), and rows that are sampled for each
+#: of them (so the sample is bounded by 16,384 rows).
+FEWEST, PIVOTS, SAMPLED = 512, 4096, 4
+#: How many pivots describe a vector: PREFIX of USUAL ones, and one more each time that their number doubles, so that of pairs with
+#: cosines of 0.90 to 0.93 as many share two (99.8 of 100 in a model of isotropic vectors) whatever the number of vectors.
+PREFIX, USUAL = 9, 512
 #: Vectors on a side of a tile.
 TILE = 1024
+#: Vectors that the lists of one pivot are compared with in one task, about.
+GROUP = 16_384
 #: What rounding may move an angle by: near 1, an error of 1e-16 in a cosine is one of 1.5e-8 in its angle.
 SLACK = 1e-7
 
@@ -80,13 +84,17 @@ def unpacked(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
 
 
+def prefix_size(pivots: int) -> int:
+    return min(pivots, PREFIX + max(0, math.ceil(math.log2(max(pivots, 1) / USUAL))))
+
+
 def describe(vectors: DataFrame, pivots: np.ndarray, half: float) -> DataFrame:
     """node, vector (binary, of length 1), prefix (nearest pivots, nearest first), home (the nearest one, if within `half`; else -1), far (angle to it)."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        k = min(PREFIX, len(p))
+        k = prefix_size(len(p))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -127,59 +135,141 @@ def hanging(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = low
 
 
+def pair_key(i: F.Column, j: F.Column) -> F.Column:
+    return i.cast("long") * PIVOTS + j
+
+
+def seconds(own: F.Column, i: F.Column) -> F.Column:
+    """Pivots that are in a list with pivot i: the later ones, or i itself where it is the only one."""
+    return F.when(F.size(own) == 1, own).otherwise(F.filter(own, lambda j: j > i))
+
+
 def posted(lone: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    """Links among vectors without a home, those in a common list of two of their k pivots, verified: (node, other, n): its links in a tile, and a vector that all it hangs together with there have in common."""
-    pairs = list(combinations(range(k), 2)) or [(0, 0)]
-    keys = F.array(*(F.least(F.get("prefix", i), F.get("prefix", j)) * PIVOTS + F.greatest(F.get("prefix", i), F.get("prefix", j)) for i, j in pairs))
-    rows = lone.select("node", "vector", F.array_sort("prefix").alias("own"), F.explode(keys).alias("key"))
-    long = rows.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("blocks"))
-    rows = rows.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "vector", "own").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def linked_here(x: np.ndarray, own: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, key: int) -> np.ndarray:
-        """Which of the left link with which of the right, and have no two smaller pivots in common: only one list reports a pair."""
-        hit = (x[left] @ x[right].T >= least) & (ids[left][:, None] != ids[right][None, :])
-        first, second = divmod(key, PIVOTS)
-        earlier = (own < second) & (own != first)
-        names, at = np.unique(own[earlier], return_inverse=True)
-        if len(names) and hit.any():
-            marks = np.zeros((len(ids), len(names)), np.float32)
-            marks[np.nonzero(earlier)[0], at] = 1
-            hit &= marks[left] @ marks[right].T == 0
-        return hit
+    """Links among vectors without a home, those in a common list of two of their k pivots, verified: (node, other, n): its links in a tile, and a vector that all it hangs together with there have in common.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
-        held = 0
+    A vector is sent to the first pivot of each of its pairs, once for all lists there (once for each share of them, if that pivot has more
+    than GROUP vectors), so k - 1 times for its k * (k - 1) / 2 lists. Lists of more than TILE vectors are compared in tiles of their own.
+    """
+    lone = lone.select("node", "vector", F.array_sort("prefix").alias("own"))
+    firsts = lone.select("node", "own", F.explode(F.slice("own", 1, F.lit(max(1, k - 1)))).alias("i"))
+    sizes = firsts.groupBy("i").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("shares"))  # a row a pivot
+    pairs = firsts.select("node", F.explode(F.transform(seconds(F.col("own"), F.col("i")), lambda j: pair_key(F.col("i"), j))).alias("key"))
+    long = cut(pairs.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("blocks")))
+    share = F.transform(seconds(F.col("own"), F.col("i")), lambda j: j % F.col("shares"))
+    rows = lone.select("*", F.explode(F.slice("own", 1, F.lit(max(1, k - 1)))).alias("i")).join(F.broadcast(sizes), "i")
+    rows = rows.select("i", "shares", F.explode(F.array_distinct(share)).alias("share"), "node", "vector", "own").repartition("i", "share").sortWithinPartitions("i", "share")
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Links()
+        for s in segments(batches, ("i", "share")):
+            if s.num_rows > 1:
+                i, shares, number = (s.column(c)[0].as_py() for c in ("i", "shares", "share"))
+                at_once(out, *opened(s, dim), i, shares, number, least)
+            if out.held > 50_000:
+                yield out.batch()
+        if out.held:
+            yield out.batch()
+
+    found = rows.mapInArrow(together, LINKS)
+    if long.isEmpty():
+        return found
+    dealt = pairs.join(long, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node").join(lone, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def tile_by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Links()
         for s in segments(batches, ("key", "i", "j")):
             if s.num_rows < 2:
                 continue
-            x, ids, block = unpacked(s.column("vector"), dim), s.column("node").to_numpy(), s.column("block").to_numpy()
-            own = s.column("own").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            x, ids, own = opened(s, dim)
+            block = s.column("block").to_numpy()
             i, j = s.column("i")[0].as_py(), s.column("j")[0].as_py()
             left = np.flatnonzero(block == i)
             right = left if i == j else np.flatnonzero(block == j)
-            a, b = np.nonzero(linked_here(x, own, ids, left, right, s.column("key")[0].as_py()))
+            a, b = np.nonzero(in_list(x, own, ids, left, right, *divmod(s.column("key")[0].as_py(), PIVOTS), least))
             a, b = left[a], right[b]
-            if not len(a):
-                continue
-            if i != j:
-                a, b = np.concatenate([a, b]), np.concatenate([b, a])
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], b[order]
-            n = np.bincount(a, minlength=len(ids))
-            row = np.flatnonzero(n)
-            for o, v in zip(out, (ids[row], ids[hanging(a, b, len(ids))[row]], n[row]), strict=True):
-                o.append(v)
-            held += len(row)
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["node", "other", "n"])
-                out, held = ([], [], []), 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["node", "other", "n"])
-
-    return rows.mapInArrow(work, "node long, other long, n long")
+            out.add(ids, *((a, b) if i == j else (np.concatenate([a, b]), np.concatenate([b, a]))))
+            if out.held > 50_000:
+                yield out.batch()
+        if out.held:
+            yield out.batch()
+
+    return found.unionByName(dealt.mapInArrow(tile_by_tile, LINKS))
+
+
+LINKS = "node long, other long, n long"
+
+
+class Links:
+    """What tiles find, for a batch of rows."""
+
+    def __init__(self):
+        self.columns, self.held = ([], [], []), 0
+
+    def add(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Links between these places, both directions of each."""
+        if not len(a):
+            return
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        n = np.bincount(a, minlength=len(ids))
+        row = np.flatnonzero(n)
+        for o, v in zip(self.columns, (ids[row], ids[hanging(a, b, len(ids))[row]], n[row]), strict=True):
+            o.append(v)
+        self.held += len(row)
+
+    def batch(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in self.columns], ["node", "other", "n"])
+        self.__init__()
+        return out
+
+
+def opened(s: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors, ids and pivots in order of a segment."""
+    ids = s.column("node").to_numpy()
+    return unpacked(s.column("vector"), dim), ids, s.column("own").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+
+
+def in_list(x: np.ndarray, own: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, first: int, second: int, least: float) -> np.ndarray:
+    """Which of the left link with which of the right, and have no two smaller pivots in common: only one list reports a pair."""
+    hit = (x[left] @ x[right].T >= least) & (ids[left][:, None] != ids[right][None, :])
+    earlier = (own < second) & (own != first)
+    names, at = np.unique(own[earlier], return_inverse=True)
+    if len(names) and hit.any():
+        marks = np.zeros((len(ids), len(names)), np.float32)
+        marks[np.nonzero(earlier)[0], at] = 1
+        hit &= marks[left] @ marks[right].T == 0
+    return hit
+
+
+def at_once(out: Links, x: np.ndarray, ids: np.ndarray, own: np.ndarray, i: int, shares: int, number: int, least: float) -> None:
+    """Adds the links of all lists of pivot i that are in this share and no longer than TILE. Few vectors are compared all at once, and links kept where the list is the pair's own; more are compared list by list."""
+    n, k = own.shape
+    mine = ((own > i) | (k == 1)) & (own % shares == number)
+    names, which, size = np.unique(own[mine], return_inverse=True, return_counts=True)
+    row = np.nonzero(mine)[0]
+    if n <= 2 * TILE:
+        a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+        short = names[size <= TILE]
+        keep = np.zeros(len(a), bool)
+        for at in range(0, len(a), 50_000):
+            p, q = own[a[at : at + 50_000]], own[b[at : at + 50_000]]
+            common = (p[:, :, None] == q[:, None, :]).any(2)
+            first = common.argmax(1)
+            line = np.arange(len(p))
+            is_first = p[line, first] == i
+            if k > 1:
+                common[line, first] = False
+            second = common.argmax(1)
+            keep[at : at + 50_000] = is_first & common[line, second] & np.isin(p[line, second], short)
+        a, b = a[keep], b[keep]
+        out.add(ids, np.concatenate([a, b]), np.concatenate([b, a]))
+        return
+    order = np.argsort(which, kind="stable")
+    for j, at in zip(names.tolist(), np.split(row[order], np.cumsum(size)[:-1]), strict=True):
+        if 1 < len(at) <= TILE:
+            a, b = np.nonzero(in_list(x[at], own[at], ids[at], *[np.arange(len(at))] * 2, i, j, least))
+            out.add(ids[at], a, b)
 
 
 def settled(lone: DataFrame, pivots: np.ndarray, homes: dict[str, np.ndarray], full: float) -> DataFrame:
@@ -276,7 +366,7 @@ def indexed(vectors: DataFrame, dim: int, count: int, least: float) -> tuple[Dat
     lefts = lefts.unionByName(housed.join(both, F.col("home") == F.col("s")).select(pair, "node", "vector"))
     rights = rights.unionByName(housed.join(both, F.col("home") == F.col("t")).select(pair, "node", "vector"))
     tiles = cut(compared(lefts, rights, dim, least))
-    lists = cut(posted(lone, dim, min(PREFIX, len(pivots)), least))
+    lists = cut(posted(lone, dim, prefix_size(len(pivots)), least))
     whole = near_one.where("n IS NOT NULL")
     back = whole.groupBy("home").agg(F.count("*").alias("n"))  # what a class gets from vectors that link with all of it
     counts = (

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.linear import fit
-from loomtext.llm.shared import held_out, stored
+from loomtext.llm.shared import carried, column, held_out, others, stored
 from loomtext.llm.textbatch import Texts, slices
 from loomtext.llm.toxicity import chosen_labels
 
@@ -108,15 +108,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of docs with `own`, the classifier's log-odds of each text (null counts as empty)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != "own"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(shared.value.logit(texts))], [*columns, "own"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for part, texts in slices(batches):
+            yield part, [pa.array(shared.value.logit(texts))]
 
-    plain = docs.select(columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), "own double"])
-    return plain.mapInArrow(work, schema)
+    return carried(docs, others(docs.columns, "own"), {"text": column(text)}, "own double", work)
 
 
 def logit(p: F.Column) -> F.Column:
@@ -177,20 +174,19 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """The rows of docs (those `columns`; None: all) with host_posterior, path_posterior, doc_score (text alone) and score (under the prior of the path).
 
     Null hosts and paths make a group of their own (''). A repeated row counts as often as it stands, and each has its
-    result. An empty or null text is judged by its form like any other. Columns of docs that have the name of an added one are
+    result. An empty or null text is judged by its form like any other. Columns of docs that have the name of an added one (in any case) are
     replaced; `prefix` goes before the added names. What is kept is stored with the classifier's evidence, so texts are read once for it.
     """
     model = learn(docs, labels)
-    added = {prefix + c for c in ("host_posterior", "path_posterior", "doc_score", "score")}
-    kept = [c for c in (docs.columns if columns is None else columns) if c not in added]
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host, path)]
+    results = ("host_posterior", "path_posterior", "doc_score", "score")
+    kept = others(docs.columns if columns is None else columns, *(prefix + c for c in results))
+    keys = [F.coalesce(column(c).cast("string"), F.lit("")) for c in (host, path)]
     names = [f"k{i}" for i in range(len(kept))]
     text = names[kept.index("text")] if "text" in kept else "text"
-    rows = docs.select(keys[0].alias("host"), keys[1].alias("path"), *(F.col(c).alias(k) for c, k in zip(kept, names, strict=True)), *(["text"] if text == "text" else []))
+    rows = docs.select(keys[0].alias("host"), keys[1].alias("path"), *(column(c).alias(k) for c, k in zip(kept, names, strict=True)), *(["text"] if text == "text" else []))
     rows = stored(evidence(rows, model, text).select("host", "path", *names, "own"))
     paths, levels = posteriors(rows)
     found = read_under(rows, paths, levels)
-    results = ("host_posterior", "path_posterior", "doc_score", "score")
     return found.select(*(F.col(k).alias(c) for k, c in zip(names, kept, strict=True)), *(F.col(c).alias(prefix + c) for c in results))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.linear import fit, sigmoid
 from loomtext.llm.minhash import TIMES, XORS, shingles
-from loomtext.llm.shared import held_out, stored
+from loomtext.llm.shared import carried, held_out, others, stored
 from loomtext.llm.textbatch import NOT_LETTER, Texts, mix, slices
 
 #: Labelled rows that terms are chosen from, at most, and further rows that the classifier is fitted on, at most (each time
@@ -254,17 +254,14 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, n_voters: int, start:
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """The rows of docs with a column `name` (0 to 1, higher: toxic likelier), which replaces one that docs has. Null and empty texts have the score of a text without terms."""
+    """The rows of docs with a column `name` (0 to 1, higher: toxic likelier), which replaces one that docs has (in any case). Null and empty texts have the score of a text without terms."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != name]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for part, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(shared.value.score(texts))], [*columns, name])
+            yield part, [pa.array(shared.value.score(texts))]
 
-    plain = docs.select(columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), f"`{name}` double"])
-    return plain.mapInArrow(work, schema)
+    return carried(docs, others(docs.columns, name), {"text": F.col("text")}, f"`{name}` double", work)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.shared import cut
+from loomtext.llm.shared import cut, stored
 
-#: Share of wrong answers of the levels after the first, and bytes that a level may take (a list of some 15 million rules), as it is
-#: broadcast: beyond that, building refuses.
+#: Share of wrong answers of the levels after the first, and bytes that a level may take, as it is broadcast
+#: (some 8 million rules; a longer list is split).
 ERRORS, MOST_BYTES = 1 / 64, 64 << 20
+#: Bytes of a level that a key of the list takes at most, whatever the universe.
+KEY_BYTES = 8
 U = np.uint64
 
 
@@ -145,38 +147,70 @@ def path_of(url) -> F.Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def candidates(lengths: Sequence[int]) -> F.Column:
-    """Keys host + path that rules with paths of these lengths could have, longest first (of equal ones the longer host)."""
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def labels_of(host: str) -> int:
+    return host.count(".") + 1
+
+
+def candidates(labels: Sequence[int], lengths: Sequence[int]) -> F.Column:
+    """Keys host + path that rules with hosts of so many labels and paths of these lengths could have, longest first (of equal ones the longer host). Only as many suffixes of the host are made as there are numbers of labels, however long it is."""
+    labels, lengths = list(labels) or [1], list(lengths) or [0]
+    hosts = F.array(*(F.when((F.length("host") - F.length(F.replace("host", F.lit("."))) + 1) >= n, F.substring_index("host", ".", -n)) for n in sorted(set(labels))))
+    hosts = F.filter(hosts, lambda h: h.isNotNull())
     paths = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(set(lengths), reverse=True))), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct((-F.length(h) - F.length(p)).alias("n"), (-F.length(h)).alias("h"), F.concat(h, p).alias("rule")))))
     return F.when(F.col("host") != "", F.transform(F.array_sort(keys), lambda k: k["rule"])).otherwise(F.array().cast("array<string>"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], otherwise: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, otherwise: str = "allow") -> DataFrame:
     """Per row: page_id, host, path, rule (`host` + `path` of the rule that decides, else null), verdict.
 
-    Rules are (verdict, host, path); hosts and paths are compared as they stand. A rule fits its host and all subdomains,
-    if the url's path begins with its path; of those that fit, the longest decides, and of equally long ones that of the
-    longer host. A url that no rule fits, or null, or without ://, isn't in any list: it gets `otherwise`. Rows may repeat;
-    columns of pages other than page_id and url play no part, whatever their names.
+    Rules are (verdict, host, path), a list or a table of these columns; hosts and paths are compared as they stand. A rule fits
+    its host and all subdomains, if the url's path begins with its path; of those that fit, the longest decides, and of equally long
+    ones that of the longer host. A url that no rule fits, or null, or without ://, isn't in any list: it gets `otherwise`. Rows may
+    repeat and page_id may be null; columns of pages other than page_id and url play no part, whatever their names. An empty table gives no rows.
+    A very long url costs time in proportion to its length. Rules with one key must have one verdict. A list whose levels
+    would be larger than MOST_BYTES is split by a hash of its keys, and the pages pass one part of it after another.
     """
     spark = pages.sparkSession
-    named = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, rule string")
+    if isinstance(rules, DataFrame):
+        named = rules.select("verdict", "host", F.col("path").alias("p"))
+        shape = named.agg(F.collect_set(F.length("host") - F.length(F.replace("host", F.lit("."))) + 1), F.collect_set(F.length("p"))).first()  # as many numbers as the longest rule is long, at most
+        labels, lengths = shape[0], shape[1]
+        named = named.select("verdict", F.concat("host", "p").alias("rule"))
+    else:
+        named = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, rule string")
+        labels, lengths = [labels_of(h) for _, h, _ in rules], [len(p) for _, _, p in rules]
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = rows.withColumn("keys", candidates([len(p) for _, _, p in rules]))
+    keyed = rows.withColumn("keys", candidates(labels, lengths))
     for salt in range(8):
         key = lambda rule: F.xxhash64(rule, F.lit(salt))  # noqa: B023, E731
         listed = cut(named.withColumn("k", key(F.col("rule"))).distinct())
+        parts = max(1, math.ceil(listed.count() * KEY_BYTES / MOST_BYTES))
         universe = keyed.select(F.explode("keys").alias("rule")).select(key(F.col("rule")).alias("k"), "rule")
+        found = keyed.select(*keyed.columns, F.transform("keys", key).alias("hashes"), F.lit(-1).alias("at"), F.lit(False).alias("blocks"))
         try:
-            every = cascade(listed.select("k", "rule").distinct(), universe)
+            for part in range(parts):
+                mine = listed.where(part_of(F.col("k"), parts) == part)
+                every = cascade(mine.select("k", "rule").distinct(), universe.where(part_of(F.col("k"), parts) == part))
+                blocking = cascade(mine.where("verdict = 'block'").select("k", "rule").distinct(), mine.select("k", "rule"))
+                found = passed(found, every, blocking, parts, part)
+                if parts > 1:
+                    found = stored(found)
             break
         except Collision:  # by chance once in some billions of rules and keys: hash again
             continue
-    blocking = cascade(listed.where("verdict = 'block'").select("k", "rule").distinct(), listed.select("k", "rule"))
-    shared = spark.sparkContext.broadcast((every, blocking))
+    rule = F.when(F.col("at") >= 0, F.get("keys", F.col("at")))
+    return found.select("page_id", "host", "path", rule.alias("rule"), F.when(F.col("at") < 0, F.lit(otherwise)).when(F.col("blocks"), "block").otherwise("allow").alias("verdict"))
+
+
+def part_of(k: F.Column, parts: int) -> F.Column:
+    return F.pmod(F.shiftright(k, 7), F.lit(parts))
+
+
+def passed(rows: DataFrame, every: Cascade, blocking: Cascade, parts: int, part: int) -> DataFrame:
+    """The rows (keys, longest first, and their hashes) with `at`, the first key that this part of the list has if that comes before the one found so far, and whether it blocks."""
+    shared = rows.sparkSession.sparkContext.broadcast((every, blocking))
+    names = rows.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, blocking = shared.value
@@ -185,16 +219,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], otherwise: st
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             k = lists.flatten().to_numpy(zero_copy_only=False)
             begins = np.cumsum(sizes) - sizes
-            member = np.flatnonzero(every.has(k))
+            own = np.flatnonzero((k >> 7) % parts == part)
+            member = own[every.has(k[own])]
             owner = np.repeat(np.arange(len(sizes)), sizes)[member]
             has, first = np.unique(owner, return_index=True)
-            at = np.full(len(sizes), -1)
-            at[has] = member[first] - begins[has]
-            blocks = np.zeros(len(sizes), bool)
+            at, blocks = batch.column("at").to_numpy().copy(), batch.column("blocks").to_numpy(zero_copy_only=False).copy()
+            place = member[first] - begins[has]
+            better = (at[has] < 0) | (place < at[has])
+            has, first = has[better], first[better]
+            at[has] = place[better]
             blocks[has] = blocking.has(k[member[first]])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "keys")), pa.array(at.astype(np.int32)), pa.array(blocks)], ["page_id", "host", "path", "keys", "at", "blocks"])
+            columns = [*(batch.column(c) for c in names[:-2]), pa.array(at.astype(np.int32)), pa.array(blocks)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    ids = pages.schema["page_id"].dataType.simpleString()
-    found = keyed.withColumn("hashes", F.transform("keys", key)).mapInArrow(work, f"page_id {ids}, host string, path string, keys array<string>, at int, blocks boolean")
-    rule = F.when(F.col("at") >= 0, F.get("keys", F.col("at")))
-    return found.select("page_id", "host", "path", rule.alias("rule"), F.when(F.col("at") < 0, F.lit(otherwise)).when(F.col("blocks"), "block").otherwise("allow").alias("verdict"))
+    return rows.mapInArrow(work, rows.schema)
