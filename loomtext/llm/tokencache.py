@@ -24,14 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.shared import stored
-
-#: Characters after which a long text is cut at the next white space, if the tokenizer drops it; and characters that are encoded at once.
-PIECE, BATCH = 1 << 15, 1 << 19
+from loomtext.llm.textbatch import slices
+
+#: Characters that are encoded at once.
+BATCH = 1 << 19
+#: Bytes of words and their counts that a worker remembers, about; then it begins anew. Longer words are not remembered.
+MEMO, LONG = 64 << 20, 256
+#: Bytes after which a very long text is cut at the next white space.
+PART = 1 << 20
 #: Missing contents up to this number are sent to all tasks (32 bytes each), so that only their texts are shuffled; more are joined.
 FEW = 500_000
 #: A content is hot if it is more than this part of all rows: so there are HOT - 1 of them at most, whatever the corpus.
 HOT = 1024
-SPACE = re.compile(r"[ \t-\r]")
+SPACE = re.compile(rb"[ \t-\r]")
 
 
 @dataclass(frozen=True)
@@ -61,7 +66,7 @@ class Tokenizer:
         first = ((self.spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         if steps != known or first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
             return False
-        return not regex.search(first["pattern"]["Regex"], " \t\n\v\f\r") and not any(SPACE.search(x) for x in self.added) and not any(x.get("lstrip") or x.get("rstrip") for x in self.spec["added_tokens"])
+        return not regex.search(first["pattern"]["Regex"], " \t\n\v\f\r") and not any(SPACE.search(x.encode()) for x in self.added) and not any(x.get("lstrip") or x.get("rstrip") for x in self.spec["added_tokens"])
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -86,15 +91,6 @@ def content(text: Column, of: Tokenizer) -> Column:
     return F.when(plain, lower).otherwise(spaced)
 
 
-def pieces(text: str) -> Iterator[str]:
-    """The text in parts of about PIECE characters that begin with white space."""
-    at = 0
-    while len(text) - at > PIECE and (space := SPACE.search(text, at + PIECE)):
-        yield text[at : space.start()]
-        at = space.start()
-    yield text[at:]
-
-
 _loaded: dict[str, object] = {}
 
 
@@ -118,20 +114,49 @@ def _counter(of: Tokenizer):
     return _loaded[of.digest]
 
 
-def lengths(texts: list[str], of: Tokenizer) -> list[int]:
-    """The number of tokens of each text. Of a tokenizer that drops white space a long text is counted piece by piece, so what is held is bounded."""
-    count, out, held, size = _counter(of), [0] * len(texts), [], 0
-    for i, text in enumerate(texts):
-        for piece in pieces(text) if of.folds else (text,):
-            held.append((i, piece))
-            size += len(piece)
-            if size >= BATCH:
-                for (k, _), n in zip(held, count([p for _, p in held]), strict=True):
-                    out[k] += n
-                held, size = [], 0
-    for (k, _), n in zip(held, count([p for _, p in held]), strict=True):
-        out[k] += n
-    return out
+def in_batches(texts: list[str], of: Tokenizer) -> list[int]:
+    count, out, at, size = _counter(of), [], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= BATCH:
+            out += count(texts[at : k + 1])
+            at, size = k + 1, 0
+    return out + count(texts[at:])
+
+
+def parts(text: bytes) -> Iterator[bytes]:
+    """The text cut at the first white space after every PART bytes."""
+    at = 0
+    while len(text) - at > PART and (space := SPACE.search(text, at + PART)):
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+class Words:
+    """Counts of whole texts by a tokenizer that drops white space: no token or added token's string reaches over ASCII white space, so a text has as many tokens as its words, and each distinct word is encoded once a worker (in a bounded memo)."""
+
+    def __init__(self, of: Tokenizer):
+        self.of, self.memo, self.held = of, {}, 0
+
+    def lengths(self, texts: list[bytes]) -> list[int]:
+        """Of very long texts part by part, so that not all of their words are held."""
+        if all(len(x) <= PART for x in texts):
+            return self.counted(texts)
+        return [sum(self.counted([p])[0] for p in parts(x)) for x in texts]
+
+    def counted(self, texts: list[bytes]) -> list[int]:
+        words = [x.split() for x in texts]
+        new = list(set().union(*words) - self.memo.keys())
+        own = dict(zip(new, in_batches([w.decode("utf-8", "replace") for w in new], self.of), strict=True))
+        self.memo |= own
+        out = [sum(map(self.memo.__getitem__, x)) for x in words]
+        for w in [w for w in new if len(w) > LONG]:
+            del self.memo[w]
+        self.held += sum(len(w) + 150 for w in new if len(w) <= LONG)  # 150: what an object and an entry take besides
+        if self.held > MEMO:
+            self.memo, self.held = {}, 0
+        return out
 
 
 def encoded(texts: DataFrame, of: Tokenizer) -> DataFrame:
@@ -139,11 +164,12 @@ def encoded(texts: DataFrame, of: Tokenizer) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(of)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n = lengths([x or "" for x in part.column("text").to_pylist()], shared.value)
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+        of = shared.value
+        words = Words(of) if of.folds else None
+        for part, _ in slices(batches):
+            texts = part.column("text")
+            n = words.lengths([x or b"" for x in texts.cast(pa.binary()).to_pylist()]) if words else in_batches([x or "" for x in texts.to_pylist()], of)
+            yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     return texts.select("digest", "text").mapInArrow(work, "digest binary, n_tokens long")
 

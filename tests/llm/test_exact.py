@@ -87,10 +87,18 @@ def test_hot_and_many_missing_contents(spark, tmp_path, monkeypatch, few):
     assert got == {i: 3 if i % 3 == 0 else 1 + len(str(i)) for i in range(3000)}
 
 
-def test_long_texts_are_cut_at_white_space_only():
-    text = ("word" * 20_000 + " tail ") * 3
-    parts = list(tokencache.pieces(text))
-    assert "".join(parts) == text and len(parts) > 2 and all(p[0] == " " for p in parts[1:])
+@pytest.mark.parametrize("memo", [0, 1 << 20])
+def test_words_are_remembered_within_bounds(monkeypatch, memo):
+    monkeypatch.setattr(tokencache, "MEMO", memo)
+    monkeypatch.setattr(tokencache, "BATCH", 100)
+    words = tokencache.Words(tokencache.tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    texts = [b"one two one", b"", b"x" * 300 + b" one", "é\u3000é\n<|endoftext|>one".encode()]
+    whole = tokencache.in_batches([x.decode() for x in texts], words.of)
+    assert words.lengths(texts) == whole == words.lengths(texts) and whole[:2] == [3, 0]
+    monkeypatch.setattr(tokencache, "PART", 5)
+    assert b"".join(tokencache.parts(texts[0])) == texts[0] and [len(p) for p in tokencache.parts(texts[0])] == [7, 4]
+    assert words.lengths(texts) == whole
+    assert set(words.memo) == (set() if memo == 0 else {b"one", b"two", "é\u3000é".encode(), b"<|endoftext|>one"})
 
 
 # --- clusters ---
