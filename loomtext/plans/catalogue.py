@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import arrays, text
-from loomtext.operators import chunking, context, features, folds, match, metrics, prompts, search
+from loomtext.operators import chunking, context, features, folds, index, match, metrics, prompts, search
 from loomtext.sources import readers, store
+from loomtext.sources.scratch import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -413,13 +414,44 @@ def two_stage_retrieval(spark, d):
     queries, docs = _text_queries(spark, d), t(spark, d, "documents")
     parents = search.bm25(docs, queries, {"text": 1.0}, 3).select("query_id", "doc_id")
     asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
-    chunks = search.restricted(_chunks(spark, d), parents, "query_id", "doc_id").join(asked, "query_id")
-    hits = chunks.select("query_id", "doc_id", "chunk_id", F.size(F.array_intersect(text.tokens(F.col("chunk_text")), "terms")).alias("score"))
-    hits = search.top(hits, "query_id", [F.desc("score"), F.col("chunk_id")], 20)
+    hits = search.chunk_hits(_chunks(spark, d), asked, parents, 20)
     out = search.parents_of(hits, docs, "query_id", "doc_id", "text", 2)
     return out.select("query_id", "doc_id", "hit_rank", "rank", F.length("text").cast("long").alias("parent_chars"))
 
 
+@query(f"""WITH {_BM25_SQL}, st1 AS (SELECT query_id, doc_id FROM bm WHERE rank <= 3 AND query_id % 3 > 0), {_CHUNKS_SQL},
+    ct AS (SELECT doc_id, chunk_id, list_distinct({_TOK.format('chunk_text')}) AS ts FROM ch), cu AS (SELECT doc_id, chunk_id, unnest(ts) AS term FROM ct),
+    sh AS (SELECT query_id, doc_id, chunk_id, CAST(count(*) AS DOUBLE) AS score FROM cu JOIN qt USING (term) GROUP BY ALL),
+    al AS (SELECT query_id, doc_id, chunk_id, coalesce(score, 0.0) AS score FROM st1 JOIN ch USING (doc_id) LEFT JOIN sh USING (query_id, doc_id, chunk_id)
+        UNION ALL SELECT query_id, doc_id, chunk_id, score FROM sh WHERE query_id NOT IN (SELECT query_id FROM st1)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM al) SELECT query_id, doc_id, chunk_id, score, rank FROM r WHERE rank <= 20""")
+def chunk_search_open(spark, d):
+    """Every third query has no parents, and so all chunks."""
+    queries, docs = _text_queries(spark, d), t(spark, d, "documents")
+    parents = search.bm25(docs, queries.where("query_id % 3 > 0"), {"text": 1.0}, 3).select("query_id", "doc_id")
+    asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
+    return search.chunk_hits(_chunks(spark, d), asked, parents, 20)
+
+
+@query(f"""WITH {_BM25_SQL}, u AS (SELECT 'benchmark' AS asker, query_id, doc_id, score, rank FROM bm WHERE rank <= 10),
+    q2 AS (SELECT DISTINCT conv_id AS query_id, unnest({_TOK.format('text')}) AS term FROM conversations WHERE turn = 0),
+    tf2 AS (SELECT doc_id, dl, term, count(*) AS tf FROM po WHERE term IN (SELECT term FROM q2) GROUP BY ALL), df2 AS (SELECT term, count(*) AS df FROM tf2 GROUP BY term),
+    sc2 AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_len))), 6) AS score FROM tf2 JOIN df2 USING (term) JOIN q2 USING (term), st GROUP BY ALL),
+    bm2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc2)
+    FROM u UNION ALL SELECT 'conversations' AS asker, query_id, doc_id, score, rank FROM bm2 WHERE rank <= 10""")
+def bm25_stored_index(spark, d):
+    """An index of all terms, written once, read again, and asked by two tables of queries."""
+    path = new_folder(spark)
+    index.write(index.build(t(spark, d, "documents"), "text", "doc_id"), path)
+    own = index.read(spark, path)
+    first = t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    hits = []
+    for asker, queries in (("benchmark", _text_queries(spark, d)), ("conversations", first)):
+        asked = queries.select("query_id", F.array_distinct(text.tokens(F.col("query"))).alias("terms"))
+        hits.append(search.bm25_indexed({"text": (own, 1.0)}, asked, 10).select(F.lit(asker).alias("asker"), F.col("query_id").cast("long").alias("query_id"), "doc_id", "score", "rank"))
+    return hits[0].unionByName(hits[1])
+
+
 # --- context
 
 
