@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.functions.batches import spans
 from loomtext.llm.shared import stored
-from loomtext.llm.textbatch import segments
 
 #: Components of a part, codewords of a part (a code is a byte), rows that codewords are fitted on (those with the smallest hashes), and rounds of fitting.
 WIDTH, WORDS, SAMPLE, ROUNDS = 2, 256, 4096, 6
@@ -198,28 +198,31 @@ def tiled(rows: DataFrame, anchors: DataFrame, blocks: int, words: dict[int, lis
     both = dealt.select(columns).unionByName(asking.select(columns)).repartition("dim", "block").sortWithinPartitions("dim", "block", "side")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, [[] for _ in range(5)]
-        for s in segments(batches, ("dim", "block", "side")):
-            dim = s.column("dim")[0].as_py()
-            key = (dim, s.column("block")[0].as_py())
-            if not s.column("side")[0].as_py():
-                block = (key, Block(s, dim))
+        names = ["anchor", "top", "score", "vec_id", "same"]
+        key, parts, block, held = None, [], None, [[] for _ in names]
+        for (dim, number, side), part in spans(batches, ("dim", "block", "side")):
+            if (dim, number) != key:
+                key, parts, block = (dim, number), [], None
+            if not side:
+                parts.append(part)
                 continue
-            if block is None or block[0] != key:
+            if block is None and parts:
+                block, parts = Block(pa.Table.from_batches(parts), dim), []
+            if block is None:
                 continue
-            vectors = unpacked(s.column("x"), "<i4", s.num_rows).astype(float)
+            vectors = unpacked(part.column("x"), "<i4", part.num_rows).astype(float)
             own = shared.value.get(dim)
-            for a, row in zip(vectors, s.select(["node", "vec_id", "label", "tops"]).to_pylist(), strict=True):
+            for a, row in zip(vectors, part.select(["node", "vec_id", "label", "tops"]).to_pylist(), strict=True):
                 tables = [w @ a[cut] for w, cut in zip(own, cuts(dim), strict=True)] if own else [np.zeros(1)] * len(cuts(dim))
-                for top, score, at in found(block[1], a, tables, row):
+                for top, score, at in found(block, a, tables, row):
                     if len(at):
-                        for h, v in zip(held, (np.full(len(at), row["node"]), np.full(len(at), top), score, block[1].ids[at], block[1].same[at]), strict=True):
+                        for h, v in zip(held, (np.full(len(at), row["node"]), np.full(len(at), top), score, block.ids[at], block.same[at]), strict=True):
                             h.append(v)
                 if len(held[0]) > 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)) for h in held], ["anchor", "top", "score", "vec_id", "same"])
-                    held = [[] for _ in range(5)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)) for h in held], names)
+                    held = [[] for _ in names]
         if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)) for h in held], ["anchor", "top", "score", "vec_id", "same"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)) for h in held], names)
 
     return both.mapInArrow(work, "anchor long, top long, score long, vec_id long, same long")
 
