@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.scan import Keys
+from loomtext.functions.batches import carried, column, spans
+from loomtext.functions.scan import Keys, Sieve, classes_of, sieve_hashes
 from loomtext.sources.readers import numbered_rows
+from loomtext.sources.scratch import stored
 
-#: Bytes of keys that are sent to every task at once; more go in several passes over the texts.
+#: Bytes of keys that are sent to every task as they are; of more keys a Sieve is.
 KEY_BYTES = 32 << 20
+#: Bits of each of a Sieve's two tables for a key, about, and the logarithm of how many there are at most (32 MB a table).
+KEY_BITS, MOST_BITS = 16, 28
+#: A key is hot if more than this part of all that was found is it: so there are fewer hot keys than that.
+HOT = 1024
 
 
 def keys_of(df: DataFrame, column: str, least: int, most: int | None = None) -> DataFrame:
@@ -22,44 +29,93 @@ def keys_of(df: DataFrame, column: str, least: int, most: int | None = None) ->
     return df.select(F.col(column).alias("key")).where(n.between(least, most) if most else n >= least).distinct()
 
 
-def _blocks(keys: DataFrame) -> int:
-    """How many parts of at most about KEY_BYTES the keys make."""
-    return 1 + (keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) // KEY_BYTES
+def _few(keys: DataFrame) -> bool:
+    """Whether the keys are small enough to be sent to every task."""
+    return (keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) <= KEY_BYTES
 
 
-def _scanned(texts: DataFrame, text: str, keep: list[str], keys: list[tuple], work) -> DataFrame:
-    """The columns `keep` of texts and a key, for what work(found occurrences of a batch, keys) yields as (row, key)."""
+def digest(key: Column) -> Column:
+    return F.unhex(F.sha2(key.cast("binary"), 256))
+
+
+def sieve(keys: DataFrame) -> Sieve:
+    """Of a table of keys: its tables are filled by tasks and joined by OR; what comes to the driver is bounded by their size."""
+    sizes = keys.where("key <> ''").agg(F.collect_set(F.octet_length("key")), F.count("*")).first()  # as many lengths as the longest key is long, at most
+    bits = min(MOST_BITS, max(10, math.ceil(math.log2(max(1, sizes[1]) * KEY_BITS))))
+    out = Sieve(bits, classes_of(np.array(sizes[0], np.int64)), *(np.zeros(1 << bits >> 6, np.uint64) for _ in range(2)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for which, h in enumerate(sieve_hashes(batch.column("key"))):
+                spots = np.concatenate(Sieve.spots(h, bits))
+                word, one = spots >> 6, np.uint64(1) << (spots & 63).astype(np.uint64)
+                at, place = np.unique(word, return_inverse=True)
+                value = np.zeros(len(at), np.uint64)
+                np.bitwise_or.at(value, place, one)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), which, np.int32)), pa.array(at), pa.array(value.view(np.int64))], ["which", "at", "bits"])
+
+    words = keys.select("key").mapInArrow(work, "which int, at long, bits long").groupBy("which", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    which, at, value = (words.column(c).to_numpy() for c in ("which", "at", "bits"))
+    for k, table in enumerate((out.heads, out.whole)):
+        table[at[which == k]] = value[which == k].view(np.uint64)
+    return out
+
+
+def _sent(texts: DataFrame, text: str, keep: list[str], keys: list[tuple], work) -> DataFrame:
+    """The columns `keep` of texts and a key, for the (rows, numbers of keys) that work() makes of what is found in a batch."""
     shared = texts.sparkSession.sparkContext.broadcast(keys)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         own = shared.value
         known = Keys([k for k, *_ in own])
         for batch in batches:
-            hits = list(work(known.found(batch.column("__text")), own))
-            if hits:
-                rows = pa.array([r for r, _ in hits], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), pa.array([k for _, k in hits], pa.string())], [*keep, "key"])
+            row, key = work(*known.found(batch.column("text")), own)
+            if len(row):
+                yield batch.take(pa.array(row)), [pa.array([own[k][0] for k in key.tolist()], pa.string())]
 
-    plain = texts.select(*keep, F.col(text).alias("__text"))
-    return plain.mapInArrow(scan, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1]), "key string"]))
+    return carried(texts, keep, {"text": F.col(text)}, "key string", scan)
+
+
+def _passing(texts: DataFrame, text: str, keep: list[str], keys: DataFrame) -> DataFrame:
+    """The columns `keep` of texts, `at` and `digest` of every run of bytes that passes the sieve of the keys. Texts are read once."""
+    shared = texts.sparkSession.sparkContext.broadcast(sieve(keys))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for batch in batches:
+            row, at, digests = shared.value.found(batch.column("text"))
+            if len(row):
+                yield batch.take(pa.array(row)), [pa.array(at), pa.array(digests, pa.binary())]
+
+    return carried(texts, keep, {"text": F.col(text)}, "at long, digest binary", scan)
+
+
+def _named(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `found` whose digest is a key's, with the columns of keys. A key that very much of it is would be one task's work; such keys are few, and are broadcast."""
+    keys = keys.withColumn("digest", digest(F.col("key")))
+    many = stored(found.groupBy("digest").count())
+    hot = many.where(F.col("count") * HOT > (many.agg(F.sum("count")).first()[0] or 0)).select("digest")
+    often = keys.join(F.broadcast(hot), "digest", "left_semi")
+    usual = found.join(F.broadcast(hot), "digest", "left_anti").join(keys, "digest")
+    return found.join(F.broadcast(often), "digest").unionByName(usual).drop("digest")
 
 
 def containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str, *more: str) -> DataFrame:
-    """(text_id, more columns, key) for each key (none is empty) that the text contains; exact, each once.
+    """(text_id, more columns, key) for each key (an empty one is never found) that the text contains; exact, each once.
 
-    A text is read once for about KEY_BYTES of keys: runs of bytes that may begin a key are found by their hashes, and
-    compared with the keys that do begin so, in the same task. Only what is found is shuffled.
+    Texts are read once. Up to KEY_BYTES of keys go to every task, which finds and compares them where it reads a text. Of more keys
+    a sieve of bounded size goes there: runs of bytes that pass it are known by their SHA-256, and are joined with the keys'.
+    Only what is found is shuffled.
     """
+    keep, keys = [text_id, *more], keys.select("key").where("key <> ''").distinct()
+    if not _few(keys):
+        found = stored(_passing(texts, text, keep, keys).drop("at").distinct())
+        return _named(found, keys).select(*map(column, keep), "key")
 
-    def once(found, own) -> Iterator[tuple[int, str]]:
-        yield from {(r, own[k][0]): None for r, _, k in found}
+    def once(row: np.ndarray, _, key: np.ndarray, own: list) -> tuple[np.ndarray, np.ndarray]:
+        pair = np.unique(row * len(own) + key)
+        return pair // max(1, len(own)), pair % max(1, len(own))
 
-    blocks = _blocks(keys)
-    parts = []
-    for b in range(blocks):
-        block = keys.select("key").where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).distinct()
-        parts.append(_scanned(texts, text, [text_id, *more], [(r["key"],) for r in block.toLocalIterator()], once))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return _sent(texts, text, keep, [(r["key"],) for r in keys.toLocalIterator()], once).distinct()
 
 
 def nested_containment(texts: DataFrame, keys: DataFrame, text_id: str, text: str, few: int = 2000) -> DataFrame:
@@ -69,32 +125,53 @@ def nested_containment(texts: DataFrame, keys: DataFrame, text_id: str, text: st
     return texts.join(F.broadcast(keys), F.col(text).contains(F.col("key"))).select(text_id, "key").distinct()
 
 
+def leftmost(row: np.ndarray, at: np.ndarray, rank: np.ndarray, size: np.ndarray, chunk: int) -> np.ndarray:
+    """Which occurrences matching from left to right takes, of each row and chunk of ranks: of those that begin at one place the first in rank, then the next that doesn't overlap."""
+    order = np.lexsort((rank, at, rank // chunk, row))
+    taken, before, end = [], None, 0
+    for k, r, c, a, n in zip(order.tolist(), row[order].tolist(), (rank // chunk)[order].tolist(), at[order].tolist(), size[order].tolist(), strict=True):
+        if before != (r, c):
+            before, end = (r, c), 0
+        if a >= end:
+            end = a + n
+            taken.append(k)
+    return np.array(taken, np.int64)
+
+
 def alternation(texts: DataFrame, keys: DataFrame, text_id: str, text: str, chunk: int = 1000) -> DataFrame:
     """Keys that leftmost, non-overlapping matching finds, longest key first within a chunk of so many keys: a subset of containment(), with a row for every match.
 
     Keys are numbered by length and text; those of a chunk are matched as one pattern of alternatives would, but from the
-    occurrences that a scan of the text gives, so no pattern is built, whatever the number of keys.
+    occurrences that a scan of the text gives, so no pattern is built, whatever the number of keys. As containment() does, texts are read once.
     """
-    ranked = numbered_rows(keys.select("key").distinct().withColumn("__n", -F.length("key")), ["__n", "key"], "__rank").drop("__n")
-
-    def leftmost(found, own) -> Iterator[tuple[int, str]]:
-        by: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for r, at, k in found:
-            by.setdefault((r, own[k][1] // chunk), []).append((at, own[k][1], k))
-        for (r, _), hits in sorted(by.items()):
-            end = 0
-            for at, _, k in sorted(hits):
-                if at >= end:
-                    end = at + len(own[k][0].encode())
-                    yield r, own[k][0]
-
-    last = (ranked.agg(F.max("__rank")).first()[0] or 0) // chunk
-    size = max(1, (last + 1) // _blocks(keys))  # chunks of a pass
-    parts = []
-    for first in range(0, last + 1, size):
-        own = ranked.where(F.col("__rank").between(first * chunk, (first + size) * chunk - 1))
-        parts.append(_scanned(texts, text, [text_id], [(r["key"], r["__rank"]) for r in own.toLocalIterator()], leftmost))
-    return reduce(DataFrame.unionByName, parts)
+    distinct = keys.select("key").where("key <> ''").distinct().withColumn("__n", -F.length("key"))
+    ranked = numbered_rows(distinct, ["__n", "key"], "__rank").drop("__n")
+    if _few(ranked):
+
+        def taken(row: np.ndarray, at: np.ndarray, key: np.ndarray, own: list) -> tuple[np.ndarray, np.ndarray]:
+            rank, size = (np.array([f(x) for x in own], np.int64)[key] for f in (lambda x: x[1], lambda x: len(x[0].encode())))
+            first = leftmost(row, at, rank, size, chunk)
+            return row[first], key[first]
+
+        return _sent(texts, text, [text_id], [(r["key"], r["__rank"]) for r in ranked.toLocalIterator()], taken)
+    rows = texts.select(F.monotonically_increasing_id().alias("__row"), text_id, text)
+    found = _named(stored(_passing(rows, text, ["__row", text_id], ranked)), ranked)
+    found = found.select("__row", (F.col("__rank") / chunk).cast("long").alias("chunk"), "at", "__rank", F.octet_length("key").cast("long").alias("size"), F.col(text_id).alias("id"), "key")
+    found = found.repartition("__row", "chunk").sortWithinPartitions("__row", "chunk", "at", "__rank")
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, end = None, 0
+        for own, part in spans(batches, ("__row", "chunk")):
+            if own != before:
+                before, end = own, 0
+            taken = []
+            for k, (a, n) in enumerate(zip(part.column("at").to_pylist(), part.column("size").to_pylist(), strict=True)):
+                if a >= end:
+                    end = a + n
+                    taken.append(k)
+            yield part.take(pa.array(taken, pa.int64()))
+
+    return found.mapInArrow(in_order, found.schema).select(F.col("id").alias(text_id), "key")
 
 
 def longest_match(texts: DataFrame, keys: DataFrame, text_id: str, text: str) -> DataFrame:
