@@ -187,7 +187,7 @@ def changelog_stream(spark, d):
 def _round_trip(spark, df: DataFrame, write, read) -> DataFrame:
     path = new_folder(spark)
     write(df, path)
-    return read(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    return read(spark, path, df._jdf.schema().toDDL())
 
 
 @query("""SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import arrays, text
-from loomtext.operators import context, features, match, metrics, prompts
+from loomtext.operators import context, crawl, features, match, metrics, prompts
 from loomtext.plans.catalogue import _CHOICES_SQL, _KEYS_SQL, _NORM_SQL, _PRED_SQL, _choices, _predicted, query, t
-from loomtext.sources import readers, store
+from loomtext.sources import cursor, readers, store, versions
 from loomtext.sources.scratch import new_folder
+from loomtext.streaming import changelog
 
 
 def ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    """The columns, with names quoted where they need it, nested ones too."""
+    return df._jdf.schema().toDDL()
 
 
 # --- sources and sinks
@@ -60,10 +63,75 @@ def all_splits(spark, d):
     return readers.splits(spark, [f"{d}/orders.parquet", f"{d}/orders.parquet"]).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
 
 
-@query("""SELECT count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS total FROM region""")
+@query("""WITH p AS (SELECT *, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // (SELECT greatest(1, (count(*) + 7) // 8) FROM orders) AS page FROM orders)
+    SELECT CAST(page AS INTEGER) AS page, count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most, round(sum(o_totalprice), 2) AS total FROM p GROUP BY page""")
 def cursor_scan(spark, d):
-    seen = [r["r_regionkey"] for r in readers.rows_of(t(spark, d, "region"))]
-    return spark.createDataFrame([(len(seen), sum(seen))], "n long, total long")
+    """`orders` in eight pages by date and key: the first four, then the others from a token on, as another process would."""
+    order = ["o_orderdate", "o_orderkey"]
+    rows = cursor.ranged(t(spark, d, "orders").select(*order, "o_totalprice"), order, new_folder(spark))
+    size = max(1, (rows.count() + 7) // 8)
+    pages, token = [], None
+    for _ in range(4):
+        page, token = cursor.Cursor(rows, order, size).page(token)
+        pages.append(page)
+        if token is None:
+            break
+    pages += cursor.Cursor(rows, order, size).pages(token) if token else []
+    facts = [p.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("page", F.lit(k)) for k, p in enumerate(pages)]
+    return reduce(DataFrame.unionByName, facts).where("n > 0")
+
+
+@query(r"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+    u AS (SELECT page_id, regexp_extract(url, '^[^#]*') AS url, regexp_extract(url, '^https?://[^/?#]*') AS root, regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)/', 1), '^(.*)/', 1) AS above, html FROM pages),
+    l AS (SELECT a.url AS at, b.url AS to FROM u a, n, u b WHERE b.page_id = (2 * a.page_id + 1) % n OR b.page_id = (3 * a.page_id + 2) % n
+        UNION SELECT url, root || above || '/' || page_id || '/x?y=1' FROM u
+        UNION SELECT url, regexp_extract(root || replace(unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)), '&amp;', '&'), '^[^#]*') FROM u),
+    r(url, depth) AS (SELECT url, 0 FROM u WHERE page_id = 0 UNION SELECT l.to, depth + 1 FROM r JOIN l ON r.url = l.at WHERE depth < 6)
+    SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+def crawl_frontier(spark, d):
+    """What six steps from the first page reach, where each page also links to two others and up: by protocol-relative, absolute and relative addresses."""
+    pages = t(spark, d, "pages")
+    n, rows = pages.count(), pages
+    for name, factor, more in (("a", 2, 1), ("b", 3, 2)):
+        other = pages.select(F.col("page_id").alias(f"__{name}"), F.col("url").alias(name))
+        rows = rows.withColumn(f"__{name}", (F.col("page_id") * factor + more) % n).join(other, f"__{name}")
+    scheme = F.regexp_extract("url", "^[a-z]+:", 0)
+    a = F.when(F.startswith("a", scheme), F.substring("a", F.length(scheme) + 1, F.length("a"))).otherwise(F.col("a"))
+    b = F.replace("b", F.lit("&"), F.lit("&amp;"))
+    more = ["<A class=x HREF='", a, "'>a</A> <a href=\"", F.concat(b, F.when(F.contains("b", F.lit("#")), "").otherwise("#part")), '">b</a> <a href=../', F.col("page_id").cast("string"), '/./x?y=1>c</a> <a href="mailto:x@example.com">d</a>']
+    html = F.concat("html", *(F.lit(x) if isinstance(x, str) else x for x in more))
+    return crawl.reached(rows.select("url", html.alias("html")), pages.where("page_id = 0"), 6)
+
+
+#: What is done to the orders: version 2 changes every tenth, 3 deletes every fifteenth, 4 compacts, 5 adds late records, 6 restores 2, 7 deletes by customer.
+@query("""WITH v2 AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END::BIGINT AS seq FROM orders)
+    SELECT 1 AS version, o_orderkey, o_custkey, o_orderstatus, 1::BIGINT AS seq FROM orders UNION ALL SELECT 5, * FROM v2 WHERE o_orderkey % 15 <> 0 UNION ALL SELECT 7, * FROM v2 WHERE o_custkey % 4 <> 0""")
+def versioned_store(spark, d):
+    table = versions.Versions(spark, new_folder(spark), "o_orderkey", "seq")
+    base = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.lit(1).cast("long").alias("seq"), F.lit(False).alias("_deleted"))
+    changed = lambda condition, seq, **to: base.where(condition).withColumns({"seq": F.lit(seq).cast("long"), **{k: F.lit(v) for k, v in to.items()}})
+    table.commit(base)
+    table.commit(changed("o_orderkey % 10 = 0", 2, o_orderstatus="X"))
+    table.commit(changed("o_orderkey % 15 = 0", 3, _deleted=True))
+    table.compact()
+    table.commit(changed("o_orderkey % 15 = 0", 1, o_orderstatus="late"))
+    table.restore(2)
+    table.commit(changed("o_custkey % 4 = 0", 9, _deleted=True))
+    return reduce(DataFrame.unionByName, [table.read(v).withColumn("version", F.lit(v)) for v in (1, 5, 7)])
+
+
+@query("""SELECT user_id, seq, event_type, value FROM (SELECT user_id, event_id AS seq, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'""")
+def changelog_keyed_stream(spark, d):
+    """As changelog_replay, from a stream with the last record of each user as state, which stops and starts again between the halves of a log in no order; the table and the copy of the log that it keeps agree."""
+    folder, e = new_folder(spark), t(spark, d, "events")
+    records = e.select("user_id", F.col("event_id").alias("seq"), "event_type", "value", (F.col("event_type") == "error").alias("_deleted"))
+    table = versions.Versions(spark, f"{folder}/table", "user_id", "seq")
+    for part in (1, 0):
+        readers.write_jsonl(records.where(F.pmod(F.xxhash64("seq"), F.lit(2)) == part), f"{folder}/log", append=True)
+        log = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 64).json(f"{folder}/log")
+        changelog.follow_keyed(log, "user_id", "seq", table, f"{folder}/copy", f"{folder}/progress").awaitTermination()
+    copy = store.replay(spark.read.schema(records.schema).json(f"{folder}/copy").drop("batch"), "user_id", "seq").select("user_id", "seq", "event_type", "value")
+    return table.read().select(copy.columns).intersect(copy)
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)""")

@@ -60,6 +60,13 @@ def jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], StructType.fromDDL(schema))
 
 
+def jsonl_in_order(spark: SparkSession, path: str, schema: str | StructType, line: str = "line") -> DataFrame:
+    """JSON lines with a column that orders them as they were written: by the time and name of the file, then by place in it."""
+    rows = spark.read.schema(schema).json(path)
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return rows.select(*rows.columns, at.alias(line))
+
+
 def splits(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All splits of a data set."""
     return spark.read.parquet(*paths)

@@ -8,11 +8,22 @@ from pyspark.sql import functions as F
 from loomtext.sources.readers import jsonl_lenient, write_jsonl, write_summary
 
 
-def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
-    """The last record of each key. Aggregated, not sorted: a key with very many changes is reduced before the shuffle."""
-    others = [c for c in log.columns if c != seq]
+def tie(columns: list[str]) -> Column:
+    """A number that tells apart records with one seq by what they hold, the same in any layout of the log."""
+    return F.xxhash64(F.to_json(F.struct(*columns)))
+
+
+def latest(log: DataFrame, key: str, seq: str, line: str | None = None) -> DataFrame:
+    """The last record of each key. Aggregated, not sorted: a key with very many changes is reduced before the shuffle.
+
+    Of records with one seq that of the last `line` counts (a column, as readers.jsonl_in_order() has it, which is dropped); without one, a hash of
+    the record decides, so that the result doesn't depend on how the log is dealt to tasks.
+    """
+    columns = [c for c in log.columns if c != line]
+    others = [c for c in columns if c != seq]
     rows = log.where(F.col(key).isNotNull())
-    return rows.groupBy(key).agg(F.max_by(F.struct(*log.columns), seq).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in [*others, seq]))
+    order = F.struct(F.col(seq), F.col(line) if line else tie(columns))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in [*others, seq]))
 
 
 def replay(log: DataFrame, key: str, seq: str, required: str | None = None, parent: str | None = None, compat: bool = False) -> DataFrame:
