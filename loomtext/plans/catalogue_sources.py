@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions import arrays, text
+from loomtext.functions import arrays, lattice, text
 from loomtext.operators import context, crawl, features, match, metrics, prompts
 from loomtext.plans.catalogue import _CHOICES_SQL, _KEYS_SQL, _NORM_SQL, _PRED_SQL, _choices, _predicted, query, t
 from loomtext.sources import cursor, readers, store, versions
@@ -39,9 +39,13 @@ def csv_with_index(spark, d):
     return readers.csv(spark, path, f"index long, {ddl(rows)}")
 
 
-@query("""SELECT count(*) AS n FROM documents WHERE false""")
+@query("""SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang""")
 def csv_absent(spark, d):
-    return readers.csv_or_empty(spark, f"{new_folder(spark)}/absent", "doc_id long").agg(F.count("*").alias("n"))
+    """Of three files, of which one is there, the absent ones give no rows."""
+    folder, rows = new_folder(spark), t(spark, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang")
+    readers.write_csv(rows.select(F.lit(0).alias("index"), *rows.columns), f"{folder}/b")
+    parts = [readers.csv_or_empty(spark, f"{folder}/{name}", ddl(rows), "index") for name in "abc"]
+    return reduce(DataFrame.unionByName, parts).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT conv_id, turn, role, text FROM conversations""")
@@ -148,14 +152,16 @@ def children_of_parent(spark, d):
     return readers.children(orders, "o_custkey", orders.agg(F.max("o_custkey")).first()[0], "o_orderkey")
 
 
-@query("""SELECT unnest(['a.csv', 'b.csv']) AS name""")
+@query("""SELECT DISTINCT lang || '.csv' AS name FROM documents WHERE lang IS NOT NULL""")
 def listed_files(spark, d):
-    folder = new_folder(spark)
-    for name in ("b.csv", "a.csv", "c.txt"):
-        t(spark, d, "region").select("r_name").write.text(f"{folder}/{name}")
-    names = [n for n in ("b.csv", "a.csv") if readers.listed(spark, f"{folder}/{n}", "part-*")]
-    assert readers.listed(spark, f"{folder}/none") == []
-    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    """A folder for each language, and one of another kind; those that hold files of the kind are listed."""
+    folder, rows = new_folder(spark), t(spark, d, "documents").where("lang IS NOT NULL")
+    names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    for name in names:
+        rows.where(F.col("lang") == name).select("doc_id").write.csv(f"{folder}/{name}.csv")
+    rows.select(F.col("doc_id").cast("string")).write.text(f"{folder}/none.csv")
+    found = [f"{n}.csv" for n in [*names, "none", "absent"] if readers.listed(spark, f"{folder}/{n}.csv", "part-*.csv")]
+    return spark.createDataFrame([(n,) for n in found], "name string")
 
 
 @query("""SELECT count(*) AS rows, max(o_totalprice) AS most FROM orders""")
@@ -165,12 +171,14 @@ def sidecar(spark, d):
     return spark.read.schema("rows long, most double").json(path)
 
 
-@query("""SELECT 0::BIGINT AS n""")
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0""")
 def cleared_log(spark, d):
-    path, rows = new_folder(spark), t(spark, d, "nation").select("n_nationkey", "n_name")
+    """A log that is cleared holds what is written afterwards, and that only."""
+    path, rows = new_folder(spark), t(spark, d, "orders").select("o_orderkey", "o_custkey")
     readers.write_jsonl(rows, path)
     readers.clear(spark, [path])
-    return readers.jsonl_lenient(spark, path, ddl(rows)).agg(F.count("*").alias("n"))
+    readers.write_jsonl(rows.where("o_orderkey % 3 = 0"), path, append=True)
+    return readers.jsonl_lenient(spark, path, ddl(rows))
 
 
 @query("""SELECT n_nationkey, n_name, 2::BIGINT AS times FROM nation""")
@@ -200,10 +208,10 @@ def write_through(spark, d):
     return both[0].intersect(both[1])
 
 
-@query("""SELECT true AS made, 25::BIGINT AS rows, false AS after""")
+@query("""SELECT true AS made, count(*) AS rows, false AS after FROM orders""")
 def table_status(spark, d):
     name, folder = f"loomtext_{uuid.uuid4().hex}", new_folder(spark)
-    rows = t(spark, d, "nation").select("n_nationkey", "n_name")
+    rows = t(spark, d, "orders").select("o_orderkey", "o_custkey")
     made = store.create(spark, name, ddl(rows), location=folder)
     rows.write.mode("append").saveAsTable(name)
     before = store.status(spark, name)
@@ -387,3 +395,14 @@ def provenance_alternation(spark, d):
     from loomtext.plans.catalogue import _docs, _keys
 
     return match.alternation(_docs(spark, d), _keys(spark, d), "doc_id", "norm", 500)
+
+
+@query()
+def morpheme_counts(spark, d):
+    """How many words of each document's runs of letters a dictionary knows: the 2,000 most frequent words of the benchmark, cheaper the more frequent they are. Held against all segmentations in the tests."""
+    words = t(spark, d, "benchmark").select(F.explode(text.tokens(F.col("text"), "a-z")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("length(w) BETWEEN 2 AND 12").orderBy(F.desc("n"), "w").limit(2000).collect()
+    known = lattice.Dictionary.of([(r["w"], "W", 1.0 + 8.0 / (1 + r["n"])) for r in words], unknown=(2.0, 2.5))
+    found = lattice.morphemes(t(spark, d, "documents"), "text", known, ["doc_id"], letters="a-z", other="0-9")
+    known_word, stretch = F.col("m.tag") == "W", F.col("m.tag") == lattice.UNKNOWN
+    per = found.select("doc_id", F.explode_outer("morphemes").alias("m")).groupBy("doc_id")
+    return per.agg(F.count_if(known_word).alias("known"), F.count_if(stretch).alias("unknown"), F.count_distinct(F.when(known_word, F.col("m.form"))).alias("forms"))
