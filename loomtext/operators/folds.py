@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomtext.functions.arrays import moved
+from loomtext.functions.batches import spans
 from loomtext.sources.readers import numbered_rows
+from loomtext.sources.scratch import stored
+
+#: Kinds of groups that the driver settles, and a task.
+KINDS = 10_000
 
 
 def dense_ids(df: DataFrame, column: str, out: str = "group_id") -> DataFrame:
@@ -93,58 +101,84 @@ def quota(df: DataFrame, key: str, first: int, eval_fold: int, n_folds: int, see
     return rows.withColumn("fold", fold).drop("__all", "__at")
 
 
-def _dealt(vectors: list[tuple[list[int], int]], n_folds: int) -> list[list[int]]:
-    """Of each (counts of labels, groups that have them), in turn, how many groups go to each fold: each where label shares stay most even; of thousands of like groups, a thousandth of the rest at a time."""
-    width = len(vectors[0][0]) if vectors else 0
-    total = [sum(v[k] * n for v, n in vectors) for k in range(width)]
-    have = [[0] * width for _ in range(n_folds)]
-    out = []
-    for v, n in vectors:
+class Loads:
+    """How much of each label the folds have, and where a group's labels leave the shares most even. Only the labels of a group are looked at, however many there are."""
+
+    def __init__(self, total: np.ndarray, n_folds: int, have: np.ndarray | None = None):
+        self.total, self.have = np.maximum(total, 1e-9), np.zeros((len(total), n_folds)) if have is None else have.astype(float)
+        self.sizes = self.have.sum(0)
+
+    def deal(self, labels: np.ndarray, counts: np.ndarray, groups: int) -> list[int]:
+        """How many of so many like groups go to each fold, in turn; of thousands, a thousandth of the rest at a time."""
+        n_folds = self.have.shape[1]
         given = [0] * n_folds
-        while n:
-            step = max(1, n // 1000)
-
-            def unevenness(f: int, v=v, step=step) -> tuple[float, int]:
-                spread = 0.0
-                for k in range(width):
-                    shares = [(have[i][k] + (step * v[k] if i == f else 0)) / total[k] for i in range(n_folds)]
-                    m = sum(shares) / n_folds
-                    spread += (sum((s - m) ** 2 for s in shares) / n_folds) ** 0.5
-                return round(spread / width, 12), sum(have[f])
-
-            best = min(range(n_folds), key=unevenness)
-            have[best] = [a + step * b for a, b in zip(have[best], v, strict=True)]
+        while groups:
+            step = max(1, groups // 1000)
+            shares = self.have[labels] / self.total[labels][:, None]
+            more = step * counts / self.total[labels]
+            tried = shares[None] + more[None, :, None] * np.eye(n_folds)[:, None, :]
+            spread = np.round((tried.std(2) - shares.std(1)[None]).sum(1), 12)
+            best = int(np.lexsort((np.arange(n_folds), self.sizes, spread))[0])
+            self.have[labels, best] += step * counts
+            self.sizes[best] += step * counts.sum()
             given[best] += step
-            n -= step
-        out.append(given)
-    return out
+            groups -= step
+        return given
+
+
+def _ends(loads: Loads, labels: list[list[int]], counts: list[list[int]], groups: list[int]) -> list[list[int]]:
+    """Of each kind, in turn, up to which of its groups each fold reaches."""
+    return [np.cumsum(loads.deal(np.array(v, np.int64), np.array(c, float), n)).tolist() for v, c, n in zip(labels, counts, groups, strict=True)]
 
 
 def stratified_group_folds(df: DataFrame, group: str, label: str, n_folds: int, seed: str) -> DataFrame:
     """(group, fold): each group, those with the most uneven labels first, goes where label shares stay most even.
 
-    The choice is sequential by nature, but groups with the same counts of labels are alike: only the distinct counts, and
-    how many groups have them, come to the driver, which decides how many of these go to each fold. Which ones do follows
-    from a shuffled order that is numbered on the cluster.
+    The choice is sequential by nature, but groups with the same counts of labels are of one kind, and only how many of a kind go to each
+    fold is chosen; which ones follows from a shuffled order that is numbered on the cluster. The KINDS most uneven kinds
+    are settled one after another. If there are more (there are many labels), the others are dealt to so many tasks that each
+    has about KINDS of them, a fair sample; a task goes on from its share of the loads so far. What comes to the driver
+    is KINDS kinds and a few numbers for each label.
     """
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
-    groups = counts.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("__c"))
-    rows = groups.groupBy("__c").agg(F.count("*").alias("groups")).collect()
-    labels = sorted({x["label"] for r in rows for x in r["__c"]}, key=str)
+    totals = counts.groupBy(label).agg(F.sum("n").alias("n")).collect()  # a row a label
+    labels = sorted((r[label] for r in totals), key=str)
+    width = max(1, len(labels))
+    total = np.zeros(width)
     at = {v: k for k, v in enumerate(labels)}
-    vectors = []
-    for r in rows:
-        v = [0] * len(labels)
-        for x in r["__c"]:
-            v[at[x["label"]]] = x["n"]
-        mean = sum(v) / len(v)
-        vectors.append((sum((x - mean) ** 2 for x in v), v, r))
-    vectors.sort(key=lambda x: (-x[0], x[1]))
-    given = _dealt([(v, r["groups"]) for _, v, r in vectors], n_folds)
-    ends = [(r["__c"], [sum(g[: f + 1]) for f in range(n_folds)]) for (_, _, r), g in zip(vectors, given, strict=True)]
-    schema = T.StructType([T.StructField("__c", groups.schema["__c"].dataType), T.StructField("__ends", T.ArrayType(T.LongType()))])
-    to = df.sparkSession.createDataFrame(ends, schema).withColumnRenamed("__c", "__to")
-    rows = placed(groups, "__c", group, seed, "__at").join(F.broadcast(to), F.col("__c").eqNullSafe(F.col("__to")))
+    for r in totals:
+        total[at[r[label]]] = r["n"]
+    index = df.sparkSession.createDataFrame([(v, k) for v, k in at.items()], T.StructType([T.StructField("__v", df.schema[label].dataType), T.StructField("__at", T.IntegerType())]))
+    numbered = counts.join(F.broadcast(index) if width <= KINDS else index, F.col(label).eqNullSafe(F.col("__v"))).select(group, "__at", "n")
+    groups = numbered.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), "n"))).alias("__c"))
+    groups = stored(groups.select(group, "__c", F.md5(F.to_json("__c")).alias("__kind")))
+    squares, whole = F.aggregate("__c", F.lit(0.0), lambda s, x: s + x["n"] * x["n"]), F.aggregate("__c", F.lit(0.0), lambda s, x: s + x["n"])
+    kinds = groups.groupBy("__kind").agg(F.count("*").alias("groups"), F.first("__c").alias("__c")).withColumn("__uneven", -F.round(squares - whole * whole / width, 9))
+    kinds = stored(kinds)
+    order = ["__uneven", "__kind"]
+    first = kinds.orderBy(*order).limit(KINDS).collect()
+    loads = Loads(total, n_folds)
+    schema = T.StructType([T.StructField("__to", T.StringType()), T.StructField("__ends", T.ArrayType(T.LongType()))])
+    ends = _ends(loads, *([[x[k] for x in r["__c"]] for r in first] for k in ("at", "n")), [r["groups"] for r in first])
+    to = F.broadcast(df.sparkSession.createDataFrame([(r["__kind"], e) for r, e in zip(first, ends, strict=True)], schema))
+    n = kinds.count()
+    if n > KINDS:
+        last = first[-1]
+        rest = kinds.where((F.col("__uneven") > last["__uneven"]) | ((F.col("__uneven") == last["__uneven"]) & (F.col("__kind") > last["__kind"])))
+        tasks = -(-(n - KINDS) // KINDS)
+        shared = df.sparkSession.sparkContext.broadcast((total, loads.have / tasks))
+        rows = rest.select(F.pmod(F.xxhash64("__kind"), F.lit(tasks)).cast("int").alias("task"), *order, "groups", F.col("__c.at").alias("labels"), F.col("__c.n").alias("counts"))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, mine = None, None
+            for (task,), part in spans(batches, ("task",)):
+                if task != own:
+                    own, mine = task, Loads(shared.value[0], n_folds, shared.value[1])
+                found = _ends(mine, *(part.column(c).to_pylist() for c in ("labels", "counts", "groups")))
+                yield pa.RecordBatch.from_arrays([part.column("__kind"), pa.array(found, pa.list_(pa.int64()))], schema.names)
+
+        to = to.unionByName(rows.repartition("task").sortWithinPartitions("task", *order).mapInArrow(work, schema))
+    rows = placed(groups.drop("__c"), "__kind", group, seed, "__at").join(to, F.col("__kind") == F.col("__to"))
     return rows.select(group, F.size(F.filter("__ends", lambda e: e <= F.col("__at"))).cast("int").alias("fold"))
 
 

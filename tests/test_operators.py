@@ -198,6 +198,31 @@ def test_stratified_groups_stay_on_the_cluster(spark, monkeypatch):
         assert max(n) - min(n) <= 4
 
 
+def test_stratified_groups_of_many_labels(spark, monkeypatch):
+    """500 labels, nearly as many kinds of groups as groups: settled in tasks, with a bounded collect; each label as even as its groups allow."""
+    monkeypatch.setattr(folds, "KINDS", 600)
+    rng = random.Random(5)
+    rows = [(g, f"l{rng.randint(0, 499)}" if rng.random() < 0.99 else None) for g in range(6000) for _ in range(rng.randint(1, 6))]
+    df = spark.createDataFrame(rows, "g long, l string")
+    most = []
+    frame, whole = type(df), type(df).collect
+    monkeypatch.setattr(frame, "collect", lambda self: (most.append(len(r := whole(self))), r)[1])
+    assigned = folds.stratified_group_folds(df, "g", "l", 5, "s")
+    monkeypatch.setattr(frame, "collect", whole)
+    assert max(most) <= 600
+    got = {r.g: r.fold for r in assigned.collect()}
+    assert len(got) == assigned.count() == 6000 and set(got.values()) == set(range(5))
+    of_label = {}
+    for g, label in rows:
+        of_label.setdefault(label, [0] * 5)[got[g]] += 1
+    sizes = [sum(c[k] for c in of_label.values()) for k in range(5)]
+    assert max(sizes) - min(sizes) < 0.02 * len(rows)
+    chance = np.sqrt(0.16 / np.array([sum(c) for c in of_label.values()]))  # of a share that groups get by chance
+    spread = np.array([np.std(np.array(c) / sum(c)) for c in of_label.values()])
+    assert spread.mean() < 0.75 * chance.mean()
+    assert folds.stratified_group_folds(df.limit(0), "g", "l", 5, "s").count() == 0
+
+
 def test_split_needs_a_fold(spark):
     with pytest.raises(ValueError):
         folds.split(spark.range(1), "fold", 1)
