@@ -210,7 +210,11 @@ def stratified_group_kfold(spark, d):
     return rows.join(folds.stratified_group_folds(rows, "group_id", "strat_label", 5, "kfold"), "group_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FOLD_SQL}, g AS (SELECT source, count(*) AS n, count(*) FILTER (lang = 'es') AS t FROM f GROUP BY source HAVING t > 0),
+    o AS (SELECT *, row_number() OVER (ORDER BY n DESC, t DESC, source) AS i FROM g), l AS (SELECT fold, count(*) FILTER (lang = 'es') AS t FROM f GROUP BY fold),
+    r(i, have, best, source) AS (SELECT 0::BIGINT, (SELECT list(coalesce(t, 0) ORDER BY k) FROM range(5) k(k) LEFT JOIN l ON l.fold = k), -1::BIGINT, ''
+        UNION ALL SELECT o.i, list_transform(have, lambda x, j: CASE WHEN j = list_position(have, list_min(have)) THEN x + o.t ELSE x END), list_position(have, list_min(have)) - 1, o.source FROM r JOIN o ON o.i = r.i + 1)
+    SELECT doc_id, lang, f.source, CAST(coalesce(r.best, fold) AS INTEGER) AS fold FROM f LEFT JOIN (FROM r WHERE i > 0) r ON f.source = r.source""")
 def least_loaded_groups(spark, d):
     rows = _folded(spark, d, "source")
     return folds.least_loaded(rows, "source", "fold", F.col("lang") == "es", 5)

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +111,49 @@ def test_trimmed_is_what_python_strips(spark):
     texts = [None, "", "  a b ", *(f"{w}x{w}y{w}{w}" for w in WHITE), WHITE]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", trimmed(F.col("x")).alias("t")).collect()
     assert {r.i: r.t for r in got} == {i: x and x.strip() for i, x in enumerate(texts)}
+
+
+def plain_chunks(text, size, overlap, separators, keep):
+    """The same chunks by places in the text: runs between separators, gathered by their ends."""
+
+    def runs(a, b, sep):
+        if not sep:
+            cuts = list(range(a, b))
+        else:
+            cuts = [a] + [a + (m.end() if keep == "end" else m.start()) for m in re.finditer(re.escape(sep), text[a:b])]
+        return [(x, y) for x, y in zip(cuts, [*cuts[1:], b]) if y > x]
+
+    def gather(spans):
+        first = 0
+        for k, (a, b) in enumerate(spans):
+            if k > first and b - spans[first][0] > size:
+                yield spans[first][0], spans[k - 1][1]
+                while first < k and (spans[k - 1][1] - spans[first][0] > overlap or b - spans[first][0] > size):
+                    first += 1
+        if spans:
+            yield spans[first][0], spans[-1][1]
+
+    def cut(a, b, seps):
+        k = 0
+        while k < len(seps) - 1 and seps[k] and seps[k] not in text[a:b]:
+            k += 1
+        held = []
+        for x, y in runs(a, b, seps[k]):
+            if y - x < size:
+                held.append((x, y))
+                continue
+            yield from gather(held)
+            held = []
+            yield from cut(x, y, seps[k + 1 :]) if seps[k + 1 :] else [(x, y)]
+        yield from gather(held)
+
+    return [c for a, b in cut(0, len(text), separators) if (c := text[a:b].strip())]
+
+
+def test_chunks_equal_a_plain_version_over_a_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rng = random.Random(4)
+    texts = [r.text or "" for r in rows] + ["".join(rng.choice(["\n\n", "\n", ". ", "? ", " ", "ab", "x" * rng.randint(1, 500)]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    for level in (chunking.PARENT, chunking.CHILD, (40, 15, ("\n", " ", ""), "start")):
+        for x in texts:
+            assert chunking.split_text(x, *level) == plain_chunks(x, *level)
