@@ -24,6 +24,8 @@ LEAST = 100
 #: Payload bytes of an archive, about, where there is enough for all tasks; else as many archives as shuffles have parts, but of
 #: LITTLE bytes at least. A file is read back as one row, so it must fit into a task several times.
 ARCHIVE, LITTLE = 256 << 20, 8 << 20
+#: Bytes of a file that are unzipped at once.
+CHUNK = 1 << 18
 END = b"\r\n\r\n"
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,24 +90,48 @@ def page_of(record: str | None) -> int | None:
     return None if own.startswith("~") else int(own)
 
 
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """A gzip file part by part, of one member or of one for each record."""
+    plain = zlib.decompressobj(31)
+    for k in range(0, len(data), CHUNK):
+        part = data[k : k + CHUNK]
+        while part:
+            yield plain.decompress(part)
+            part = plain.unused_data
+            if plain.eof:
+                plain = zlib.decompressobj(31)
+    yield plain.flush()
+
+
 def parse(data: bytes) -> Iterator[tuple]:
-    """(page_id, type, digest, refers_to, payload bytes, record id) of each record of a gzip file. A response's digest is made anew from its payload."""
-    plain, buffer, at = zlib.decompressobj(31), b"", 0
-    for k in range(0, len(data) + 1, 1 << 18):
-        buffer = buffer[at:] + (plain.decompress(data[k : k + (1 << 18)]) if k < len(data) else plain.flush())
+    """(page_id, type, digest, refers_to, payload bytes, record id) of each record of a gzip file. A response's digest is made anew from its payload.
+
+    What is held is about a record and CHUNK bytes; a large record is looked at when it is all there, so time grows with the file, not with its square.
+    """
+    buffer, seen, head, size = bytearray(), 0, None, 0
+    for part in unzipped(data):
+        buffer += part
         at = 0
-        while (end := buffer.find(END, at)) >= 0:
-            head = dict(x.split(": ", 1) for x in buffer[at:end].decode().split("\r\n")[1:])
-            size = int(head["Content-Length"])
-            if len(buffer) < end + 8 + size:
+        while True:
+            if head is None:
+                end = buffer.find(END, at + seen)
+                if end < 0:
+                    seen = max(0, len(buffer) - at - len(END) + 1)  # no head ends before
+                    break
+                head = dict(x.split(": ", 1) for x in buffer[at:end].decode().split("\r\n")[1:])
+                seen, size = end - at, int(head["Content-Length"])
+            if len(buffer) - at < seen + 8 + size:
                 break
-            payload = buffer[end + 4 : end + 4 + size].partition(END)[2]  # after the HTTP head
+            block = bytes(buffer[at + seen + 4 : at + seen + 4 + size])
+            payload = block.partition(END)[2]  # after the HTTP head
             digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
             if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                 raise ValueError(f"the payload of {head['WARC-Record-ID']} is damaged")
             yield page_of(head["WARC-Record-ID"]), head["WARC-Type"], digest, page_of(head.get("WARC-Refers-To")), len(payload), head["WARC-Record-ID"]
-            at = end + 8 + size
-    if buffer[at:]:
+            at += seen + 8 + size
+            seen, head = 0, None
+        del buffer[:at]
+    if buffer:
         raise ValueError("an archive ends within a record")
 
 
@@ -129,6 +155,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload; each row gives a record. A revisit's size is that of the response it refers to, found
     by its digest; the responses' sizes are aggregated by digest first, so a payload with very many revisits is one row there.
+    Rows that repeat a page_id are records of their own. Columns of pages other than page_id, url and html play no part, whatever their names.
+    An empty table gives no rows. A payload may be as large as a string of Spark's.
     """
     path = shared_dir(pages.sparkSession)
     write(pages, path)

@@ -128,3 +128,30 @@ def test_recall_of_the_index_stays_as_pivots_grow(spark, monkeypatch, count):
     d = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))}))
     found = pivots.linked(d).agg(F.sum("n_links")).first()[0]
     assert 0.99 * true <= found <= true
+
+
+def test_archives_are_parsed_in_time_with_their_size(monkeypatch):
+    """One payload of 60 MB among small ones, in one gzip member and in one for each record, unzipped in small parts."""
+    import gzip
+    import hashlib
+    import time
+
+    from loomtext.llm import warc
+
+    def record(i, payload):
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}:x>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + warc.END
+
+    payloads = [b"a\r\n\r\nb" * 3, b"", b"x" * 60_000_000, b"\r\n\r\n", b"last"]
+    records = [record(i, p) for i, p in enumerate(payloads)]
+    began = time.perf_counter()
+    for data in (gzip.compress(b"".join(records), 1), b"".join(gzip.compress(r, 1) for r in records)):
+        assert [(r[0], r[4]) for r in warc.parse(data)] == [(i, len(p)) for i, p in enumerate(payloads)]
+    assert time.perf_counter() - began < 20
+    monkeypatch.setattr(warc, "CHUNK", 7)
+    small = [record(i, p) for i, p in enumerate(payloads) if len(p) < 100]
+    assert [r[4] for r in warc.parse(gzip.compress(b"".join(small)))] == [len(p) for p in payloads if len(p) < 100]
+    assert list(warc.parse(gzip.compress(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(b"".join(small)[:-9])))
