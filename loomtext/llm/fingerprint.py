@@ -293,7 +293,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document by
     ascending doc_id; after the last comes the first, and a lone document is its own next. Null text counts as empty.
-    Each row gives one row, repeated ids too.
+    Each row gives one row, repeated ids too. Very long texts are read whole; an empty table gives no rows. Other columns play no part.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

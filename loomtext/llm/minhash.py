@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, row: str
     whole text as one where it has fewer. Links: 100 * intersection >= percent * union. A text without words, or null,
     has an empty set and no links. Rows of one doc_id count as copies of one document if their texts are equal; where they
     differ, each row has its own set, and of sets that are linked the one of the smallest digest is kept. Null ids are left out of all groups (component null).
+    Very long texts are compared whole; an empty table gives no rows. Other columns play no part, whatever their names.
     """
     t = must_agree(K, percent)
     docs = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("hash"), (F.col(row) if row else F.lit(None)).cast("string").alias("row"))

@@ -396,7 +396,7 @@ def linked(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     A vector is a vec_id with an embedding: rows that repeat both are one vector, count once, and all get its result; rows that
     share a vec_id only are different vectors, which may link. Vectors link with others of their dimension only. Null, empty or zero
     ones, and those with null or non-finite components, link with nothing; rows without vec_id are returned without links.
-    Labels and other columns play no part. The usual dimension and every other one of more than TILE vectors have an
+    Labels and other columns play no part. An empty table gives no rows. The usual dimension and every other one of more than TILE vectors have an
     index each; the others fit into a tile each.
     """
     spark = vectors.sparkSession
