@@ -595,9 +595,25 @@ def standard_scale(spark, d):
     return rows.select("doc_id", F.round("n_chars", 4).alias("n_chars"), F.round("words", 4).alias("words"))
 
 
-@query()
+def _power_sql(name: str, matrix: str) -> str:
+    """The vector of the largest eigenvalue of a symmetric matrix (aa, ab, ac, bb, bc, cc), its largest number positive, and the eigenvalue."""
+    return f"""{name}_p(i, u, v, w) AS (SELECT 0, 1.0::DOUBLE, 0.7::DOUBLE, -0.4::DOUBLE UNION ALL SELECT i + 1, x / s, y / s, z / s
+        FROM (SELECT *, sqrt(x * x + y * y + z * z) AS s FROM (SELECT i, aa * u + ab * v + ac * w AS x, ab * u + bb * v + bc * w AS y, ac * u + bc * v + cc * w AS z FROM {name}_p, {matrix} WHERE i < 1000)) WHERE s > 0),
+    {name}_q AS (SELECT u, v, w, CASE WHEN abs(u) >= abs(v) AND abs(u) >= abs(w) THEN sign(u) WHEN abs(v) >= abs(w) THEN sign(v) ELSE sign(w) END AS s FROM {name}_p WHERE i = 1000),
+    {name} AS (SELECT u * s AS u, v * s AS v, w * s AS w, aa * u * u + bb * v * v + cc * w * w + 2 * (ab * u * v + ac * u * w + bc * v * w) AS e FROM {name}_q, {matrix})"""
+
+
+_SCALED_SQL = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS {n}" for n, c in (("a", "n_chars"), ("b", "words"), ("c", "commas")))
+
+
+@query(f"""WITH RECURSIVE {_LEX_SQL}, x AS (SELECT doc_id, {_SCALED_SQL} FROM l WHERE n_chars IS NOT NULL AND words IS NOT NULL AND commas IS NOT NULL),
+    m AS (SELECT avg(a * a) AS aa, avg(a * b) AS ab, avg(a * c) AS ac, avg(b * b) AS bb, avg(b * c) AS bc, avg(c * c) AS cc FROM x), {_power_sql('one', 'm')},
+    n AS (SELECT aa - e * u * u AS aa, ab - e * u * v AS ab, ac - e * u * w AS ac, bb - e * v * v AS bb, bc - e * v * w AS bc, cc - e * w * w AS cc FROM m, one), {_power_sql('two', 'n')},
+    s AS (SELECT doc_id, a * one.u + b * one.v + c * one.w AS pc1, a * two.u + b * two.v + c * two.w AS pc2 FROM x, one, two)
+    SELECT doc_id, round(pc1, 4) AS pc1, round(pc2, 4) AS pc2, CASE WHEN round(pc1, 4) >= 0 THEN 'right' ELSE 'left' END || '_' || CASE WHEN round(pc2, 4) >= 0 THEN 'high' ELSE 'low' END AS part FROM s""")
 def principal_components(spark, d):
     scores, _ = features.principal_components(_measures(spark, d), "doc_id", ["n_chars", "words", "commas"])
+    scores = scores.select("doc_id", F.round("pc1", 4).alias("pc1"), F.round("pc2", 4).alias("pc2"))
     return scores.withColumn("part", metrics.quadrant(F.col("pc1"), F.col("pc2"), 0.0, 0.0))
 
 

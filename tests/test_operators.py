@@ -1,3 +1,5 @@
+import hashlib
+import json
 import math
 import random
 import re
@@ -198,6 +200,46 @@ def test_stratified_groups_stay_on_the_cluster(spark, monkeypatch):
         assert max(n) - min(n) <= 4
 
 
+def test_stratified_groups_equal_a_plain_loop(spark):
+    """Kind by kind, with the spread of all labels computed anew each time."""
+    rng = random.Random(9)
+    rows = [(g, rng.choice(["a", "b", "c", None])) for g in range(150) for _ in range(rng.randint(1, 4))]
+    labels = sorted({v for _, v in rows}, key=str)
+    total = np.array([sum(v == x for _, v in rows) for x in labels], float)
+    kinds = Counter()
+    kind_of = {}
+    for g in range(150):
+        own = Counter(v for h, v in rows if h == g)
+        kind_of[g] = tuple((labels.index(v), n) for v, n in sorted(own.items(), key=lambda x: labels.index(x[0])))
+        kinds[kind_of[g]] += 1
+
+    def order(kind):
+        n = [c for _, c in kind]
+        text = json.dumps([{"at": a, "n": c} for a, c in kind], separators=(",", ":"))
+        return -round(sum(c * c for c in n) - sum(n) ** 2 / len(labels), 9), hashlib.md5(text.encode()).hexdigest()
+
+    have, expected = np.zeros((len(labels), 5)), {}
+    for kind in sorted(kinds, key=order):
+        v = np.zeros(len(labels))
+        for a, c in kind:
+            v[a] = c
+        given = [0] * 5
+        for _ in range(kinds[kind]):
+            tried = []
+            for f in range(5):
+                more = have.copy()
+                more[:, f] += v
+                tried.append((round(float(((more / total[:, None]).std(1) - (have / total[:, None]).std(1)).sum()), 11), have[:, f].sum(), f))
+            f = min(tried)[2]
+            have[:, f] += v
+            given[f] += 1
+        expected[kind] = given
+    got = {k: [0] * 5 for k in kinds}
+    for r in folds.stratified_group_folds(spark.createDataFrame(rows, "g long, l string"), "g", "l", 5, "s").collect():
+        got[kind_of[r.g]][r.fold] += 1
+    assert got == expected
+
+
 def test_stratified_groups_of_many_labels(spark, monkeypatch):
     """500 labels, nearly as many kinds of groups as groups: settled in tasks, with a bounded collect; each label as even as its groups allow."""
     monkeypatch.setattr(folds, "KINDS", 600)
