@@ -25,7 +25,7 @@ from loomtext.llm.textbatch import Texts, slices, string_array
 #: Fixed value: the pattern that the byte-level pre-tokeniser splits by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of fragments and their ids that a worker remembers, about; then it begins anew. Longer fragments are not remembered.
-MEMO, LONG = 64 << 20, 256
+MEMO, LONG = 24 << 20, 256
 NONE = np.iinfo(np.int32).max
 
 
