@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
+from loomtext.functions.batches import carried, column  # noqa: F401  what the operators take from here
 from loomtext.sources import scratch
 
 #: Folders made so far within each open passing().
@@ -64,33 +63,11 @@ def remove(spark: SparkSession, folders: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def column(name: str) -> Column:
-    """The column of this name, whatever signs are in it."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def others(names: list[str], *added: str) -> list[str]:
     """Names that none of the added ones replaces; case doesn't tell them apart, as Spark's resolution doesn't."""
     return [c for c in names if c.lower() not in {a.lower() for a in added}]
 
 
-def carried(rows: DataFrame, keep: list[str], inputs: dict[str, Column], added: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:
-    """The columns `keep` of rows, of any names and types, with those (`added`, as DDL) that work() makes of batches with the inputs: it yields parts of the batches with an array for each added column.
-
-    Within the task kept columns have names of their own, so they meet neither the inputs nor what is added.
-    """
-    more = StructType.fromDDL(added).fields
-    own = [f"__k{i}" for i in range(len(keep))]
-    plain = rows.select(*(column(c).alias(k) for c, k in zip(keep, own, strict=True)), *(e.alias(c) for c, e in inputs.items()))
-    kind = StructType([*(StructField(k, plain.schema[k].dataType) for k in own), *(StructField(f"__a{i}", f.dataType) for i, f in enumerate(more))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, arrays in work(batches):
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in own), *arrays], kind.names)
-
-    return plain.mapInArrow(run, kind).select(*(F.col(k).alias(c) for k, c in zip(own, keep, strict=True)), *(F.col(f"__a{i}").alias(f.name) for i, f in enumerate(more)))
-
-
 def held_out(doc_id) -> F.Column:
     """True for rows that nothing is learned from: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
