@@ -334,7 +334,7 @@ SIGNED = "CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616
 
 @query(f"""WITH {_BITS} SELECT doc_id, {SIGNED} AS simhash FROM u""")
 def simhash(spark, d):
-    return t(spark, d, "documents").select("doc_id", arrays.simhash(F.col("text")).alias("simhash"))
+    return t(spark, d, "documents").select("doc_id", arrays.simhash_of_texts(F.col("text")).alias("simhash"))
 
 
 @query(f"""WITH {_BITS}, n AS (SELECT doc_id, h, lead(h) OVER (PARTITION BY source ORDER BY doc_id) AS g FROM u)

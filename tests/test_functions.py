@@ -157,3 +157,14 @@ def test_chunks_equal_a_plain_version_over_a_whole_table(spark):
     for level in (chunking.PARENT, chunking.CHILD, (40, 15, ("\n", " ", ""), "start")):
         for x in texts:
             assert chunking.split_text(x, *level) == plain_chunks(x, *level)
+
+
+def test_simhash_of_whole_texts_is_that_of_the_expression(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [None, "", " \t", "a", "a b", "조선 후기\x0b유서\x0c\r\n\x1c b c　d", "x " * 70_000] + [" ".join(rng.choice("abcdefg") * rng.randint(1, 9) for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    monkeypatch.setattr(arrays, "HASHES", 5)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", arrays.simhash(F.col("t")).alias("a"), arrays.simhash_of_texts(F.col("t")).alias("b")).collect()
+    assert len(got) == len(texts) and [r.b for r in got] == [r.a for r in got]
+    distinct = " ".join(map(str, range(40_000)))  # more distinct words than are counted at once
+    assert one(spark, a=arrays.simhash(F.lit(distinct)) - arrays.simhash_of_texts(F.lit(distinct))).a == 0
