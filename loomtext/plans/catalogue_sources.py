@@ -12,7 +12,7 @@ from loomtext.functions import arrays, lattice, text
 from loomtext.operators import context, crawl, features, match, metrics, prompts
 from loomtext.plans.catalogue import _CHOICES_SQL, _KEYS_SQL, _NORM_SQL, _PRED_SQL, _choices, _predicted, query, t
 from loomtext.sources import cursor, readers, store, versions
-from loomtext.sources.scratch import new_folder
+from loomtext.sources.scratch import new_folder, stored
 from loomtext.streaming import changelog
 
 
@@ -341,7 +341,7 @@ def simhash(spark, d):
     SELECT doc_id, round(1 - bit_count(xor(h, g)) / 64.0, 6) AS similarity FROM n WHERE g IS NOT NULL""")
 def hamming_pairs(spark, d):
     """Likeness of each document and the next one of its source. Rows are few and narrow by then, but a source is one window: ids are numbered by ranges instead."""
-    rows = t(spark, d, "documents").select("source", "doc_id", arrays.simhash(F.col("text")).alias("h"))
+    rows = stored(t(spark, d, "documents").select("source", "doc_id", arrays.simhash_of_texts(F.col("text")).alias("h")))  # hashed once, as ranging reads its rows twice
     rows = readers.numbered_rows(rows, ["source", "doc_id"], "i")
     after = rows.select((F.col("i") - 1).alias("i"), "source", F.col("h").alias("g"))
     return rows.join(after, ["i", "source"]).select("doc_id", F.round(arrays.hamming_similarity(F.col("h"), F.col("g")), 6).alias("similarity"))

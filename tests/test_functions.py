@@ -168,3 +168,12 @@ def test_simhash_of_whole_texts_is_that_of_the_expression(spark, monkeypatch):
     assert len(got) == len(texts) and [r.b for r in got] == [r.a for r in got]
     distinct = " ".join(map(str, range(40_000)))  # more distinct words than are counted at once
     assert one(spark, a=arrays.simhash(F.lit(distinct)) - arrays.simhash_of_texts(F.lit(distinct))).a == 0
+
+
+def test_hamming_pairs_are_ranged_from_stored_hashes(spark, monkeypatch):
+    from loomtext.plans import catalogue_sources as plans
+
+    seen, real = [], plans.readers.numbered_rows
+    monkeypatch.setattr(plans.readers, "numbered_rows", lambda df, *a: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a))
+    plans.hamming_pairs(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "text" not in seen[0]
