@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import urls
 from loomtext.operators import crawl
+from loomtext.sources import cursor
 from loomtext.sources.cursor import Cursor, ranged
 
 
@@ -78,3 +79,24 @@ def test_crawl_equals_a_walk(spark, most):
     seeds = spark.createDataFrame([(name(0) + "#a",), (name(5),), (name(0),), (None,)], "url string")
     got = crawl.reached(pages, seeds, most).collect()
     assert len(got) == len(depth) and {r.url: r.depth for r in got} == {name(k): d for k, d in depth.items()}
+
+
+def test_large_pages_are_found_by_counts(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(None if rng.random() < 0.2 else f"2024-01-{rng.randint(1, 9):02}", rng.choice([None, 1.5, -2.25, float("nan")]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "day string, price double, id long").withColumn("day", F.to_date("day"))
+    order = ["day", "price", "id"]
+    kept = ranged(df, order, f"{tmp_path}/t")
+    monkeypatch.setattr(cursor, "FEW", 60)
+    monkeypatch.setattr(cursor, "SAMPLE", 30)
+    expected = [r.id for r in df.orderBy(*(F.asc_nulls_first(c) for c in order)).collect()]
+    for size in (400, 150):
+        token, seen = None, []
+        while True:
+            page, token = Cursor(kept, order, size).page(token)
+            ids = [r.id for r in page.collect()]
+            assert "Limit" not in page._jdf.queryExecution().optimizedPlan().toString()  # no task takes a page
+            seen.append(ids)
+            if token is None:
+                break
+        assert [len(x) for x in seen] == [size] * (400 // size) + [400 % size] and sum(seen, []) == expected
