@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.functions.batches import carried
+
+#: Characters of chunks that a task holds, about.
+PIECE = 1 << 20
 #: Sizes, overlaps and separators of the two levels.
 PARENT = (2500, 200, ("\n\n", "\n", ". "), "start")
 CHILD = (350, 50, ("\n\n", "\n", ". ", "? ", "! ", " ", ""), "end")
@@ -53,22 +57,47 @@ def split_text(text: str, size: int, overlap: int, separators: Sequence[str], ke
     return [c for c in out if c]
 
 
-def split_column(c: Column, size: int, overlap: int, separators: Sequence[str], keep: str) -> Column:
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t or "", size, overlap, separators, keep))
+def split_rows(corpus: DataFrame, keep: list[str], content: str, levels: Sequence[tuple]) -> DataFrame:
+    """The columns `keep`, places p0, p1, ... of a chunk at each level, and `chunk`. A task takes text by text and gives rows away PIECE characters at a time, so it holds a batch of texts and no batch of chunks."""
+
+    def chunks(text: str, left: Sequence[tuple]) -> Iterator[tuple]:
+        for k, chunk in enumerate(split_text(text, *left[0])):
+            if len(left) == 1:
+                yield k, chunk
+            else:
+                yield from ((k, *more) for more in chunks(chunk, left[1:]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for batch in batches:
+            texts, kept = batch.column("text"), batch.select([c for c in batch.schema.names if c != "text"])
+            rows, found, held = [], [], 0
+            for i, text in enumerate(texts):
+                for own in chunks(text.as_py() or "", levels):
+                    rows.append(i)
+                    found.append(own)
+                    held += len(own[-1])
+                    if held >= PIECE:
+                        yield kept.take(pa.array(rows, pa.int64())), arrays_of(found)
+                        rows, found, held = [], [], 0
+            if rows:
+                yield kept.take(pa.array(rows, pa.int64())), arrays_of(found)
+
+    def arrays_of(found: list[tuple]) -> list[pa.Array]:
+        *places, chunk = zip(*found, strict=True)
+        return [*(pa.array(p, pa.int32()) for p in places), pa.array(chunk, pa.string())]
 
-    return split(c)
+    added = "".join(f"p{i} int, " for i in range(len(levels))) + "chunk string"
+    return carried(corpus, keep, {"text": F.col(content)}, added, work)
 
 
 def hierarchy(corpus: DataFrame, index: str, topic: str, content: str) -> tuple[DataFrame, DataFrame]:
     """Parents (parent_id, topic, content) and children (id, parent_id, topic, chunked_content, null vectors)."""
-    parents = corpus.select(index, topic, F.posexplode(split_column(F.col(content), *PARENT)).alias("p", "content"))
-    parents = parents.select(F.concat_ws("_", index, "p").alias("parent_id"), F.col(topic).alias("topic"), "content")
-    children = parents.select("parent_id", "topic", F.posexplode(split_column(F.col("content"), *CHILD)).alias("c", "chunked_content"))
+    parent = F.concat_ws("_", "index", "p0").alias("parent_id")
+    rows = corpus.select(F.col(index).alias("index"), F.col(topic).alias("topic"), F.col(content).alias("content"))
+    parents = split_rows(rows, ["index", "topic"], "content", [PARENT]).select(parent, "topic", F.col("chunk").alias("content"))
     vector = F.lit(None).cast("array<float>")
-    children = children.select(F.concat_ws("_", "parent_id", "c").alias("id"), "parent_id", "topic", "chunked_content", vector.alias("topic_vector"), vector.alias("chunked_content_vector"))
-    return parents, children
+    children = split_rows(rows, ["index", "topic"], "content", [PARENT, CHILD]).select(parent, "topic", "p1", F.col("chunk").alias("chunked_content"))
+    return parents, children.select(F.concat_ws("_", "parent_id", "p1").alias("id"), "parent_id", "topic", "chunked_content", vector.alias("topic_vector"), vector.alias("chunked_content_vector"))
 
 
 def fixed(c: Column, size: int) -> Column:

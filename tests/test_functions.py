@@ -177,3 +177,15 @@ def test_hamming_pairs_are_ranged_from_stored_hashes(spark, monkeypatch):
     monkeypatch.setattr(plans.readers, "numbered_rows", lambda df, *a: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a))
     plans.hamming_pairs(spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and "text" not in seen[0]
+
+
+def test_hierarchy_in_one_pass_that_gives_rows_away_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", " \n "] + ["".join(rng.choice(["\n\n", "\n", ". ", "? ", " ", "ab", "x" * rng.randint(1, 500)]) for _ in range(rng.randint(0, 400))) for _ in range(20)]
+    expected = [(f"{i}_{p}_{c}", f"{i}_{p}", "t", x) for i, t in enumerate(texts) for p, parent in enumerate(chunking.split_text(t or "", *chunking.PARENT)) for c, x in enumerate(chunking.split_text(parent, *chunking.CHILD))]
+    monkeypatch.setattr(chunking, "PIECE", 1000)
+    rows = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "a long, b string, c string")
+    parents, children = chunking.hierarchy(rows, "a", "b", "c")
+    assert sorted(tuple(r)[:4] for r in children.collect()) == sorted(expected)
+    assert sorted(tuple(r) for r in parents.collect()) == sorted((f"{i}_{p}", "t", x) for i, t in enumerate(texts) for p, x in enumerate(chunking.split_text(t or "", *chunking.PARENT)))
+    assert children._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
