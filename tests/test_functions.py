@@ -189,3 +189,10 @@ def test_hierarchy_in_one_pass_that_gives_rows_away_in_parts(spark, monkeypatch)
     assert sorted(tuple(r)[:4] for r in children.collect()) == sorted(expected)
     assert sorted(tuple(r) for r in parents.collect()) == sorted((f"{i}_{p}", "t", x) for i, t in enumerate(texts) for p, x in enumerate(chunking.split_text(t or "", *chunking.PARENT)))
     assert children._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_documents_are_normalised_once_for_anchors(spark):
+    from loomtext.plans import catalogue
+
+    plan = catalogue.provenance_coalesced(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # anchors are stored by then
