@@ -402,7 +402,8 @@ def morpheme_counts(spark, d):
     """How many words of each document's runs of letters a dictionary knows: the 2,000 most frequent words of the benchmark, cheaper the more frequent they are. Held against all segmentations in the tests."""
     words = t(spark, d, "benchmark").select(F.explode(text.tokens(F.col("text"), "a-z")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("length(w) BETWEEN 2 AND 12").orderBy(F.desc("n"), "w").limit(2000).collect()
     known = lattice.Dictionary.of([(r["w"], "W", 1.0 + 8.0 / (1 + r["n"])) for r in words], unknown=(2.0, 2.5))
-    found = lattice.morphemes(t(spark, d, "documents"), "text", known, ["doc_id"], letters="a-z", other="0-9")
+    found = lattice.counted(t(spark, d, "documents"), "text", known, ["doc_id"], letters="a-z", other="0-9")
     known_word, stretch = F.col("m.tag") == "W", F.col("m.tag") == lattice.UNKNOWN
-    per = found.select("doc_id", F.explode_outer("morphemes").alias("m")).groupBy("doc_id")
-    return per.agg(F.count_if(known_word).alias("known"), F.count_if(stretch).alias("unknown"), F.count_distinct(F.when(known_word, F.col("m.form"))).alias("forms"))
+    per = found.select("doc_id", F.explode_outer("counts").alias("m")).groupBy("doc_id")
+    n_where = lambda c: F.sum(F.when(c, F.col("m.n")).otherwise(0))
+    return per.agg(n_where(known_word).alias("known"), n_where(stretch).alias("unknown"), F.count_distinct(F.when(known_word, F.col("m.form"))).alias("forms"))

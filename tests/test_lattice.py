@@ -68,3 +68,16 @@ def test_whole_texts(spark):
     assert [tuple(m) for m in got[1, 8].morphemes] == [("나", "NP"), ("는", "J"), ("학교", "N"), ("에서", "J"), ("는", "J"), ("kbs2", "SL"), ("를", "UNK"), ("간다", "V")]
     assert (2, 0) in got and (3, 0) in got and (4, 15_000) in got and (1, 1) in got
     assert out.where("id = 4").select(F.size(lattice.terms(F.col("morphemes"), "J", "UNK")).alias("n")).first().n == 5000
+
+
+def test_counts_are_those_of_the_morphemes(spark):
+    d = lattice.Dictionary.of([("가", "J", 1.0), ("가나", "N", 2.5), ("나", "N", 1.5), ("나다", "V", 3.0)], {("N", "J"): -0.5})
+    rows = [(1, "가나다 가나다 abc 가 abc 12"), (2, None), (3, ""), (3, "나다나 라라 나다나"), (4, "가나가나 " * 50)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    for other in (lattice.OTHER, ""):
+        whole = lattice.morphemes(df, "text", d, ["id"], other=other).collect()
+        for a, b in zip(whole, lattice.counted(df, "text", d, ["id"], other=other).collect(), strict=True):
+            own = {}
+            for m in a.morphemes:
+                own[m.form, m.tag] = own.get((m.form, m.tag), 0) + 1
+            assert (a.id, own) == (b.id, {(m.form, m.tag): m.n for m in b.counts}) and len(own) == len(b.counts)
